@@ -226,29 +226,19 @@ def nearest_known_value(
 ) -> DataFrame:
     """Value at basin cells, or at the nearest cell with data where that one has none.
 
-    ``index`` carries (gid, row, col). Exact hits are settled by an equi-join; only the
-    misses search, and only over the keys that have misses. Distances are in cells.
+    ``index`` carries (gid, row, col); ``cells`` keeps empty cells as NULL rows. Exact hits
+    are settled by an equi-join; only the misses search, and only on dates that have misses.
     """
     known = cells.filter(F.col("value").isNotNull())
     spots = index.select("gid", "row", "col")
     hits = known.join(spots, ["row", "col"]).select("gid", *keys, "value")
     empty = cells.filter(F.col("value").isNull()).join(spots, ["row", "col"])
-    empty = empty.select("gid", *keys, "row", "col")
-    near = known.join(empty.select(*keys).distinct(), list(keys), "left_semi").select(
-        *keys,
-        F.col("row").cast("double").alias("prow"),
-        F.col("col").cast("double").alias("pcol"),
-        F.struct("row", "col", "value").alias("_cell"),
+    empty = empty.select("gid", *keys, "lat", "lon")
+    near = known.join(empty.select(*keys).distinct(), list(keys), "left_semi").withColumn(
+        "_cell", F.struct("row", "col", "value")
     )
-    scale = F.lit(res)
     found = nearest_join(
-        empty.withColumn("_tx", F.col("col") * scale).withColumn("_ty", F.col("row") * scale),
-        near.withColumn("_px", F.col("pcol") * scale).withColumn("_py", F.col("prow") * scale),
-        ("_tx", "_ty"),
-        ("_px", "_py"),
-        "_cell",
-        by=keys,
-        finest=max(res, 0.05),
+        empty, near, ("lon", "lat"), ("lon", "lat"), "_cell", by=keys, finest=res
     )
     filled = found.select("gid", *keys, F.col("_cell.value").alias("value"))
     return hits.unionByName(filled)
