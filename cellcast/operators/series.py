@@ -24,7 +24,9 @@ def by_day_number(cell: Sequence[str], day: str = "fdate"):
     return Window.partitionBy(*cell).orderBy(F.unix_date(F.col(day)))
 
 
-def rolling_rows_mean(value: Column, cell: Sequence[str], rows: int) -> Column:
+def add_rolling_rows_mean(
+    df: DataFrame, cell: Sequence[str], rows: int, value: str, name: str
+) -> DataFrame:
     """Mean of the last ``rows`` rows, NULL until the window is full and free of NULLs.
 
     Running sums are differenced, so the cost per row does not grow with the window (a
@@ -32,19 +34,6 @@ def rolling_rows_mean(value: Column, cell: Sequence[str], rows: int) -> Column:
     """
     order = by_date(cell)
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.coalesce(value, F.lit(0.0))).over(running)
-    seen = F.count(value).over(running)
-    earlier = F.coalesce(F.lag(total, rows).over(order), F.lit(0.0))
-    known = seen - F.coalesce(F.lag(seen, rows).over(order), F.lit(0))
-    return F.when(known == rows, (total - earlier) / rows)
-
-
-def add_rolling_rows_mean(
-    df: DataFrame, cell: Sequence[str], rows: int, value: str, name: str
-) -> DataFrame:
-    """Frame version of :func:`rolling_rows_mean` (window results cannot be nested)."""
-    order = by_date(cell)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_total", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(running))
     out = out.withColumn("_seen", F.count(value).over(running))
     out = out.withColumn("_total0", F.lag("_total", rows, 0.0).over(order))
