@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from cellcast.functions import rng
 from cellcast.operators.series import thin_dates
+from cellcast.operators.spatial import nearest_join
 
 # State variable, observed variable, resolution and error of each product.
 # Snow products say 'swq' elsewhere; the state knows the variable as 'swe'.
@@ -367,25 +368,17 @@ def analyse(
     return grouped.applyInPandas(update, schema)
 
 
-def state_observation_distance(
-    states: DataFrame, observations: DataFrame, radius: float
+def nearest_observation(
+    states: DataFrame, observations: DataFrame, finest: float = 0.25
 ) -> DataFrame:
-    """Planar distances between states and observations no further than ``radius`` apart.
+    """Distance from each state to its nearest observation of the same date.
 
-    The filters use every observation, so distances matter only for localisation; pairs
-    are found through bins of the radius, never all with all. Both sides carry
-    (fdate, id, lat, lon) under their own id names ``gid`` and ``oid``.
+    The filters use every observation whatever its distance, so the full state-by-observation
+    matrix is never formed. Inputs carry (fdate, lat, lon) and ``gid`` or ``oid``.
     """
-    bin_of = lambda c: F.floor(F.col(c) / radius).cast("int")
-    near = observations.withColumn("by", F.explode(F.sequence(bin_of("lat") - 1, bin_of("lat") + 1)))
-    near = near.withColumn("bx", F.explode(F.sequence(bin_of("lon") - 1, bin_of("lon") + 1)))
-    near = near.withColumnsRenamed({"lat": "olat", "lon": "olon"})
-    own = states.withColumn("by", bin_of("lat")).withColumn("bx", bin_of("lon"))
-    joined = own.join(near, ["fdate", "bx", "by"])
-    dy, dx = F.col("lat") - F.col("olat"), F.col("lon") - F.col("olon")
-    return joined.withColumn("distance", F.sqrt(dy * dy + dx * dx)).filter(
-        F.col("distance") <= radius
-    ).select("fdate", "gid", "oid", "distance")
+    return nearest_join(
+        states, observations, ("lon", "lat"), ("lon", "lat"), "oid", by=["fdate"], finest=finest
+    )
 
 
 # ---------------------------------------------------------------- model state
