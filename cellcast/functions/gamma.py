@@ -102,14 +102,28 @@ def cdf(x: np.ndarray, shape, loc, scale) -> np.ndarray:
     out = np.full(z.shape, np.nan)
     known = np.isfinite(z) & np.isfinite(a)
     out[known & (z <= 0)] = 0.0
-    low = known & (z > 0) & (z < a + 1)
+    big = known & (z > 0) & (a > 500)
+    out[big] = _large_shape(a[big], z[big])
+    low = known & (z > 0) & (z < a + 1) & ~big
     out[low] = _lower_series(a[low], z[low])
-    high = known & (z >= a + 1)
+    high = known & (z >= a + 1) & ~big
     out[high] = 1.0 - _upper_fraction(a[high], z[high])
     return out
 
 
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _large_shape(a, z):
+    """Uniform asymptotic form for large shapes (Temme), leading correction only."""
+    mu = z / a - 1
+    eta = np.sign(mu) * np.sqrt(np.maximum(2 * (mu - np.log1p(mu)), 0))
+    near = np.abs(mu) < 1e-3
+    with np.errstate(all="ignore"):
+        c0 = np.where(near, -1 / 3 + eta / 12, 1 / mu - 1 / eta)
+    tail = np.exp(-0.5 * a * eta**2) / np.sqrt(2 * math.pi * a) * c0
+    return 0.5 * _erfc(-eta * np.sqrt(a / 2)) - tail if len(a) else a
 
 
 def _front(a, z):

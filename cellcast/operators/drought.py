@@ -13,6 +13,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellcast.functions import scalars
 from cellcast.functions.gamma import cdf, fit_mle, fit_thom
@@ -56,7 +57,7 @@ def _thom(gap: Column, mean: Column) -> list[Column]:
     return [shape.alias("shape"), (mean / shape).alias("scale")]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma_cdf(x: pd.Series, shape: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
     """Three-parameter gamma distribution function over an Arrow batch."""
     return pd.Series(cdf(x.to_numpy(), shape.to_numpy(), loc.to_numpy(), scale.to_numpy()))
