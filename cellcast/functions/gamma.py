@@ -7,8 +7,15 @@ import math
 import numpy as np
 
 
-def _nelder_mead(fun, start, xtol=1e-4, ftol=1e-4, limit=600):
-    """Downhill simplex search (Nelder and Mead 1965)."""
+def _nelder_mead(loss, start, xtol=1e-4, ftol=1e-4, limit=600):
+    """Downhill simplex search (Nelder and Mead 1965), at most ``limit`` evaluations."""
+    calls = 0
+
+    def fun(point):
+        nonlocal calls
+        calls += 1
+        return loss(point)
+
     n = len(start)
     simplex = [np.array(start, float)]
     for k in range(n):
@@ -16,13 +23,13 @@ def _nelder_mead(fun, start, xtol=1e-4, ftol=1e-4, limit=600):
         point[k] = point[k] * 1.05 if point[k] != 0 else 0.00025
         simplex.append(point)
     scores = [fun(p) for p in simplex]
-    for _ in range(limit):
+    while calls < limit:
         order = np.argsort(scores, kind="stable")
         simplex = [simplex[i] for i in order]
         scores = [scores[i] for i in order]
         spread = max(np.max(np.abs(p - simplex[0])) for p in simplex[1:])
         if spread <= xtol and max(abs(s - scores[0]) for s in scores[1:]) <= ftol:
-            return simplex[0], scores[0], True
+            break
         centre = np.mean(simplex[:-1], axis=0)
         worst = simplex[-1]
         reflected = 2 * centre - worst
@@ -45,14 +52,15 @@ def _nelder_mead(fun, start, xtol=1e-4, ftol=1e-4, limit=600):
         else:
             simplex = [simplex[0]] + [0.5 * (simplex[0] + p) for p in simplex[1:]]
             scores = [scores[0]] + [fun(p) for p in simplex[1:]]
-    return simplex[0], scores[0], False
+    best = int(np.argmin(scores))
+    return simplex[best], scores[best]
 
 
 def fit_mle(x: np.ndarray):
     """Shape, location and scale of a three-parameter gamma by maximum likelihood.
 
-    The search starts from the moment estimate (shape = 4 / skewness^2). Returns None when
-    the sample is degenerate or the search does not settle.
+    The search starts from the moment estimate (shape = 4 / skewness^2) and its best point
+    counts even when the evaluations run out. Returns None for a degenerate sample.
     """
     x = np.asarray(x, float)
     x = x[np.isfinite(x)]
@@ -75,8 +83,8 @@ def fit_mle(x: np.ndarray):
         return n * (math.lgamma(a) + math.log(s)) - (a - 1) * np.log(z).sum() + z.sum()
 
     low = x.min()
-    best, score, ok = _nelder_mead(loss, [shape, loc, scale])
-    if not ok or not math.isfinite(score):
+    best, score = _nelder_mead(loss, [shape, loc, scale])
+    if not math.isfinite(score):
         return None
     return float(best[0]), float(best[1]), float(best[2])
 

@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 
 
 def _ring_edges(points: Column) -> Column:
-    """Edges of a ring; a missing closing vertex is supplied."""
-    n = F.size(points)
+    """Edges of a ring; a missing closing vertex is supplied. Linear in the vertex count."""
+    turned = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))
 
-    def edge(p: Column, i: Column) -> Column:
-        q = F.get(points, F.pmod(i + 1, n))
+    def edge(p: Column, q: Column) -> Column:
         return F.struct(
             p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
         )
 
-    edges = F.transform(points, edge)
+    edges = F.zip_with(points, turned, edge)
     return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
 
@@ -55,37 +54,6 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def bounds(edges: Column) -> Column:
-    """Struct<xmin,ymin,xmax,ymax>."""
-    return F.struct(
-        F.array_min(F.transform(edges, lambda e: e["x1"])).alias("xmin"),
-        F.array_min(F.transform(edges, lambda e: e["y1"])).alias("ymin"),
-        F.array_max(F.transform(edges, lambda e: e["x1"])).alias("xmax"),
-        F.array_max(F.transform(edges, lambda e: e["y1"])).alias("ymax"),
-    )
-
-
-def centroid(edges: Column) -> Column:
-    """Area centroid (shoelace), struct<x,y>. Coordinates are shifted to the first vertex,
-    which keeps the cross products small."""
-    x0 = F.get(edges, 0)["x1"]
-    y0 = F.get(edges, 0)["y1"]
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ax, ay, bx, by = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        cross = ax * by - bx * ay
-        return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["sx"] + (ax + bx) * cross).alias("sx"),
-            (acc["sy"] + (ay + by) * cross).alias("sy"),
-        )
-
-    total = F.aggregate(edges, zero, step)
-    area3 = F.nullif(total["a"] * 3.0, F.lit(0.0))
-    return F.struct((x0 + total["sx"] / area3).alias("x"), (y0 + total["sy"] / area3).alias("y"))
-
-
 def distance_to(x: Column, y: Column, edges: Column) -> Column:
     """Distance from a point to a polygon; zero inside."""
 
@@ -102,9 +70,27 @@ def distance_to(x: Column, y: Column, edges: Column) -> Column:
     )
 
 
-def with_shape(areas: DataFrame, edges: Column) -> DataFrame:
-    """Attach edges, bounding box and centroid; computed once, reused by every join."""
-    out = areas.withColumn("edges", edges)
-    return out.withColumn("bbox", bounds(F.col("edges"))).withColumn(
-        "centroid", centroid(F.col("edges"))
+def with_shape(areas: DataFrame, edges: Column, key: str = "area") -> DataFrame:
+    """One row per area with edges, bounding box and area centroid (shoelace sums).
+
+    Edges become rows once and are summed per area, so later joins read plain columns and
+    never re-evaluate the parsing.
+    """
+    tall = areas.select("*", F.explode(edges).alias("_e"))
+    x1, y1, x2, y2 = (F.col(f"_e.{c}") for c in ("x1", "y1", "x2", "y2"))
+    cross = x1 * y2 - x2 * y1
+    rest = [F.first(c).alias(c) for c in areas.columns if c != key]
+    packed = tall.groupBy(key).agg(
+        *rest,
+        F.collect_list("_e").alias("edges"),
+        F.struct(
+            F.min(x1).alias("xmin"), F.min(y1).alias("ymin"),
+            F.max(x1).alias("xmax"), F.max(y1).alias("ymax"),
+        ).alias("bbox"),
+        F.sum(cross).alias("_a"),
+        F.sum((x1 + x2) * cross).alias("_sx"),
+        F.sum((y1 + y2) * cross).alias("_sy"),
     )
+    area3 = F.nullif(F.col("_a") * 3.0, F.lit(0.0))
+    middle = F.struct((F.col("_sx") / area3).alias("x"), (F.col("_sy") / area3).alias("y"))
+    return packed.withColumn("centroid", middle).drop("_a", "_sx", "_sy")

@@ -215,8 +215,8 @@ def gram_sums(observations: DataFrame, day: str = "fdate") -> DataFrame:
         F.max("nobs").alias("nobs"),
         F.sort_array(F.collect_list(F.struct("pos", *_SUMS))).alias("_m"),
     )
-    columns = [F.transform("_m", lambda m, n=n: m[n]).alias(n) for n in _SUMS]
-    return packed.select(day, "nobs", *columns)
+    # An array of structs gives the array of one field by name.
+    return packed.select(day, "nobs", *[F.col(f"_m.{n}").alias(n) for n in _SUMS])
 
 
 def _matrix(values, n: int) -> np.ndarray:

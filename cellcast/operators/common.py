@@ -29,6 +29,17 @@ def daily_series(
     return grouped.agg(*[expr.alias(name) for name, expr in measures.items()])
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition by key over all shuffle partitions.
+
+    Adaptive execution merges small partitions by bytes; a stage that is heavy on CPU per
+    row (fits, matrix steps) should keep them apart. It replaces the shuffle the following
+    window or group needs anyway.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *by)
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

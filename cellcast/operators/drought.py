@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cellcast.functions import scalars
 from cellcast.functions.gamma import cdf, fit_mle, fit_thom
 from cellcast.operators import series as S
+from cellcast.operators.common import spread
 from cellcast.operators.grid import between
 
 log = logging.getLogger(__name__)
@@ -98,7 +99,10 @@ def standardised_index(
     bounded = between(
         series, start.isoformat() if start else None, end.isoformat() if end else None
     )
-    means = S.add_rolling_rows_mean(bounded.select("gid", "fdate", value), CELL, rows, value, "pm")
+    bounded = bounded.select("gid", "fdate", value)
+    if fit == "mle":
+        bounded = spread(bounded, "gid")
+    means = S.add_rolling_rows_mean(bounded, CELL, rows, value, "pm")
     means = means.withColumn("_rn", F.row_number().over(S.by_date(CELL)))
     # The first full window (row number = rows) is left out of the fit and of the output.
     means = means.withColumn("usable", (F.col("_rn") > rows) & F.col("pm").isNotNull())

@@ -72,8 +72,18 @@ def year_weights(
     return out
 
 
-def year_cdf(weights: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Running sum w1 over rising psum (ties share it) and w2 = w1 - weight."""
+def year_cdf(weights: DataFrame, cell: Sequence[str], closed: bool = True) -> DataFrame:
+    """Cumulative weights w1 over rising psum and where each year's interval starts (w2).
+
+    ``closed`` gives touching intervals that end at exactly one, so every draw hits a year.
+    Otherwise years with equal psum share w1 and w2 = w1 - weight, which can leave gaps.
+    """
+    if closed:
+        order = Window.partitionBy(*cell).orderBy("psum", "yr")
+        running = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        last = F.lead("yr").over(order).isNull()
+        out = weights.withColumn("w1", F.when(last, F.lit(1.0)).otherwise(running))
+        return out.withColumn("w2", F.coalesce(F.lag("w1").over(order), F.lit(0.0)))
     order = Window.partitionBy(*cell).orderBy("psum")
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
     out = weights.withColumn("w1", F.sum("weight").over(upto))
@@ -131,9 +141,8 @@ def resampling_cdf(
     sums = season_sums(climatology, months, cell)
     counted = sums.agg(F.count_distinct("yr").alias("n")).scalar()
     grouped = strata(rank_years(sums, cell), counted)
-    return year_cdf(
-        year_weights(grouped, probabilities, counted, cell, lead, normalise), cell
-    )
+    weights = year_weights(grouped, probabilities, counted, cell, lead, normalise)
+    return year_cdf(weights, cell, closed=normalise)
 
 
 def drawn_forcings(
