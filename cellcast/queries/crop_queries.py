@@ -8,7 +8,8 @@ from cellcast.operators import crops as C
 from cellcast.operators.ensemble import cycle_variants
 from cellcast.operators import spatial
 from cellcast.queries import inputs as I
-from cellcast.queries.grid_queries import _membership
+from cellcast.queries.ensemble_queries import _u
+from cellcast.queries.grid_queries import BUFFER_SQL, _membership
 from cellcast.queries.inputs import views
 from cellcast.queries.registry import query
 
@@ -54,9 +55,8 @@ def growth_with_shape(spark, d):
     g = I.growth(spark, d).groupBy((F.col("gid") % 40).alias("gid")).agg(F.count("*").alias("n"))
     out = C.attach_geometry(g, I.areas(spark, d))
     first = F.regexp_extract("wkt", r"\(\(([-0-9.]+)", 1).cast("double")
-    return out.withColumn("wkt", F.coalesce(F.format_string("%.2f", first), F.lit("-"))).withColumn(
-        "wkt", F.when(F.col("wkt") == "null", "-").otherwise(F.col("wkt"))
-    )
+    shown = F.when(F.col("wkt").isNotNull(), F.format_string("%.2f", first)).otherwise("-")
+    return out.withColumn("wkt", shown)
 
 
 _WEATHER = """, z AS (SELECT area, fdate, avg(value) AS v FROM grid_daily JOIN areas
@@ -180,13 +180,12 @@ def moisture_table(spark, d):
 
 @query(
     "cropland_areas", "area:i value:f",
-    views("grid_static", "areas") + """ SELECT area, avg(value / 10000.0) AS value FROM grid_static JOIN areas
-    ON abs(lon - cx) + abs(lat - cy) < r GROUP BY area HAVING avg(value / 10000.0) >= 0.48""",
+    views("grid_static", "areas") + """ SELECT area, avg(value) AS value FROM grid_static JOIN areas
+    ON abs(lon - cx) + abs(lat - cy) < r GROUP BY area HAVING avg(value) >= 4800""",
 )
 def cropland_areas(spark, d):
-    """Mean crop fraction per polygon above a threshold."""
-    cover = I.grid_static(spark, d).withColumn("value", F.col("value") / 10000.0)
-    return C.cropland_areas(cover, _membership(spark, d), 0.48)
+    """Mean cover per polygon (here in ten-thousandths) above a threshold."""
+    return C.cropland_areas(I.grid_static(spark, d), _membership(spark, d), 4800.0)
 
 
 _WIDE = ", ".join(
@@ -236,11 +235,18 @@ def _plantings(spark, d):
     return s.select(F.col("s_suppkey").alias("area"), day.alias("pdate"), F.date_sub(day, 7).alias("start"))
 
 
-@query("soil_profile_draw", "area:i ensemble:i profile:i")
+@query(
+    "soil_profile_draw", "area:i ensemble:i profile:i",
+    BUFFER_SQL + f""", p AS (SELECT area, gid AS profile, row_number() OVER (PARTITION BY area ORDER BY gid) - 1 AS i,
+    count(*) OVER (PARTITION BY area) AS n FROM reach),
+    m AS (SELECT area, e, CAST(floor({_u('5', 'area, e')} * n) AS BIGINT) AS i
+    FROM (SELECT DISTINCT area, n FROM p), range(1, 41) AS r(e))
+    SELECT area, e AS ensemble, profile FROM m JOIN p USING (area, i)""",
+)
 def soil_profile_draw(spark, d):
     """Forty soil profiles per polygon, drawn from those in reach."""
     reach = spatial.within_growing_buffer(I.areas(spark, d), I.basin(spark, d))
-    return C.sample_profiles(reach.withColumn("profile", F.col("gid")), 40, 5)
+    return C.sample_profiles(reach.withColumn("profile", F.col("gid")), 40, 5, portable=True)
 
 
 @query(

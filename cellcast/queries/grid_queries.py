@@ -283,7 +283,16 @@ def nearest_soil_of_cells(spark, d):
     return spatial.nearest_join(c, I.basin(spark, d), ("x", "y"), ("lon", "lat"), "gid")
 
 
-@query("growing_buffer", "area:i gid:i ring:i")
+# Distance to a diamond: to an edge, or to a vertex beyond its reach.
+BUFFER_SQL = views("basin", "areas") + """, dist AS (SELECT area, gid, abs(lon - cx) <= r AND abs(lat - cy) <= r AS boxed,
+    CASE WHEN abs(lon - cx) - abs(lat - cy) > r THEN sqrt(pow(abs(lon - cx) - r, 2) + pow(lat - cy, 2))
+    WHEN abs(lat - cy) - abs(lon - cx) > r THEN sqrt(pow(lon - cx, 2) + pow(abs(lat - cy) - r, 2))
+    ELSE greatest(0, (abs(lon - cx) + abs(lat - cy) - r) / sqrt(2)) END AS away FROM basin, areas),
+    ringed AS (SELECT area, gid, CASE WHEN boxed THEN 0 ELSE greatest(1, CAST(ceil(away / 0.1) AS BIGINT)) END AS ring FROM dist),
+    reach AS (SELECT area, gid, ring FROM (SELECT *, min(ring) OVER (PARTITION BY area) AS low FROM ringed) WHERE ring = low)"""
+
+
+@query("growing_buffer", "area:i gid:i ring:i", BUFFER_SQL + " SELECT * FROM reach")
 def growing_buffer(spark, d):
     """Points in each polygon's box, or in the smallest 0.1-degree buffer with any."""
     return spatial.within_growing_buffer(I.areas(spark, d), I.basin(spark, d))
@@ -309,9 +318,13 @@ def polygon_distance(spark, d):
     return out.withColumn("distance", away)
 
 
-@query("satellite_tiles", "gid:i tiles:i first:s")
+@query(
+    "satellite_tiles", "gid:i h:i v:i",
+    views("basin") + """ SELECT gid, CAST(floor(18 + lon * cos(radians(lat)) / 10) AS BIGINT) AS h,
+    CAST(floor((90 - lat) / 10) AS BIGINT) AS v FROM basin""",
+)
 def satellite_tiles(spark, d):
-    """Satellite tiles whose box holds each basin cell."""
+    """Satellite tiles whose box meets each basin cell, narrowed to the one under its centre."""
     b = I.basin(spark, d)
     cell = F.struct(
         (F.col("lon") - 0.125).alias("xmin"), (F.col("lat") - 0.125).alias("ymin"),
@@ -319,10 +332,9 @@ def satellite_tiles(spark, d):
     )
     boxes = b.select(F.col("gid").alias("area"), cell.alias("bbox"))
     hit = spatial.boxes_touching(boxes, catalog.satellite_tiles(spark), 10.0)
-    name = F.format_string("h%02dv%02d", "h", "v")
-    return hit.groupBy(F.col("area").alias("gid")).agg(
-        F.count("*").alias("tiles"), F.min(name).alias("first")
-    )
+    named = hit.withColumnRenamed("area", "gid").join(b.select("gid", "lon", "lat"), "gid")
+    h, v = catalog.tile_of(F.col("lon"), F.col("lat"))
+    return named.filter((F.col("h") == h) & (F.col("v") == v))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Variable, dataset, first year, last year (0 = still running), days between
@@ -55,7 +55,7 @@ def satellite_tiles(spark: SparkSession) -> DataFrame:
     far = F.greatest(F.abs(top), F.abs(bottom))
     inner = F.when(west >= 0, west).otherwise(-east)
     reach = 180.0 * F.cos(F.radians(near.cast("double")))
-    tiles = ids.withColumn("_inner", inner).filter(inner < reach)
+    tiles = ids.withColumn("_inner", inner).filter(inner < reach - 1e-9)
     # Near the edge of the globe only part of the tile is land-bearing sphere: the farthest
     # latitude at which the inner edge still lies on it.
     limit = F.degrees(F.acos(F.least(F.lit(1.0), F.col("_inner") / 180.0)))
@@ -73,3 +73,9 @@ def satellite_tiles(spark: SparkSession) -> DataFrame:
         F.when(north, reached).otherwise(-near.cast("double")).alias("ymax"),
     )
     return tiles.select("h", "v", box.alias("tile_box"))
+
+
+def tile_of(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(h, v) of the tile under a point."""
+    h = F.floor(18 + lon * F.cos(F.radians(lat)) / 10)
+    return h.cast("int"), F.floor((90 - lat) / 10).cast("int")
