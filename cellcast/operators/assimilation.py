@@ -241,7 +241,8 @@ def _singular(gram: np.ndarray, rank: int):
 
 
 def _inverse(s: np.ndarray) -> np.ndarray:
-    floor = s.max() * 1e-8 if len(s) else 0.0
+    # Square roots of a Gram matrix's eigenvalues are only good to about 1e-8.
+    floor = s.max() * 1e-6 if len(s) else 0.0
     return np.divide(1.0, s, out=np.zeros_like(s), where=s > floor)
 
 
@@ -265,11 +266,12 @@ def enkf_weights(sums: dict, n: int, nobs: int, seed: int, kept: float = 0.999)
 def sqrtenkf_weights(sums: dict, n: int, nobs: int, seed: int, kept: float = 0.999) -> np.ndarray:
     """Square-root filter with a seeded random rotation (Evensen 2004)."""
     s, v = _singular(sums["hh"], min(n, nobs))
+    # A vanishing singular value (anomalies sum to zero, so there is one whenever there are
+    # at least N observations) has all of the inverse's weight: it alone is cut then.
     inv = _inverse(s)
-    share = np.cumsum(inv) / inv.sum()
-    past = np.where(share > kept)[0]
-    if len(past):
-        inv[past[0]:] = 0.0
+    if np.all(inv > 0):
+        share = np.cumsum(inv) / inv.sum()
+        inv[np.argmax(share > kept):] = 0.0
     left = (v * inv**2).T
     u1, s1, _ = np.linalg.svd(left @ sums["he"], full_matrices=False)
     x1_d = u1.T @ left @ sums["hd"]

@@ -37,7 +37,7 @@ def direct(method, a, ha, d, e):
         inv[np.cumsum(s) / s.sum() > 0.999] = 0
         return a + x @ y.T @ (u * inv) @ u.T @ dp
     u0, s0, _ = np.linalg.svd(y, full_matrices=False)
-    inv = np.where(s0 > s0.max() * 1e-8, 1 / np.where(s0 == 0, 1, s0), 0)
+    inv = 1 / np.maximum(s0, 1e-300)
     inv[np.where(np.cumsum(inv) / inv.sum() > 0.999)[0][0]:] = 0
     x0 = inv[:, None] * u0.T @ e
     u1, s1, _ = np.linalg.svd(x0, full_matrices=False)
