@@ -8,52 +8,54 @@ import numpy as np
 
 
 def _nelder_mead(loss, start, xtol=1e-4, ftol=1e-4, limit=600):
-    """Downhill simplex search (Nelder and Mead 1965), at most ``limit`` evaluations."""
-    calls = 0
-
-    def fun(point):
-        nonlocal calls
-        calls += 1
-        return loss(point)
+    """Downhill simplex search (Nelder and Mead 1965), at most ``limit`` evaluations.
 
+    Points are short tuples: plain arithmetic on them is faster than on small arrays.
+    """
     n = len(start)
-    simplex = [np.array(start, float)]
-    for k in range(n):
-        point = np.array(start, float)
-        point[k] = point[k] * 1.05 if point[k] != 0 else 0.00025
-        simplex.append(point)
-    scores = [fun(p) for p in simplex]
+    axes = range(n)
+    corners = [tuple(start)]
+    for k in axes:
+        moved = start[k] * 1.05 if start[k] != 0 else 0.00025
+        corners.append(tuple(moved if i == k else start[i] for i in axes))
+    simplex = sorted((loss(p), p) for p in corners)
+    calls = n + 1
+
+    def blend(a, p, b, q):
+        return tuple(a * p[i] + b * q[i] for i in axes)
+
     while calls < limit:
-        order = np.argsort(scores, kind="stable")
-        simplex = [simplex[i] for i in order]
-        scores = [scores[i] for i in order]
-        spread = max(np.max(np.abs(p - simplex[0])) for p in simplex[1:])
-        if spread <= xtol and max(abs(s - scores[0]) for s in scores[1:]) <= ftol:
+        best_score, best = simplex[0]
+        if simplex[-1][0] - best_score <= ftol and all(
+            abs(p[i] - best[i]) <= xtol for _, p in simplex[1:] for i in axes
+        ):
             break
-        centre = np.mean(simplex[:-1], axis=0)
-        worst = simplex[-1]
-        reflected = 2 * centre - worst
-        fr = fun(reflected)
-        if fr < scores[0]:
-            expanded = 3 * centre - 2 * worst
-            fe = fun(expanded)
-            simplex[-1], scores[-1] = (expanded, fe) if fe < fr else (reflected, fr)
-            continue
-        if fr < scores[-2]:
-            simplex[-1], scores[-1] = reflected, fr
-            continue
-        if fr < scores[-1]:
-            trial, bound = 1.5 * centre - 0.5 * worst, fr
-        else:
-            trial, bound = 0.5 * centre + 0.5 * worst, scores[-1]
-        ft = fun(trial)
-        if ft <= bound:
-            simplex[-1], scores[-1] = trial, ft
-        else:
-            simplex = [simplex[0]] + [0.5 * (simplex[0] + p) for p in simplex[1:]]
-            scores = [scores[0]] + [fun(p) for p in simplex[1:]]
-    best = int(np.argmin(scores))
-    return simplex[best], scores[best]
+        centre = tuple(sum(p[i] for _, p in simplex[:-1]) / n for i in axes)
+        worst_score, worst = simplex[-1]
+        point = blend(2.0, centre, -1.0, worst)
+        score = loss(point)
+        calls += 1
+        if score < best_score:
+            further = blend(3.0, centre, -2.0, worst)
+            far_score = loss(further)
+            calls += 1
+            if far_score < score:
+                point, score = further, far_score
+        elif score >= simplex[-2][0]:
+            outside = score < worst_score
+            trial = blend(1.5, centre, -0.5, worst) if outside else blend(0.5, centre, 0.5, worst)
+            trial_score = loss(trial)
+            calls += 1
+            if trial_score <= (score if outside else worst_score):
+                point, score = trial, trial_score
+            else:
+                shrunk = [blend(0.5, best, 0.5, p) for _, p in simplex[1:]]
+                simplex = sorted([simplex[0]] + [(loss(p), p) for p in shrunk])
+                calls += n
+                continue
+        simplex[-1] = (score, point)
+        simplex.sort()
+    return simplex[0][1], simplex[0][0]
 
 
 def fit_mle(x: np.ndarray):
@@ -79,11 +81,13 @@ def fit_mle(x: np.ndarray):
         a, b, s = theta
         if a <= 0 or s <= 0 or b >= low:
             return math.inf
-        z = (x - b) / s
-        return n * (math.lgamma(a) + math.log(s)) - (a - 1) * np.log(z).sum() + z.sum()
+        z = x - b
+        logs = float(np.log(z).sum()) - n * math.log(s)
+        return n * (math.lgamma(a) + math.log(s)) - (a - 1) * logs + (total - n * b) / s
 
-    low = x.min()
-    best, score = _nelder_mead(loss, [shape, loc, scale])
+    total = float(x.sum())
+    low = float(x.min())
+    best, score = _nelder_mead(loss, (float(shape), float(loc), float(scale)))
     if not math.isfinite(score):
         return None
     return float(best[0]), float(best[1]), float(best[2])
@@ -119,6 +123,36 @@ def cdf(x: np.ndarray, shape, loc, scale) -> np.ndarray:
     return out
 
 
+# Coefficients of Acklam's rational approximation to the normal quantile.
+_MIDDLE_TOP = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
+               1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+_MIDDLE_BOTTOM = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
+                  6.680131188771972e01, -1.328068155288572e01, 1.0]
+_TAIL_TOP = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
+             -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+_TAIL_BOTTOM = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
+                3.754408661907416e00, 1.0]
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Standard normal quantile, about 1e-9 relative; infinite at 0 and 1, NaN for NaN."""
+    p = np.asarray(p, float)
+    with np.errstate(all="ignore"):
+        q = p - 0.5
+        r = q * q
+        middle = np.polyval(_MIDDLE_TOP, r) * q / np.polyval(_MIDDLE_BOTTOM, r)
+        t = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+        tail = np.polyval(_TAIL_TOP, t) / np.polyval(_TAIL_BOTTOM, t)
+        out = np.where(np.abs(q) <= 0.47575, middle, np.where(q < 0, tail, -tail))
+    out = np.where(p <= 0, -np.inf, out)
+    return np.where(p >= 1, np.inf, out)
+
+
+def standard_score(x, shape, loc, scale, limit: float) -> np.ndarray:
+    """Normal quantile of the gamma probability, bounded to +-limit."""
+    return np.clip(normal_quantile(cdf(x, shape, loc, scale)), -limit, limit)
+
+
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 

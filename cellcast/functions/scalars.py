@@ -84,38 +84,3 @@ def soil_line_fields(line: Column, layers: int = 3) -> Column:
         (total(ksat) / F.lit(2.0)).alias("ksat"),
         (total(thickness) * F.lit(1000.0)).alias("depth_mm"),
     )
-
-
-def inverse_normal(p: Column) -> Column:
-    """Standard normal quantile as one native expression (Acklam's rational approximation
-    followed by no refinement is about 1e-9 relative), NULL outside (0, 1)."""
-    # Coefficients of the published approximation.
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
-         1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
-         6.680131188771972e01, -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
-         -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
-         3.754408661907416e00]
-
-    def poly(coeffs: list[float], x: Column) -> Column:
-        out = F.lit(coeffs[0])
-        for k in coeffs[1:]:
-            out = out * x + F.lit(k)
-        return out
-
-    def tail(q: Column) -> Column:
-        r = F.sqrt(F.lit(-2.0) * F.log(q))
-        return poly(c, r) / poly(d + [1.0], r)
-
-    mid_q = p - 0.5
-    mid_r = mid_q * mid_q
-    middle = poly(a, mid_r) * mid_q / poly(b + [1.0], mid_r)
-    cut = 0.02425
-    return (
-        F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-        .when(p < cut, tail(p))
-        .when(p > 1 - cut, -tail(F.lit(1.0) - p))
-        .otherwise(middle)
-    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.functions import scalars
-from cellcast.functions.gamma import cdf, fit_mle, fit_thom
+from cellcast.functions.gamma import fit_mle, fit_thom, standard_score
 from cellcast.operators import series as S
 from cellcast.operators.common import spread
 from cellcast.operators.grid import between
@@ -24,6 +24,7 @@ from cellcast.operators.grid import between
 log = logging.getLogger(__name__)
 CELL = ["gid"]
 DAYS_PER_MONTH = 30
+LIMIT = scalars.INDEX_LIMIT
 
 
 def _add_months(day: date, months: int) -> date:
@@ -59,20 +60,26 @@ def _thom(gap: Column, mean: Column) -> list[Column]:
 
 
 @F.pandas_udf(T.DoubleType())
-def gamma_cdf(x: pd.Series, shape: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-    """Three-parameter gamma distribution function over an Arrow batch."""
-    return pd.Series(cdf(x.to_numpy(), shape.to_numpy(), loc.to_numpy(), scale.to_numpy()))
+def gamma_score(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
+    """Bounded normal score of two-parameter gamma probabilities over an Arrow batch."""
+    z = standard_score(x.to_numpy(), shape.to_numpy(), 0.0, scale.to_numpy(), LIMIT)
+    return pd.Series(z)
+
+
+# Declared non-deterministic so that a filter on the result is not pushed below it, which
+# would run the function twice per row. The values themselves are deterministic.
+gamma_score = gamma_score.asNondeterministic()
 
 
 def _fit_cell(frame: pd.DataFrame) -> pd.DataFrame:
-    """Add fitted parameters and the distribution function to one cell's rows."""
+    """Fit one cell's usable means and score all of its rows."""
     sample = frame.loc[frame["usable"], "pm"].to_numpy()
     params, how = fit_mle(sample), "mle"
     if params is None:
         params, how = fit_thom(sample), "thom"
     if params is None:
-        return frame.assign(p=float("nan"), method="none")
-    return frame.assign(p=cdf(frame["pm"].to_numpy(), *params), method=how)
+        return frame.assign(z=float("nan"), method="none")
+    return frame.assign(z=standard_score(frame["pm"].to_numpy(), *params, LIMIT), method=how)
 
 
 def standardised_index(
@@ -107,29 +114,21 @@ def standardised_index(
     # The first full window (row number = rows) is left out of the fit and of the output.
     means = means.withColumn("usable", (F.col("_rn") > rows) & F.col("pm").isNotNull())
     if fit == "mle":
-        shape = "gid {0}, fdate date, pm double, usable boolean, p double, method string".format(
+        layout = "gid {0}, fdate date, pm double, usable boolean, z double, method string".format(
             series.schema["gid"].dataType.simpleString()
         )
         fitted = means.select("gid", "fdate", "pm", "usable")
-        fitted = fitted.groupBy("gid").applyInPandas(_fit_cell, shape)
-        fitted = fitted.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+        fitted = fitted.groupBy("gid").applyInPandas(_fit_cell, layout)
     else:
         whole = Window.partitionBy("gid")
         x = F.when(F.col("usable") & (F.col("pm") > 0), F.col("pm"))
-        fitted = means.withColumn("_m", F.avg(x).over(whole))
-        fitted = fitted.withColumn("_a", F.log("_m") - F.avg(F.log(x)).over(whole))
-        fitted = fitted.select("*", *_thom(F.col("_a"), F.col("_m")))
-        zero = F.when(F.col("pm") <= 0, F.lit(0.0))
-        level = gamma_cdf(F.col("pm"), F.col("shape"), F.lit(0.0), F.col("scale"))
-        fitted = fitted.withColumn("_p", level).withColumn(
-            "p", F.coalesce(zero, F.when(~F.isnan("_p"), F.col("_p")))
-        ).withColumn("method", F.lit("thom"))
-    p = F.col("p")
-    z = (
-        F.when(p <= 0, F.lit(-scalars.INDEX_LIMIT))
-        .when(p >= 1, F.lit(scalars.INDEX_LIMIT))
-        .otherwise(scalars.clip_index(scalars.inverse_normal(p)))
-    )
+        stats = means.withColumn("_m", F.avg(x).over(whole)).withColumn(
+            "_a", F.log("_m") - F.avg(F.log(x)).over(whole)
+        )
+        fitted = stats.select("*", *_thom(F.col("_a"), F.col("_m")))
+        score = gamma_score(F.col("pm"), F.col("shape"), F.col("scale"))
+        fitted = fitted.withColumn("z", score).withColumn("method", F.lit("thom"))
+    z = F.when(~F.isnan("z"), F.col("z"))
     warm = F.lit(0.0) if compat else F.lit(None).cast("double")
     return fitted.select(
         "gid", "fdate", F.when(F.col("usable"), z).otherwise(warm).alias("value"), "method"

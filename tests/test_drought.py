@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellcast.functions import gamma, scalars
+from cellcast.functions import gamma
 from cellcast.operators import drought
 from cellcast.operators import series as S
 
@@ -148,13 +148,11 @@ def test_gamma_fit_finds_a_good_optimum():
     assert gamma.fit_mle(np.ones(10)) is None
 
 
-def test_inverse_normal(spark):
+def test_normal_quantile():
     ps = [1e-6, 0.001, 0.02, 0.3, 0.5, 0.77, 0.99, 1 - 1e-6]
-    rows = spark.createDataFrame([(p,) for p in ps], "p double")
-    got = [r[0] for r in rows.select(scalars.inverse_normal(F.col("p"))).collect()]
-    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-8)
-    bad = spark.createDataFrame([(0.0,), (1.0,)], "p double")
-    assert [r[0] for r in bad.select(scalars.inverse_normal(F.col("p"))).collect()] == [None, None]
+    assert gamma.normal_quantile(ps) == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-8)
+    edge = gamma.normal_quantile([0.0, 1.0, float("nan")])
+    assert edge[0] == -math.inf and edge[1] == math.inf and math.isnan(edge[2])
 
 
 def test_combined_level_last_match_wins(spark):
