@@ -111,8 +111,8 @@ def error_draws(
     """
     at = [F.col(k) for k in keys]
 
-    def one(k: int) -> Column:
-        z = rng.normal(f"{seed}e{k}", *at)
+    def one(k: Column) -> Column:
+        z = rng.normal(f"{seed}e", *at, k)
         plain = stddev * z
         if distribution is None:
             return plain
@@ -120,7 +120,7 @@ def error_draws(
         name = F.get(parts, 0)
         loc = F.coalesce(F.get(parts, 1).try_cast("double"), F.lit(0.0))
         scale = F.coalesce(F.get(parts, 2).try_cast("double"), F.lit(1.0))
-        u = rng.uniform(f"{seed}u{k}", *at)
+        u = rng.uniform(f"{seed}u", *at, k)
         safe = F.greatest(u, F.lit(1e-15))
         half = u - 0.5
         laplace = -F.signum(half) * F.log(F.greatest(1 - 2 * F.abs(half), F.lit(1e-15)))
@@ -133,7 +133,8 @@ def error_draws(
             .otherwise(plain)
         )
 
-    return observations.withColumn("e", F.array(*[one(k) for k in range(1, count + 1)]))
+    numbers = F.sequence(F.lit(1), F.lit(count))
+    return observations.withColumn("e", F.transform(numbers, one))
 
 
 def combine_products(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellcast.functions import rng, scalars
+from cellcast.functions import scalars
 from cellcast.functions.dates import doy_to_date, fixed_year
 from cellcast.operators import spatial
 from cellcast.operators.common import members
-from cellcast.operators.ensemble import cycle_variants
+from cellcast.operators.ensemble import cycle_variants, draw_rows
 from cellcast.operators.series import gap_fill_years
 
 WEATHER = ("net_short", "net_long", "rainf", "tmax", "tmin")
@@ -239,15 +239,7 @@ def sample_profiles(
     candidates: DataFrame, count: int, seed: int, portable: bool = False
 ) -> DataFrame:
     """Soil profiles drawn with replacement, ``count`` members per area."""
-    order = Window.partitionBy("area").orderBy("profile")
-    ranked = candidates.select("area", "profile").withColumn(
-        "_i", (F.row_number().over(order) - 1).cast("long")
-    )
-    sizes = ranked.groupBy("area").agg(F.count("*").alias("_n"))
-    drawn = members(sizes, count).withColumn(
-        "_i", rng.pick(seed, F.col("_n"), F.col("area"), F.col("ensemble"), portable=portable)
-    )
-    return drawn.join(ranked, ["area", "_i"]).select("area", "ensemble", "profile")
+    return draw_rows(candidates, ["area"], "profile", count, seed, portable)
 
 
 def cultivar_ensemble(variants: DataFrame, crop: str, count: int = 40) -> DataFrame:

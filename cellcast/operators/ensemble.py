@@ -108,23 +108,34 @@ def random_windows(
     )
 
 
-def state_by_month(
-    catalog: DataFrame, keys: Sequence[str], month: int, count: int, seed: int, portable: bool = False
+def draw_rows(
+    pool: DataFrame,
+    keys: Sequence[str],
+    item: str,
+    count: int,
+    seed: int,
+    portable: bool = False,
 ) -> DataFrame:
-    """Draw saved states of one calendar month with replacement, ``count`` per key.
+    """Draw one ``item`` per key and member, with replacement over members.
 
-    Candidates get their index by rank inside the key; each draw finds its row by an
-    equi-join on (key, index). Repeated files of a key collapse first.
+    Member e takes the item whose hash (seed, key, e, item) is lowest: every item is equally
+    likely and members are independent. This is a plain minimum with map-side combine, so
+    a key with a third of all rows needs no ranking in one task. Repeated items count once.
     """
-    pool = catalog.filter(F.month("fdate") == month).select(*keys, "filename").distinct()
-    order = Window.partitionBy(*keys).orderBy("filename")
-    pool = pool.withColumn("_i", (F.row_number().over(order) - 1).cast("long"))
-    sizes = pool.groupBy(*keys).agg(F.count("*").alias("_n"))
-    drawn = members(sizes, count).withColumn(
-        "_i",
-        rng.pick(seed, F.col("_n"), *[F.col(k) for k in keys], F.col("ensemble"), portable=portable),
+    out = members(pool.select(*keys, item), count)
+    draw = rng.uniform(
+        seed, *[F.col(k) for k in keys], F.col("ensemble"), F.col(item), portable=portable
     )
-    return drawn.join(pool, [*keys, "_i"]).select(*keys, "ensemble", "filename")
+    best = out.groupBy(*keys, "ensemble").agg(F.min(F.struct(draw.alias("_u"), item)).alias("_b"))
+    return best.select(*keys, "ensemble", F.col(f"_b.{item}").alias(item))
+
+
+def state_by_month(
+    catalog: DataFrame, keys: Sequence[str], month: int, count: int, seed: int, portable: bool = False
+) -> DataFrame:
+    """Draw saved states of one calendar month with replacement, ``count`` per key."""
+    pool = catalog.filter(F.month("fdate") == month)
+    return draw_rows(pool, keys, "filename", count, seed, portable)
 
 
 def warm_up_choice(requests: DataFrame, catalog: DataFrame, keys: Sequence[str]) -> DataFrame:

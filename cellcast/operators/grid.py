@@ -374,3 +374,11 @@ def nearest_resolution(catalog: DataFrame, wanted: Column | float, keys: Sequenc
     target = wanted if isinstance(wanted, Column) else F.lit(wanted)
     gap = F.struct(F.abs(F.col("resolution") - target), F.col("resolution"))
     return catalog.groupBy(*keys).agg(F.min_by("resolution", gap).alias("resolution"))
+
+
+def closest_of(wanted: Column, options: Column) -> Column:
+    """Element of an array of resolutions closest to the wanted one; the finer wins a tie."""
+    gaps = F.transform(
+        options, lambda r: F.struct(F.round(F.abs(r - wanted), 9).alias("gap"), r.alias("r"))
+    )
+    return F.array_min(gaps)["r"]

@@ -237,11 +237,8 @@ def _plantings(spark, d):
 
 @query(
     "soil_profile_draw", "area:i ensemble:i profile:i",
-    BUFFER_SQL + f""", p AS (SELECT area, gid AS profile, row_number() OVER (PARTITION BY area ORDER BY gid) - 1 AS i,
-    count(*) OVER (PARTITION BY area) AS n FROM reach),
-    m AS (SELECT area, e, CAST(floor({_u('5', 'area, e')} * n) AS BIGINT) AS i
-    FROM (SELECT DISTINCT area, n FROM p), range(1, 41) AS r(e))
-    SELECT area, e AS ensemble, profile FROM m JOIN p USING (area, i)""",
+    BUFFER_SQL + f""" SELECT area, e AS ensemble, arg_min(gid, ({_u('5', 'area, e, gid')}, gid)) AS profile
+    FROM reach, range(1, 41) AS r(e) GROUP BY 1, 2""",
 )
 def soil_profile_draw(spark, d):
     """Forty soil profiles per polygon, drawn from those in reach."""

@@ -139,11 +139,8 @@ def random_init(spark, d):
 
 @query(
     "state_month_draw", "name:i ensemble:i filename:s",
-    views("states") + f""", p AS (SELECT name, filename, row_number() OVER (PARTITION BY name ORDER BY filename) - 1 AS i,
-    count(*) OVER (PARTITION BY name) AS n FROM states WHERE month(fdate) = 4),
-    m AS (SELECT name, e, CAST(floor({_u(str(SEED), 'name, e')} * n) AS BIGINT) AS i
-    FROM (SELECT DISTINCT name, n FROM p), range(1, 6) AS r(e))
-    SELECT name, e AS ensemble, filename FROM m JOIN p USING (name, i)""",
+    views("states") + f""" SELECT name, e AS ensemble, arg_min(filename, ({_u(str(SEED), 'name, e, filename')}, filename)) AS filename
+    FROM states, range(1, 6) AS r(e) WHERE month(fdate) = 4 GROUP BY 1, 2""",
 )
 def state_month_draw(spark, d):
     """Saved states of one month drawn with replacement."""

@@ -436,14 +436,9 @@ def grid_catalog(spark, d):
     SELECT gid, arg_min(resolution, (round(abs(resolution - want), 9), resolution)) AS resolution FROM w, c GROUP BY gid""")
 def nearest_resolution(spark, d):
     """Available resolution closest to what each basin cell wants."""
-    options = _catalog(spark, d).select("resolution").distinct()
-    packed = options.agg(F.sort_array(F.collect_set("resolution")).alias("all"))
+    known = _catalog(spark, d).agg(F.sort_array(F.collect_set("resolution"))).scalar()
     wants = I.table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("gid"), (0.2 + (F.col("s_suppkey") % 20) * 0.1).alias("want")
+        F.col("s_suppkey").alias("gid"), F.round(0.2 + (F.col("s_suppkey") % 20) * 0.1, 9).alias("want"),
+        known.alias("known"),
     )
-    values = packed.scalar()
-    rows = wants.withColumn("resolution", F.explode(values)).withColumn(
-        "want", F.round("want", 9)
-    )
-    gap = F.struct(F.round(F.abs(F.col("resolution") - F.col("want")), 9), F.col("resolution"))
-    return rows.groupBy("gid").agg(F.min_by("resolution", gap).alias("resolution"))
+    return wants.withColumn("resolution", grid.closest_of(F.col("want"), F.col("known")))
