@@ -153,8 +153,9 @@ def standard_score(x, shape, loc, scale, limit: float) -> np.ndarray:
     return np.clip(normal_quantile(cdf(x, shape, loc, scale)), -limit, limit)
 
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _each(fn, values) -> np.ndarray:
+    """Scalar math function over an array (module-level ufuncs would not pickle)."""
+    return np.fromiter((fn(v) for v in values), float, len(values))
 
 
 def _large_shape(a, z):
@@ -165,12 +166,12 @@ def _large_shape(a, z):
     with np.errstate(all="ignore"):
         c0 = np.where(near, -1 / 3 + eta / 12, 1 / mu - 1 / eta)
     tail = np.exp(-0.5 * a * eta**2) / np.sqrt(2 * math.pi * a) * c0
-    return 0.5 * _erfc(-eta * np.sqrt(a / 2)) - tail if len(a) else a
+    return 0.5 * _each(math.erfc, -eta * np.sqrt(a / 2)) - tail if len(a) else a
 
 
 def _front(a, z):
     values, index = np.unique(a, return_inverse=True)
-    return np.exp(a * np.log(z) - z - _log_gamma(values)[index]) if len(a) else a
+    return np.exp(a * np.log(z) - z - _each(math.lgamma, values)[index]) if len(a) else a
 
 
 def _lower_series(a, z):

@@ -85,7 +85,7 @@ def test_distance_to_polygon(spark):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
-    west=st.integers(-20, 20), south=st.integers(-20, 20), width=st.integers(1, 25), height=st.integers(1, 25)
+    west=st.integers(-20, 20), south=st.integers(-20, 20), width=st.integers(1, 10), height=st.integers(1, 10)
 )
 def test_bbox_keeps_edge_cells(spark, west, south, width, height):
     res = 1.0
