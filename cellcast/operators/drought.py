@@ -20,6 +20,7 @@ from cellcast.functions.gamma import fit_mle, fit_thom, standard_score
 from cellcast.operators import series as S
 from cellcast.operators.common import spread
 from cellcast.operators.grid import between
+from cellcast.session import cut_lineage
 
 log = logging.getLogger(__name__)
 CELL = ["gid"]
@@ -324,12 +325,20 @@ def run_indices(
     compat: bool = False,
     start: date | None = None,
     end: date | None = None,
+    materialise: bool = False,
 ) -> DataFrame:
     """All requested indices as one tall table (gid, fdate, index, value).
 
-    The branches share the same aggregated input, whose shuffle Spark reuses. Indices whose
-    period is too short are skipped, as are combined-index parts that are not given.
+    Each index reads its own columns. Set ``materialise`` when the inputs are aggregations
+    of a larger table: they are then checkpointed once instead of being computed again for
+    every index. Stored daily tables are better read directly. Indices whose period is too
+    short are skipped, as are combined-index parts that are not given.
     """
+    if materialise:
+        shared = par is series
+        series = cut_lineage(series)
+        par = series if shared else par
+        layered = cut_lineage(layered) if layered is not None else None
     first, last = (d.isoformat() if d else None for d in (start, end))
     options = {"fit": fit, "compat": compat, "start": start, "end": end}
     parts: list[DataFrame] = []

@@ -71,9 +71,12 @@ def check_forcings(table: DataFrame, index: DataFrame, start: date, end: date) -
 
 def nowcast_products(
     sim: DataFrame, names: Sequence[str], start: date, end: date, soils: DataFrame | None = None,
-    fit: str = "mle",
+    fit: str = "mle", materialise: bool = True,
 ) -> DataFrame:
-    """Requested drought indices from a tall simulation table, in one tall result."""
+    """Requested drought indices from a tall simulation table, in one tall result.
+
+    The wide daily series is built in one pass over ``sim`` and checkpointed for all indices.
+    """
     first = F.col("layer").isNull()
     pick = lambda v: F.max(F.when((F.col("var") == v) & first, F.col("value"))).alias(v)
     moist = F.sum(F.when(F.col("var") == "soil_moist", F.col("value"))).alias("soil_moist")
@@ -82,7 +85,8 @@ def nowcast_products(
         "gid", "fdate", "layer", F.col("value").alias("soil_moist")
     )
     return drought.run_indices(
-        names, series, layered, soils, series, fit=fit, start=start, end=end
+        names, series, layered, soils, series, fit=fit, start=start, end=end,
+        materialise=materialise,
     )
 
 

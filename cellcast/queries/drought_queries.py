@@ -318,11 +318,11 @@ def all_indices(spark, d):
     """Every index in one tall table from shared inputs."""
     layers = I.layered(spark, d)
     base = I.daily(spark, d)
-    total = union_sum(layers.withColumnRenamed("soil_moist", "value"), ["gid", "fdate"])
-    joined = base.join(total.withColumnRenamed("value", "soil_moist"), ["gid", "fdate"])
-    par = base.withColumn("par", F.col("runoff"))
+    series = base.withColumns({"soil_moist": F.col("rainf"), "par": F.col("runoff")})
     names = ["spi1", "spi3", "sri3", "severity", "dryspells", "smdi", "cdi"]
-    out = drought.run_indices(names, joined, layers, soils(spark, d), par, fit="thom")
+    out = drought.run_indices(
+        names, series, layers, soils(spark, d), series, fit="thom", materialise=True
+    )
     return out.filter(F.col("value").isNotNull())
 
 
