@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from cellcast.functions import scalars
+from cellcast.functions import gamma, scalars
 from cellcast.functions.dates import dekad_start
 from cellcast.operators import drought, series as S
 from cellcast.operators.grid import between, mask_by_first_date, union_sum
@@ -176,7 +176,36 @@ def spi3(spark, d):
     return out.filter(F.col("value").isNotNull())
 
 
-@query("spi1_closed_form", "gid:i fdate:d value:f method:s")
+def _polynomial(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for k in coefficients[1:]:
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+_MID_R = "((p - 0.5) * (p - 0.5))"
+_LOW_T, _HIGH_T = "sqrt(-2 * ln(p))", "sqrt(-2 * ln(1 - p))"
+_QUANTILE = f"""CASE WHEN p <= 0 THEN -9 WHEN p >= 1 THEN 9
+    WHEN p < 0.02425 THEN {_polynomial(gamma._TAIL_TOP, _LOW_T)} / {_polynomial(gamma._TAIL_BOTTOM, _LOW_T)}
+    WHEN p > 0.97575 THEN -{_polynomial(gamma._TAIL_TOP, _HIGH_T)} / {_polynomial(gamma._TAIL_BOTTOM, _HIGH_T)}
+    ELSE {_polynomial(gamma._MIDDLE_TOP, _MID_R)} * (p - 0.5) / {_polynomial(gamma._MIDDLE_BOTTOM, _MID_R)} END"""
+
+# The distribution function in SQL is the plain power series, summed as exponentials.
+_CLOSED = """, u AS (SELECT gid, fdate, mean FROM m WHERE n = {rows} AND rn > {rows}),
+    x AS (SELECT gid, avg(mean) AS a, avg(ln(mean)) AS l FROM u WHERE mean > 0 GROUP BY gid),
+    y AS (SELECT gid, a, ln(a) - l AS g FROM x),
+    z AS (SELECT gid, a, (1 + sqrt(1 + 4 * g / 3)) / (4 * g) AS shape FROM y WHERE g > 1e-12),
+    c AS (SELECT u.gid, fdate, shape, mean / (a / shape) AS q FROM u JOIN z USING (gid)),
+    p AS (SELECT gid, fdate, least(1.0, list_sum(list_transform(range(0, 600),
+    lambda k: exp((shape + k) * ln(q) - q - lgamma(shape + k + 1))))) AS p FROM c),
+    spi AS (SELECT gid, fdate, greatest(-3.09, least(3.09, {quantile})) AS value FROM p)"""
+
+
+@query(
+    "spi1_closed_form", "gid:i fdate:d value:f method:s",
+    views("daily") + _ROLL.format(v="rainf", back=29) + _CLOSED.format(rows=30, quantile=_QUANTILE)
+    + " SELECT gid, fdate, value, 'thom' AS method FROM spi", digits=5,
+)
 def spi1_closed_form(spark, d):
     """One-month precipitation index, closed-form fit as native aggregates."""
     out = drought.spi(I.daily(spark, d), 1, fit="thom")
@@ -206,21 +235,21 @@ def dekad_mean(spark, d):
     return S.dekad_mean(I.daily(spark, d), CELL, "rainf").withColumnRenamed("rainf", "value")
 
 
-_SCORE = """, k AS (SELECT gid, CAST(""" + _DEKAD.format("fdate") + """ AS DATE) AS dekad,
-    avg(v) AS v FROM t GROUP BY 1, 2),
-    h AS (SELECT gid, dekad, {head} AS v FROM k{join}),
-    z AS (SELECT gid, dekad, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z
-    FROM h WINDOW w AS (PARTITION BY gid)),
-    j AS (SELECT t.gid, t.fdate, z.z FROM t LEFT JOIN z ON z.gid = t.gid AND z.dekad = t.fdate
+_SCORE = """, {p}k AS (SELECT gid, CAST(""" + _DEKAD.format("fdate") + """ AS DATE) AS dekad,
+    avg(v) AS v FROM {p}t GROUP BY 1, 2),
+    {p}h AS (SELECT gid, dekad, {head} AS v FROM {p}k{join}),
+    {p}z AS (SELECT gid, dekad, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z
+    FROM {p}h WINDOW w AS (PARTITION BY gid)),
+    {p}j AS (SELECT t.gid, t.fdate, s.z FROM {p}t AS t LEFT JOIN {p}z AS s ON s.gid = t.gid AND s.dekad = t.fdate
     WHERE t.fdate BETWEEN DATE '{a}' AND DATE '{b}'),
-    f AS (SELECT gid, fdate, last_value(z IGNORE NULLS) OVER (PARTITION BY gid ORDER BY fdate
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM j)"""
+    {p}f AS (SELECT gid, fdate, last_value(z IGNORE NULLS) OVER (PARTITION BY gid ORDER BY fdate
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {p}j)"""
 
 
 @query(
     "fapar_score", "gid:i fdate:d value:f",
     views("daily") + ", t AS (SELECT gid, fdate, runoff AS v FROM daily)"
-    + _SCORE.format(head="v", join="", a=START, b=END)
+    + _SCORE.format(p="", head="v", join="", a=START, b=END)
     + " SELECT * FROM f WHERE value IS NOT NULL",
 )
 def fapar_score(spark, d):
@@ -271,7 +300,7 @@ def soil_class(spark, d):
     views("layered") + ", t AS (SELECT gid, fdate, sum(soil_moist) AS v FROM layered WHERE layer < 3 GROUP BY 1, 2)"
     + _SOILS
     + _SCORE.format(
-        head="ln(psi * pow((v / depth_mm) / n, -b))", join=" JOIN classed USING (gid)", a=START, b=END
+        p="", head="ln(psi * pow((v / depth_mm) / n, -b))", join=" JOIN classed USING (gid)", a=START, b=END
     )
     + " SELECT * FROM f WHERE value IS NOT NULL",
 )
@@ -292,6 +321,31 @@ def combined_index(spark, d):
     )
 
 
+_ALWAYS = {"a": "1900-01-01", "b": "2100-01-01"}
+
+
+@query(
+    "combined_index_closed_form", "gid:i fdate:d value:i",
+    views("daily", "layered") + _ROLL.format(v="rainf", back=89) + _CLOSED.format(rows=90, quantile=_QUANTILE)
+    + ", st AS (SELECT gid, fdate, sum(soil_moist) AS v FROM layered WHERE layer < 3 GROUP BY 1, 2)" + _SOILS
+    + _SCORE.format(p="s", head="ln(psi * pow((v / depth_mm) / n, -b))", join=" JOIN classed USING (gid)", **_ALWAYS)
+    + ", qt AS (SELECT gid, fdate, runoff AS v FROM daily)"
+    + _SCORE.format(p="q", head="v", join="", **_ALWAYS)
+    + """ SELECT gid, fdate, CASE WHEN spi.value < -1 AND qf.value < -1 AND sf.value > 1 THEN 4
+    WHEN spi.value < -1 AND qf.value < -1 THEN 3 WHEN spi.value < -1 AND qf.value > 1 THEN 2
+    WHEN spi.value < -1 THEN 1 ELSE 0 END AS value
+    FROM daily JOIN sf USING (gid, fdate) JOIN qf USING (gid, fdate) LEFT JOIN spi USING (gid, fdate)""",
+)
+def combined_index_closed_form(spark, d):
+    """Combined drought category with the closed-form precipitation fit."""
+    base = I.daily(spark, d)
+    return drought.combined_index(
+        drought.spi(base, 3, fit="thom"),
+        drought.suction_score(I.layered(spark, d), soils(spark, d)),
+        drought.fapar_score(base, "runoff"),
+    )
+
+
 @query(
     "combined_level", "gid:i fdate:d value:i",
     views("daily") + """, s AS (SELECT gid, fdate,
