@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.functions import scalars
+from cellcast.functions.dates import dekad_start
 from cellcast.functions.gamma import fit_mle, fit_thom, standard_score
 from cellcast.operators import series as S
 from cellcast.operators.common import spread
@@ -249,11 +250,35 @@ def smdi(
 
 
 def _dekad_score(
-    dekads: DataFrame, days: DataFrame, value: str, start: str | None, end: str | None
+    daily: DataFrame,
+    start: str | None,
+    end: str | None,
+    curve: Callable[[Column], Column] = lambda mean: mean,
 ) -> DataFrame:
-    """Standardise dekad values over all dates and carry them on the days of the period."""
-    scored = dekads.select("gid", "dekad", S.standardise(F.col(value), CELL).alias("value"))
-    return S.dekads_to_days(scored, between(days, start, end), CELL, "value")
+    """Dekad means through ``curve``, standardised over all dates, carried on daily dates.
+
+    Everything is a window over the cell: one shuffle and no join of dekads back to days.
+    Mean and spread count each dekad once, at its first stored day. A dekad's score enters
+    the daily series only on the day it starts, if that day is stored and in the period.
+    """
+    in_dekad, whole = Window.partitionBy("gid", "_dekad"), Window.partitionBy("gid")
+    # Partitioned by cell up front: that serves the dekad windows and the cell windows alike.
+    days = daily.repartition("gid").withColumn("_dekad", dekad_start(F.col("fdate")))
+    days = days.withColumns(
+        {
+            "_mean": F.avg("value").over(in_dekad),
+            "_first": F.col("fdate") == F.min("fdate").over(in_dekad),
+        }
+    )
+    days = days.withColumn("_x", curve(F.col("_mean")))
+    once = F.when(F.col("_first"), F.col("_x"))
+    spread_of = F.nullif(F.stddev_samp(once).over(whole), F.lit(0.0))
+    scored = days.select(
+        "gid", "fdate", "_dekad", ((F.col("_x") - F.avg(once).over(whole)) / spread_of).alias("_z")
+    )
+    period = between(scored, start, end)
+    entered = F.when(F.col("fdate") == F.col("_dekad"), F.col("_z"))
+    return period.select("gid", "fdate", S.forward_fill(entered, CELL).alias("value"))
 
 
 def suction_score(
@@ -271,18 +296,16 @@ def suction_score(
     total = layered.filter(F.col("layer") < layers).groupBy("gid", "fdate").agg(
         F.sum(value).alias("value")
     )
-    soil = soils.withColumn("_class", scalars.soil_class(F.col("ksat")))
-    dekads = S.dekad_mean(total, CELL).join(soil.select("gid", "depth_mm", "_class"), "gid")
-    head = scalars.suction_head(F.col("value"), F.col("depth_mm"), F.col("_class"))
-    return _dekad_score(dekads.withColumn("value", head), total, "value", start, end)
+    soil = soils.select("gid", "depth_mm", scalars.soil_class(F.col("ksat")).alias("_class"))
+    head = lambda mean: scalars.suction_head(mean, F.col("depth_mm"), F.col("_class"))
+    return _dekad_score(total.join(soil, "gid"), start, end, head)
 
 
 def fapar_score(
     series: DataFrame, value: str = "par", start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Standardised dekad mean of absorbed radiation, carried on daily dates."""
-    one = series.select("gid", "fdate", F.col(value).alias("value"))
-    return _dekad_score(S.dekad_mean(one, CELL), one, "value", start, end)
+    return _dekad_score(series.select("gid", "fdate", F.col(value).alias("value")), start, end)
 
 
 def combined_index(spi3: DataFrame, suction: DataFrame, fapar: DataFrame) -> DataFrame:

@@ -89,21 +89,6 @@ def dekad_mean(
     )
 
 
-def dekads_to_days(
-    dekads: DataFrame,
-    days: DataFrame,
-    cell: Sequence[str],
-    value: str,
-) -> DataFrame:
-    """Spread dekad values on daily dates by carrying each forward.
-
-    A value enters only if its first day is itself one of the daily dates.
-    """
-    starts = dekads.select(*cell, F.col("dekad").alias("fdate"), value)
-    merged = days.select(*cell, "fdate").join(starts, [*cell, "fdate"], "left")
-    return merged.withColumn(value, forward_fill(F.col(value), cell))
-
-
 def gap_fill(
     df: DataFrame, cell: Sequence[str], start: Column, end: Column, fill: float, value: str = "value"
 ) -> DataFrame:

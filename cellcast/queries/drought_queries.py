@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellcast.functions import gamma, scalars
 from cellcast.functions.dates import dekad_start
 from cellcast.operators import drought, series as S
-from cellcast.operators.grid import between, mask_by_first_date, union_sum
+from cellcast.operators.grid import between, mask_by_first_date
 from cellcast.queries import inputs as I
 from cellcast.queries.inputs import views
 from cellcast.queries.registry import query
@@ -31,10 +31,8 @@ _SEVERITY = """, s AS (SELECT gid, fdate, avg(v) OVER (PARTITION BY gid ORDER BY
 )
 def severity_soil(spark, d):
     """Severity of layer-summed soil moisture per cell and day."""
-    total = union_sum(
-        I.layered(spark, d).withColumnRenamed("soil_moist", "value"), ["gid", "fdate"]
-    )
-    return drought.severity(total, "value")
+    # The layer sum folds into the aggregation that builds the series.
+    return drought.severity(I.layer_total(spark, d), "soil_moist")
 
 
 @query(

@@ -61,6 +61,14 @@ def layered(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def layer_total(spark: SparkSession, d: str) -> DataFrame:
+    """(gid, fdate, soil_moist) over all layers, in one aggregation."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("gid"), "l_shipdate", "l_quantity"
+    )
+    return daily_series(li, ["gid"], F.to_date("l_shipdate"), soil_moist=F.sum("l_quantity"))
+
+
 def member_series(spark: SparkSession, d: str) -> DataFrame:
     """(gid, layer, ensemble, fdate, value) with five members."""
     li = table(spark, d, "lineitem").select(
