@@ -155,7 +155,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     """(name, filename, fdate): saved states of simulations (one per customer)."""
     return table(spark, d, "orders").select(
         F.col("o_custkey").alias("name"),
-        F.format_string("vic.state_%010d", "o_orderkey").alias("filename"),
+        F.format_string("state_%010d", "o_orderkey").alias("filename"),
         F.to_date("o_orderdate").alias("fdate"),
     )
 
@@ -200,7 +200,7 @@ VIEWS = {
         CAST(l_shipdate AS DATE) AS fdate, l_discount AS wsgd, l_tax AS lai,
         l_quantity * 100.0 AS gwad FROM lineitem""",
     "states": """SELECT o_custkey AS name,
-        'vic.state_' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS filename,
+        'state_' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS filename,
         CAST(o_orderdate AS DATE) AS fdate FROM orders""",
     "terciles": """SELECT s_suppkey AS gid, lead AS leadtime,
         ['below', 'normal', 'above'][i + 1] AS tercile,
