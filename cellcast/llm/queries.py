@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import pii, quality_rules, secret_ledger
+from cellcast.llm import byte_bpe, license_scan, pii, quality_rules, secret_ledger
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,28 @@ def _digests(spans: str, base: tuple[str, ...]):
     return F.sha2(listed(kept).cast("binary"), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans")
 
 
+@register
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+ORACLES["op4_license_scan"] = license_scan.oracle_sql()
+
+
+@register
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
