@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, license_scan, pii, quality_rules, secret_ledger
+from cellcast.llm import byte_bpe, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,21 @@ def _digests(spans: str, base: tuple[str, ...]):
     return F.sha2(listed(kept).cast("binary"), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans")
 
 
+@register
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    out = pack(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Packing by the 50k vocabulary: the .tiktoken file has the ids of the .json file."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
 @register
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
@@ -66,6 +81,18 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[_count("secrets", k) for k in base], *_digests("secrets", base))
 
 
+@register
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    out = winnowing.fingerprint(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.as_text(F.col("prints")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_prints")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 @register
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak supervision over every document."""
