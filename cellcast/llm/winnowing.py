@@ -27,8 +27,11 @@ BASE, MODULUS = 1_000_003, 2**31 - 1
 RANGE_ROWS, MOST_RANGES = 2048, 10_000
 
 
+REACH = 2**31 - 1
+
+
 def prints(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """Array of (hash, position) of a text; positions are k-gram starts in words from 0."""
+    """Prints of a text as long numbers that hold hash and position; ``opened`` takes them apart."""
 
     def rolled(h: Column) -> Column:
         # Each step takes the hashes one word further: k multiplications per word, no inner lists.
@@ -43,23 +46,15 @@ def prints(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
         return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), count - 1), gram)).otherwise(h)
 
-    reach = 2**31 - 1
-
     def coded(g: Column) -> Column:
-        # Hash and place in one number: the smallest is the smallest hash, rightmost on ties.
-        return F.transform(g, lambda x, i: F.shiftleft(x, 31).bitwiseOR(reach - i))
+        # The smallest number is the smallest hash, rightmost on ties.
+        return F.transform(g, lambda x, i: F.shiftleft(x, 31).bitwiseOR(REACH - i))
 
     def winnowed(c: Column) -> Column:
         last = F.greatest(F.size(c) - window, F.lit(0))
         least = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(c, i + 1, F.lit(window))))
         # A print that several windows keep stands once.
-        out = F.transform(
-            F.array_distinct(least),
-            lambda x: F.struct(
-                F.shiftright(x, 31).alias("hash"), (F.lit(reach) - x.bitwiseAND(reach)).cast("int").alias("position")
-            ),
-        )
-        return F.when(F.size(c) > 0, out).otherwise(F.array().cast("array<struct<hash:bigint,position:int>>"))
+        return F.when(F.size(c) > 0, F.array_distinct(least)).otherwise(c)
 
     words = F.filter(F.split(F.lower(text), r"[\x00-\x20\x7F]+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS)))
@@ -70,13 +65,20 @@ def prints(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two fingerprints by their hashes."""
-    hashes = lambda p: F.array_distinct(F.transform(p, lambda x: x["hash"]))
+    hashes = lambda p: F.array_distinct(F.transform(p, lambda x: F.shiftright(x, 31)))
     left, right = hashes(a), hashes(b)
     shared = F.size(F.array_intersect(left, right))
     union = F.size(left) + F.size(right) - shared
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
+def opened(p: Column) -> Column:
+    """Array of (hash, position); positions are starts of k words, counted in words from 0."""
+    return F.transform(
+        p, lambda x: F.struct(F.shiftright(x, 31).alias("hash"), (REACH - x.bitwiseAND(REACH)).cast("int").alias("position"))
+    )
+
+
 def as_text(p: Column) -> Column:
     return F.array_join(F.transform(p, lambda x: F.concat(F.hex(x["hash"]), F.lit("@"), x["position"])), " ")
 
@@ -91,7 +93,7 @@ def _ranged(df: DataFrame) -> DataFrame:
         found = df.agg(F.percentile_approx("doc_id", steps, 20 * parts).alias("cuts")).first()["cuts"]
         bounds = sorted(set(found or []))
     if not bounds:
-        return df.withColumn("part", F.lit(0)).withColumn("parts", F.lit(1))
+        return df.withColumn("part", F.lit(0))
     # Cuts are ids that occur, so each range after the first begins with a row; the first may be empty.
     root = max(1, int(len(bounds) ** 0.5))
     coarse, fine = bounds[::root], F.array(*[F.lit(b) for b in bounds])
@@ -102,24 +104,28 @@ def _ranged(df: DataFrame) -> DataFrame:
     return df.withColumn("part", part.cast("int"))
 
 
-def with_next(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, next_text, last_of_part): the text of the following document, of the first after the last."""
+def with_next(df: DataFrame, carried: dict[str, Column], doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, carried columns, next_ of the text and of each carried column).
+
+    The next document of the last one is the first. ``carried`` are expressions over ``text``, computed once per row.
+    """
+    names = ["text", *carried]
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), full_text(text).alias("text"))
-    ranged = _ranged(rows).select("doc_id", "text", "part")
+    ranged = _ranged(rows)
     firsts = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     # Ranges in use, at most MOST_RANGES numbers: their order closes the circle.
-    used = sorted(r["part"] for r in firsts.select("part").collect())
-    follows = dict(zip(used, used[1:] + used[:1]))
-    before = {b: a for a, b in follows.items()}
-    if not used:
-        return ranged.select("doc_id", "text", F.col("text").alias("next_text"), "part")
-    table = F.array(*[F.lit(before.get(p, -1)) for p in range(max(used) + 1)])
-    firsts = firsts.select(F.get(table, F.col("part")).alias("part"), F.col("first.text").alias("after"))
-    # Fields of null ids: structs order nulls first, as the window does.
+    used = sorted(r["part"] for r in ranged.select("part").distinct().collect())
+    before = dict(zip(used[1:] + used[:1], used))
+    table = F.array(*[F.lit(before.get(p, -1)) for p in range(max(used, default=0) + 1)])
+    firsts = firsts.select(F.get(table, F.col("part")).alias("part"), F.col("first.text").alias("text"))
+    firsts = firsts.withColumns(carried).select("part", *[F.col(n).alias(f"after_{n}") for n in names])
+    # Structs order null ids first, and so does the window.
     inside = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "text")
-    ahead = ranged.withColumn("ahead", F.lead("text").over(inside))
+    ahead = ranged.withColumns(carried).withColumns({f"ahead_{n}": F.lead(n).over(inside) for n in names})
     joined = ahead.join(firsts, "part", "left")
-    return joined.select("doc_id", "text", F.coalesce("ahead", "after").alias("next_text"), "part")
+    return joined.select(
+        "doc_id", *names, *[F.coalesce(f"ahead_{n}", f"after_{n}").alias(f"next_{n}") for n in names]
+    )
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -131,12 +137,12 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per document: its prints, those of its edited text and of the next document."""
-    chained = with_next(df, doc, text)
+    chained = with_next(df, {"prints": prints(F.col("text"), k, window)}, doc, text)
     out = chained.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    for name, of in (("prints", "text"), ("edited_prints", "edited_text"), ("next_prints", "next_text")):
-        out = out.withColumn(name, prints(F.col(of), k, window))
+    out = out.withColumn("edited_prints", prints(F.col("edited_text"), k, window))
     return out.select(
-        "doc_id", "text", "edited_text", "prints", "edited_prints", "next_prints",
+        "doc_id", "text", "edited_text", opened(F.col("prints")).alias("prints"),
+        opened(F.col("edited_prints")).alias("edited_prints"),
         likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
         likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
     )
