@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
+from cellcast.llm import byte_bpe, jaccard_join, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.score(documents(spark, sf_dir).select("doc_id", "text"))
     named = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *[F.col(f"features.{n}") for n in named], "base_failed", "kept", "posterior")
+
+
+@register
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles overlap by 90 per cent."""
+    return jaccard_join.join(documents(spark, sf_dir))
