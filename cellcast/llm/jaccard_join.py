@@ -144,8 +144,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n, set, bits*, tiles) of every document; ``set`` is null without shingles."""
-    names = ["doc_id", "n", "set", *PARITY, "tiles"]
+    """(doc_id, mark, n, set, bits*, tiles) of every (doc_id, text, mark); ``set`` is null without shingles."""
+    names = ["doc_id", "mark", "n", "set", *PARITY, "tiles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(percent)
@@ -153,11 +153,11 @@ def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), hashes, shingle) for t in batch.column(1)]
             keys = pa.array([class_hash(s) if len(s) else None for s in sets], pa.int64())
             bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(PARITY)).T
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys, *[pa.array(b) for b in bits]]
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), keys, *[pa.array(b) for b in bits]]
             yield pa.RecordBatch.from_arrays([*columns, _lists([bands.tiles(s) for s in sets])], names=names)
 
     kinds = ", ".join(f"{b} long" for b in PARITY)
-    return docs.mapInArrow(run, f"doc_id long, n long, set long, {kinds}, tiles array<long>")
+    return docs.mapInArrow(run, f"doc_id long, mark long, n long, set long, {kinds}, tiles array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -285,12 +285,10 @@ def across(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(
-    df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id."""
+def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, group) of every row; ``mark`` is a hash of the text, ``group`` is null without shingles."""
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scan = written(scanned(docs, shingle, percent), "sets")
+    scan = written(scanned(docs.withColumn("mark", F.xxhash64("text")), shingle, percent), "sets")
     stats = ["n", *PARITY]
     classes = written(
         scan.filter("set IS NOT NULL").groupBy("set").agg(*[F.max(c).alias(c) for c in stats]), "classes"
@@ -313,10 +311,36 @@ def join(
     more = verified(docs, classes, rest.join(tried, ["a", "b"], "left_anti"), shingle, percent)
     groups = written(components(links.unionByName(more)), "groups")
 
-    members = scan.select("doc_id", "n", "set").join(groups, F.col("set") == F.col("node"), "left")
-    members = members.select("doc_id", "n", F.coalesce("component", "set").alias("group"))
+    members = scan.select("doc_id", "mark", "n", "set").join(groups, F.col("set") == F.col("node"), "left")
+    return members.select("doc_id", "mark", "n", F.coalesce("component", "set").alias("group"))
+
+
+def join(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id."""
+    members = grouped(df, doc, text, shingle, percent)
     first = members.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("first"))
     return members.join(first, "group", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
     )
+
+
+def keep_one(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """Rows of ``df`` less all but one of each group: the smallest id stays, null ids last.
+
+    Rows of equal id and text are one document and one of them stays. Rows without shingles all stay.
+    """
+    members = grouped(df, doc, text, shingle, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    first = members.filter("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.mark").alias("__mark"))
+    keyed = df.withColumns({"__key": F.col(doc).cast("long"), "__text": F.xxhash64(F.col(text).cast("string"))})
+    # Only white space makes a text without shingles.
+    blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = keyed.filter(~blank).join(first, F.col("__key").eqNullSafe(F.col("__first")) & (F.col("__text") == F.col("__mark")), "left_semi")
+    kept = kept.dropDuplicates(["__key", "__text"])
+    return kept.unionByName(keyed.filter(blank)).select(*df.columns)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, jaccard_join, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
+from cellcast.llm import byte_bpe, cotraining, jaccard_join, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +19,13 @@ def register(fn):
     return fn
 
 
+def _vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that cuts texts into pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -40,8 +46,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack(docs: DataFrame) -> DataFrame:
     """Packing by the 50k vocabulary: the .tiktoken file has the ids of the .json file."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    path, pattern = _vocabulary()
+    return packing.pack_documents(docs, path, pattern, {"<|endoftext|>": 50256})
+
+
+@register
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from two views that teach each other."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = cotraining.score(documents(spark, sf_dir), labels)
+    return out.select("doc_id", "content_score", "meta_score", "score", "kept")
 
 
 @register
@@ -56,9 +70,9 @@ ORACLES["op4_license_scan"] = license_scan.oracle_sql()
 @register
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path, pattern = _vocabulary()
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    out = byte_bpe.round_trip(docs, path, pattern)
     decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
