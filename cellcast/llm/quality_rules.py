@@ -74,16 +74,17 @@ def text_features(text: str) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf("struct<" + ",".join(f"{f}:bigint" for f in FEATURES) + ">")
-def _features(texts: pa.Array) -> pa.Array:
-    rows = [text_features(t.as_py() or "") for t in texts]
-    columns = np.array(rows, np.int64).reshape(len(rows), len(FEATURES)).T
-    return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=list(FEATURES))
+def with_features(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the counts the rules look at."""
 
+    @F.arrow_udf("struct<" + ",".join(f"{f}:bigint" for f in FEATURES) + ">")
+    def features(texts: pa.Array) -> pa.Array:
+        rows = [text_features(t.as_py() or "") for t in texts]
+        columns = np.array(rows, np.int64).reshape(len(rows), len(FEATURES)).T
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=list(FEATURES))
 
-def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     clash = [c for c in df.columns if c.lower() == "features"]
-    return df.drop(*clash).withColumn("features", _features.asNondeterministic()(full_text(text)))
+    return df.drop(*clash).withColumn("features", features.asNondeterministic()(full_text(text)))
 
 
 def _share(part: str, whole: str) -> Column:

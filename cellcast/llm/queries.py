@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, cotraining, jaccard_join, license_scan, packing, pii, quality_rules, secret_ledger, winnowing
+from cellcast.llm import byte_bpe, cotraining, jaccard_join, license_scan, packing, pii, preference, quality_rules, secret_ledger, winnowing
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,20 @@ def pack(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, path, pattern, {"<|endoftext|>": 50256})
 
 
+@register
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer against itself with half of its last answer."""
+    turns = preference.halved_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return preference.format_pairs(turns).select(
+        F.col("pair_id").alias("conv_id"), "n_shared", "prompt", "chosen", "rejected",
+        spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"),
+    )
+
+
+ORACLES["op2_preference"] = preference.oracle_sql()
+
+
 @register
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from two views that teach each other."""
