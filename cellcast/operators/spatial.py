@@ -109,22 +109,17 @@ def whole_tile_mean(
     return joined.groupBy("area", *keys).agg(F.avg("tile_mean").alias("value"))
 
 
-# Pyramid of square bins over longitude/latitude space: the root split is 90 degrees and
-# every level divides a bin into 4 x 4.
-_ROOT = 90.0
+# Pyramid of square bins over the box of the points: every level divides a bin into 4 x 4.
 _SPLIT = 4
 
 
-def _pyramid_level(points: DataFrame, by: Sequence[str], level: int) -> DataFrame:
-    """Tight boxes of the points in each non-empty bin of a level, with the parent bin."""
-    size = _ROOT / _SPLIT**level
-    bx, by_ = _bin(F.col("px"), size), _bin(F.col("py"), size)
-    boxes = points.groupBy(*by, bx.alias("bx"), by_.alias("by")).agg(
-        F.min("px").alias("x0"), F.max("px").alias("x1"),
-        F.min("py").alias("y0"), F.max("py").alias("y1"),
+def _pyramid_level(finer: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Tight boxes of a level from those of the next finer one."""
+    up = lambda c: F.floor(F.col(c) / _SPLIT).cast("int").alias(c)
+    return finer.groupBy(*by, up("bx"), up("by")).agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min("y0").alias("y0"), F.max("y1").alias("y1"),
     )
-    up = lambda c: F.floor(F.col(c) / _SPLIT).cast("int")
-    return boxes.withColumn("parent_x", up("bx")).withColumn("parent_y", up("by"))
 
 
 def _gap(low: Column, high: Column, at: Column) -> Column:
@@ -159,11 +154,13 @@ def nearest_join(
 ) -> DataFrame:
     """Exact nearest point for every target (planar degrees), smallest key on a tie.
 
-    Distinct target and point positions descend the pyramid level by level; each level is
-    one equi-join on the parent bin followed by a bound on the distance. The number of
-    branches alive per target stays small whatever the point density, and no target meets
-    all points. ``finest`` is the last bin size: take about the spacing of the points.
-    Returns the target columns, ``point_key`` and ``distance``.
+    Distinct target and point positions descend a pyramid of bins whose root is the box of all
+    points, whatever their coordinates; targets may lie anywhere. Each level is one equi-join on
+    the parent bin followed by a bound on the distance, and coarser levels are rolled up from the
+    finest. The number of branches alive per target stays small whatever the point density, and
+    no target meets all points. ``finest`` is the last bin size: take about the spacing of the
+    points. Returns the target columns, ``point_key`` and ``distance``; both are NULL for a target
+    without coordinates or without any point under its ``by`` values.
     """
     keys = list(by)
     where = points.select(
@@ -171,40 +168,37 @@ def nearest_join(
         F.col(point_xy[0]).cast("double").alias("px"),
         F.col(point_xy[1]).cast("double").alias("py"),
         F.col(point_key).alias("_key"),
-    )
-    spots = where.groupBy(*keys, "px", "py").agg(F.min("_key").alias("_key"))
+    ).filter(F.col("px").isNotNull() & F.col("py").isNotNull())
+    box = where.agg(*[f(c) for c in ("px", "py") for f in (F.min, F.max)]).first()
+    x0, x1, y0, y1 = [0.0 if v is None else float(v) for v in box]
+    root = max(x1 - x0, y1 - y0, finest) * (1 + 1e-9)
+    depth = min(15, max(0, math.ceil(math.log(root / finest, _SPLIT))))  # bins stay 32-bit; any depth is exact
+    size = root / _SPLIT**depth
+    bins = {"bx": _bin(F.col("px") - x0, size), "by": _bin(F.col("py") - y0, size)}
+    spots = where.groupBy(*keys, "px", "py").agg(F.min("_key").alias("_key")).withColumns(bins)
     asked = targets.select(
         *keys,
         F.col(target_xy[0]).cast("double").alias("tx"),
         F.col(target_xy[1]).cast("double").alias("ty"),
     ).distinct()
 
-    depth = max(0, math.ceil(math.log(_ROOT / finest, _SPLIT)))
-    half_x = int(180 // _ROOT)
-    half_y = int(90 // _ROOT)
-    frontier = asked.withColumn(
-        "bx", F.explode(F.sequence(F.lit(-half_x), F.lit(half_x)))
-    ).withColumn("by", F.explode(F.sequence(F.lit(-half_y), F.lit(half_y))))
-    for level in range(depth + 1):
-        boxes = _pyramid_level(spots, keys, level)
-        # Longitude/latitude space has at most 4**level * 5 x 4**level * 3 bins, so the
-        # first three levels (3,840 rows) may be broadcast whatever the data size.
-        bounded = level <= 2 and not keys
-        if level == 0:
-            side = boxes.drop("parent_x", "parent_y")
-            joined = frontier.join(F.broadcast(side) if bounded else side, [*keys, "bx", "by"])
-        else:
-            side = F.broadcast(boxes) if bounded else boxes
-            parents = frontier.withColumnsRenamed({"bx": "parent_x", "by": "parent_y"})
-            joined = parents.join(side, [*keys, "parent_x", "parent_y"])
-        frontier = _prune(joined, keys)
-    size = _ROOT / _SPLIT**depth
-    leaves = spots.withColumn("bx", _bin(F.col("px"), size)).withColumn(
-        "by", _bin(F.col("py"), size)
-    )
+    levels = [
+        spots.groupBy(*keys, "bx", "by").agg(
+            F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")
+        )
+    ]
+    for _ in range(depth):
+        levels.insert(0, _pyramid_level(levels[0], keys))
+    # All points share the root bin, so the descent starts one level below it.
+    frontier = asked.withColumn("bx", F.lit(0)).withColumn("by", F.lit(0))
+    for boxes in levels[1:]:
+        up = lambda c: F.floor(F.col(c) / _SPLIT).cast("int")
+        boxes = boxes.withColumn("parent_x", up("bx")).withColumn("parent_y", up("by"))
+        parents = frontier.withColumnsRenamed({"bx": "parent_x", "by": "parent_y"})
+        frontier = _prune(parents.join(boxes, [*keys, "parent_x", "parent_y"]), keys)
     dx, dy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")
     best = (
-        frontier.join(leaves, [*keys, "bx", "by"])
+        frontier.join(spots, [*keys, "bx", "by"])
         .groupBy(*keys, "tx", "ty")
         .agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_key"))).alias("_b"))
         .select(
@@ -218,7 +212,7 @@ def nearest_join(
     placed = targets.withColumn("tx", F.col(target_xy[0]).cast("double")).withColumn(
         "ty", F.col(target_xy[1]).cast("double")
     )
-    return placed.join(best, [*keys, "tx", "ty"]).drop("tx", "ty")
+    return placed.join(best, [*keys, "tx", "ty"], "left").drop("tx", "ty")
 
 
 def nearest_known_value(
@@ -240,7 +234,7 @@ def nearest_known_value(
     found = nearest_join(
         empty, near, ("lon", "lat"), ("lon", "lat"), "_cell", by=keys, finest=res
     )
-    filled = found.select("gid", *keys, F.col("_cell.value").alias("value"))
+    filled = found.filter(F.col("_cell").isNotNull()).select("gid", *keys, F.col("_cell.value").alias("value"))
     return hits.unionByName(filled)
 
 
