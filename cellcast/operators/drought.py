@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cellcast.functions import scalars
 from cellcast.functions.dates import dekad_start
-from cellcast.functions.gamma import fit_mle, fit_thom, standard_score
+from cellcast.functions.gamma import fit_profile, fit_thom, standard_score
 from cellcast.operators import series as S
 from cellcast.operators.common import spread
 from cellcast.operators.grid import between
@@ -76,7 +76,8 @@ gamma_score = gamma_score.asNondeterministic()
 def _fit_cell(frame: pd.DataFrame) -> pd.DataFrame:
     """Fit one cell's usable means and score all of its rows."""
     sample = frame.loc[frame["usable"], "pm"].to_numpy()
-    params, how = fit_mle(sample), "mle"
+    params, inner = fit_profile(sample)
+    how = "mle" if inner else "mle_edge"
     if params is None:
         params, how = fit_thom(sample), "thom"
     if params is None:
@@ -96,7 +97,8 @@ def standardised_index(
     """Standardised index of the mean over ``duration`` 30-day months.
 
     ``fit='mle'`` fits a three-parameter gamma per cell in Arrow groups (a group is one
-    cell's calendar) and falls back to the closed form when the search does not settle;
+    cell's calendar). ``method`` says 'mle' for an inner maximum, 'mle_edge' where the likelihood
+    has none (left-skewed samples) and 'thom' where only the closed form exists;
     ``fit='thom'`` uses the closed form as native window aggregates. Rows before the first
     full window are NULL, or 0 with ``compat``. None when the period is too short.
     """
