@@ -11,6 +11,7 @@ observed value) and ``e`` (array of N error draws); states carry ``a`` (array of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,8 +36,6 @@ OBSERVATION_CLASSES = [
     ("mod16", "evap.mod16", "soil_moist", "evap", 0.01, 1.0),
 ]
 
-UPDATE_STEPS = {"daily": 1, "weekly": 7, "monthly": 30}
-
 
 def update_gap(update: str | int | None) -> int:
     """Days between analyses: unset 1, week 7, month 30, a number as is, else all dates."""
@@ -312,7 +311,7 @@ def filter_weights(
                 n = int(round(len(row["yy"]) ** 0.5))
                 parts = {k: _matrix(row[k], n) for k in _SQUARE}
                 parts.update(yd=_column(row["yd"], n), hd=_column(row["hd"], n))
-                stable = sum(ord(c) for c in str(row[day])) + seed
+                stable = zlib.crc32(f"{row[day]}/{seed}".encode())
                 rows.append({day: row[day], "w": solve(parts, n, int(row["nobs"]), stable).ravel()})
             if rows:
                 yield pd.DataFrame(rows)

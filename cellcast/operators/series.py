@@ -63,15 +63,16 @@ def forward_fill(value: Column, cell: Sequence[str]) -> Column:
 def percentile_of_score(df: DataFrame, cell: Sequence[str], value: str, name: str) -> DataFrame:
     """Percentile rank of each value in its own series; ties share the middle rank.
 
-    With L values below and R at or below, the rank is (L + R + [R > L]) * 50 / n.
+    With L values below and R at or below, the rank is (L + R + [R > L]) * 50 / n. NULL values
+    stand last, count for nothing and have no rank.
     """
-    order = Window.partitionBy(*cell).orderBy(value)
+    order = Window.partitionBy(*cell).orderBy(F.col(value).asc_nulls_last())
     out = df.withColumn("_below", F.rank().over(order) - 1)
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_upto", F.count(value).over(upto))
     out = out.withColumn("_n", F.count(value).over(Window.partitionBy(*cell)))
     rank = (F.col("_below") + F.col("_upto") + 1) * 50.0 / F.col("_n")
-    return out.withColumn(name, rank).drop("_below", "_upto", "_n")
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), rank)).drop("_below", "_upto", "_n")
 
 
 def standardise(value: Column, cell: Sequence[str]) -> Column:

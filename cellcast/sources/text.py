@@ -101,7 +101,7 @@ def parse_soil_profiles(records: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("value", r"^\*", ""), "\r", "")
     lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.trim(s)) > 0)
     head = F.trim(F.get(lines, 0))
-    body = F.filter(F.slice(lines, 2, 10000), lambda s: ~s.startswith("@"))
+    body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda s: ~s.startswith("@"))
     is_site = lambda s: F.size(_tokens(s)) == 5
     site = _tokens(F.get(F.filter(body, is_site), 0))
     is_layer = lambda s: F.get(_tokens(s), 0).try_cast("double").isNotNull()
