@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,21 +39,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The replaced keys are made distinct first, so one key with many rows costs nothing extra.
     """
-    touched = new.select(*keys).distinct()
-    return old.join(touched, list(keys), "left_anti").unionByName(
-        new.select(*old.columns)
-    )
+    return by_keys(old, new, keys, "left_anti").unionByName(new.select(*old.columns))
+
 
+def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on the distinct keys of ``right``; NULL keys equal each other."""
+    there = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(there, same, how)
 
-def replace_dates(df: DataFrame, path: str, partitions: Sequence[str] = ("fdate",)) -> None:
-    """Write by date, replacing only the dates present (dynamic partition overwrite).
+
+def replace_dates(
+    df: DataFrame, path: str, partitions: Sequence[str] = ("fdate",), order: Sequence[str] = ()
+) -> None:
+    """Write by date, replacing only the partitions present (dynamic partition overwrite).
 
     The rebalance hint lets Spark cut a date that holds too many rows into several files and
     merge small ones, so neither a hot date nor tiny files slow the write.
     """
+    dealt = df.hint("rebalance", *[F.col(p) for p in partitions])
+    if order:
+        dealt = dealt.sortWithinPartitions(*partitions, *order)
     (
-        df.hint("rebalance", *[F.col(p) for p in partitions])
-        .write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)
@@ -100,6 +109,16 @@ def needs_rewrite(columns: Sequence[str], ensemble: bool) -> bool:
     return ensemble and "ensemble" not in columns
 
 
+def rewrite_with_member(spark: SparkSession, path: str, member: int, target: str) -> bool:
+    """Copy a table that has no member column to ``target`` with one; whether there was a need to."""
+    stored = spark.read.parquet(path)
+    if not needs_rewrite(stored.columns, True):
+        return False
+    stamped = fill_stamp(stored, ensemble=member)
+    replace_dates(stamped, target, [c for c in ("ensemble", "fdate") if c in stamped.columns])
+    return True
+
+
 def completeness(series: DataFrame, cells: int | Column, days: int, variables: Sequence[str]) -> DataFrame:
     """Rows found and expected per forcing variable."""
     counts = series.agg(*[F.count(v).alias(v) for v in variables])

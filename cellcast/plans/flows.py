@@ -16,7 +16,8 @@ from cellcast.operators import (
     assimilation, crops, drought, ensemble, grid, loads, spatial, terciles,
 )
 from cellcast.sources.normalisers import BBox, normalise
-from cellcast.sources.tables import write_cells
+from cellcast.session import cut_lineage
+from cellcast.sources.tables import delivery_keys, write_cells
 
 
 def update(
@@ -29,14 +30,16 @@ def update(
     source_res: float | None = None,
     **options,
 ) -> None:
-    """Normalise landed rows, replace their dates, and keep one regridded table per target."""
+    """Normalise landed rows, replace their deliveries, and keep one regridded table per target.
+
+    A delivery is a variable, product, member and date; whatever else is stored for the date stays.
+    """
     cells = normalise(product, raw, bbox, **options)
+    if targets:
+        cells = cut_lineage(cells)  # read by every target, normalised once
     write_cells(cells, f"{path}/{product}")
-    stored = spark.read.parquet(f"{path}/{product}")
-    fresh = stored.join(cells.select("fdate").distinct(), "fdate", "left_semi")
     for res in targets:
-        keys = [k for k in ("var", "dataset", "fdate", "ensemble") if k in fresh.columns]
-        out = grid.regrid(fresh, source_res, res, keys)
+        out = grid.regrid(cells, source_res, res, delivery_keys(cells))
         write_cells(out, f"{path}/{product}_{int(1.0 / res)}")
 
 

@@ -260,11 +260,6 @@ def iri(raw: DataFrame, bbox: BBox | None = None, var: str = "precip") -> DataFr
     )
 
 
-def nmme_window(start: date, end: date) -> tuple[date, date]:
-    """A request covers at most 180 days after its start."""
-    return start, min(end, start + timedelta(days=180))
-
-
 @normaliser("nmme")
 def nmme(raw: DataFrame, bbox: BBox | None = None) -> DataFrame:
     """Rows (path, variable, ensemble, lat, lon, raw); date from the end of the file name,

@@ -26,9 +26,21 @@ def append_typed(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+#: What tells deliveries of one date apart, as far as a table has it.
+DELIVERY_KEYS = ("dataset", "var", "ensemble", "fdate")
+
+
+def delivery_keys(cells: DataFrame) -> list[str]:
+    return [k for k in DELIVERY_KEYS if k in cells.columns]
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Cell tables are partitioned by date; late dates replace themselves only."""
-    replace_dates(cells, path, ["fdate"])
+    """Cell tables are partitioned by delivery: a late one replaces itself only.
+
+    Other variables, products and members stored for the same date stay. Inside files rows lie tile by tile
+    where the table has tiles.
+    """
+    replace_dates(cells, path, delivery_keys(cells), [c for c in ("tile", "rid") if c in cells.columns])
 
 
 def write_derived(df: DataFrame, table: str) -> None:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellcast.functions import scalars
-from cellcast.operators.loads import replace_dates
+from cellcast.session import cut_lineage
+from cellcast.operators.loads import by_keys, replace_dates, upsert
+from cellcast.sources.tables import delivery_keys
 
 
 def daily_ingest(
@@ -24,14 +27,29 @@ def daily_ingest(
     path: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Files landing in a folder replace their dates in the cell table.
+    """Files landing in a folder are merged into the cell table.
 
-    A date delivered again overwrites itself, so a replayed micro-batch changes nothing.
+    Cells delivered again replace themselves, other cells of the same delivery stay: a date may be
+    split over micro-batches, and a replayed one changes nothing. Only touched partitions are rewritten.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         del batch_id
-        replace_dates(normalise(batch), path, ["fdate"])
+        fresh = cut_lineage(normalise(batch))
+        partitions = delivery_keys(fresh)
+        place = [c for c in ("row", "col", "lat", "lon") if c in fresh.columns]
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            merged = fresh
+        else:
+            stored = stored.select(*[F.col(c).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns])
+            touched = by_keys(stored, fresh, partitions, "left_semi")
+            # Read to its end before its own partitions are written anew.
+            merged = cut_lineage(upsert(touched, fresh, [*partitions, *place]))
+        replace_dates(merged, path, partitions)
 
     return (
         spark.readStream.schema(schema)

@@ -57,7 +57,6 @@ def test_user_dataset_reads_existing_days(spark, folder):
 
 def test_windows_of_products():
     assert normalisers.smos_window(date(2009, 1, 1), date(2030, 1, 1), 10) == (date(2010, 1, 12), date(2010, 1, 21))
-    assert normalisers.nmme_window(date(2017, 1, 1), date(2018, 1, 1)) == (date(2017, 1, 1), date(2017, 6, 30))
 
 
 def test_soil_files_keep_their_last_profile(spark, folder):
