@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,22 +32,40 @@ def full_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_starts(lengths: Column, block: int = 128) -> Column:
     """Exclusive running sums of an array, in blocks so that the work stays near linear."""
     add = lambda acc, x: acc + x
     total = lambda a: F.aggregate(a, F.lit(0), add)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")),
-        lambda b: F.slice(lengths, b * block + 1, F.lit(block)),
-    )
-    sums = lambda bs: F.transform(bs, total)
     inner = lambda a, base: F.transform(a, lambda _, i: base + total(F.slice(a, F.lit(1), i)))
-    many = F.transform(blocks, lambda a, i: inner(a, total(F.slice(sums(blocks), F.lit(1), i))))
-    return (
-        F.when(F.size(lengths) == 0, F.array().cast("array<int>"))
-        .when(F.size(lengths) <= block, inner(lengths, F.lit(0)))
-        .otherwise(F.flatten(many))
-    )
+
+    def blocked(all_: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")),
+            lambda b: F.slice(all_, b * block + 1, F.lit(block)),
+        )
+        sums = lambda bs: F.transform(bs, total)
+        # Block sums are few: their own running sums may be taken plainly.
+        return bound(
+            blocks,
+            lambda bs: bound(
+                inner_of(sums(bs)),
+                lambda bases: F.flatten(F.transform(bs, lambda a, i: inner(a, F.get(bases, i)))),
+            ),
+        )
+
+    def inner_of(values: Column) -> Column:
+        return bound(values, lambda v: inner(v, F.lit(0)))
+
+    def starts(all_: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.when(F.size(all_) == 0, none).when(F.size(all_) <= block, inner(all_, F.lit(0))).otherwise(blocked(all_))
+
+    return bound(lengths, starts)
 
 
 def located(text: Column, pattern: str, needed: Column | None = None, group: int | None = None) -> Column:
@@ -75,9 +94,7 @@ def located(text: Column, pattern: str, needed: Column | None = None, group: int
             ),
         )
 
-    # A one-element array lets the three results be computed once and read many times.
-    once = F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"), parts.alias("parts")))
-    found = F.element_at(F.transform(once, build), 1)
+    found = bound(F.struct(gaps.alias("gaps"), hits.alias("hits"), parts.alias("parts")), build)
     empty = F.array().cast(f"array<{kind}>")
     return found if needed is None else F.when(needed, found).otherwise(empty)
 
