@@ -169,11 +169,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     marks = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
         marks[r["word"]] = r["bits"]
-    marks = np.unpackbits(marks.view(np.uint8), bitorder="little")
-    packed = np.packbits(marks)
+    packed = marks.view(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), np.unpackbits(packed).view(bool)
+        hashes, held = WordHashes(), np.unpackbits(packed, bitorder="little").view(bool)
         for batch in batches:
             keys, found, size = [], [], 0
             for t in batch.column(0):
@@ -286,9 +285,9 @@ def across(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n, group) of every row; ``mark`` is a hash of the text, ``group`` is null without shingles."""
+    """(doc_id, mark, n, group) of every row; ``mark`` is a hash of id and text, ``group`` is null without shingles."""
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scan = written(scanned(docs.withColumn("mark", F.xxhash64("text")), shingle, percent), "sets")
+    scan = written(scanned(docs.withColumn("mark", F.xxhash64("doc_id", "text")), shingle, percent), "sets")
     stats = ["n", *PARITY]
     classes = written(
         scan.filter("set IS NOT NULL").groupBy("set").agg(*[F.max(c).alias(c) for c in stats]), "classes"
@@ -337,10 +336,10 @@ def keep_one(
     members = grouped(df, doc, text, shingle, percent)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     first = members.filter("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.mark").alias("__mark"))
-    keyed = df.withColumns({"__key": F.col(doc).cast("long"), "__text": F.xxhash64(F.col(text).cast("string"))})
+    first = first.select(F.col("first.mark").alias("__mark"))
+    keyed = df.withColumn("__mark", F.xxhash64(F.col(doc).cast("long"), F.col(text).cast("string")))
     # Only white space makes a text without shingles.
     blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.filter(~blank).join(first, F.col("__key").eqNullSafe(F.col("__first")) & (F.col("__text") == F.col("__mark")), "left_semi")
-    kept = kept.dropDuplicates(["__key", "__text"])
+    # One key serves the join and the repeated rows: texts are shuffled once.
+    kept = keyed.filter(~blank).join(first, "__mark", "left_semi").dropDuplicates(["__mark"])
     return kept.unionByName(keyed.filter(blank)).select(*df.columns)
