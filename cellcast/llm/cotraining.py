@@ -7,8 +7,9 @@ documents. At the end each view is calibrated on labelled rows that took no part
 log-odds are added to score every document.
 
 Bounds: fitting takes at most ``MAX_LABELLED`` labelled rows and ``PER_ROUND`` rows of each class, view and round,
-chosen by the smallest hash. Those rows (about 400 bytes each) are all that reaches the driver. Candidate search and
-scores cover all documents.
+an even draw by hash. Rows are counted first and tasks send on only the share that is needed and half as many
+again, so what reaches the driver (about 400 bytes a row) does not grow with documents or tasks. Candidate search
+and scores cover all documents.
 
 Defined results: null or empty text gives zero content features, null metadata zero ones; without labels of
 both classes nothing can be learnt and every document scores 0.5 and is kept; repeated rows and
@@ -110,15 +111,30 @@ class Logistic:
         return np.clip(self.raw(x) * self.scale + self.shift, -30, 30)
 
 
-def newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic model with a constant as its last feature."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+CHUNK = 2048
+
+
+def newton(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, mean: np.ndarray | float = 0.0,
+    spread: np.ndarray | float = 1.0, rounds: int = 30,
+) -> np.ndarray:
+    """Weights of a logistic model with a constant as its last feature.
+
+    Features are standardised and summed up in chunks, so that rows stay in memory once, in half precision.
+    """
+    width = x.shape[1] + 1
+    beta, penalty = np.zeros(width), np.full(width, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (w * (y - p)) - penalty * beta)
+        slope, bend = -penalty * beta, np.diag(penalty)
+        for at in range(0, len(x), CHUNK):
+            rows = slice(at, at + CHUNK)
+            part = np.ones((len(y[rows]), width))
+            part[:, :-1] = (x[rows].astype(np.float64) - mean) / spread
+            p = 1 / (1 + np.exp(-np.clip(part @ beta, -30, 30)))
+            slope += part.T @ (w[rows] * (y[rows] - p))
+            bend += (part * (w[rows] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
+        step = np.linalg.solve(bend, slope)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -126,12 +142,13 @@ def newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: in
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> Logistic:
-    x = x.astype(np.float64)
-    mean, spread = x.mean(0), x.std(0)
+    mean = x.mean(0, dtype=np.float64)
+    square = sum(((x[a : a + CHUNK].astype(np.float64) - mean) ** 2).sum(0) for a in range(0, len(x), CHUNK))
+    spread = np.sqrt(square / len(x))
     spread[spread < 1e-3] = 1.0
     # Both classes weigh the same, so that the rarer one is learnt too.
     weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    return Logistic(mean, spread, newton((x - mean) / spread, y, weight, ridge))
+    return Logistic(mean, spread, newton(x, y, weight, ridge, mean, spread))
 
 
 def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
@@ -140,8 +157,18 @@ def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
         model.scale, model.shift = newton(model.raw(x)[:, None], y, np.ones(len(y)), 1e-3)
 
 
+def _share(order: Column, most: int, there: int) -> Column:
+    """An even draw of about 1.5 times ``most`` of ``there`` rows by their hash; all rows if they are few."""
+    part = min(1.0, 1.5 * most / max(there, 1))
+    return F.pmod(order, F.lit(1 << 30)) < int(part * (1 << 30))
+
+
+def _drawn(df: DataFrame, most: int) -> list:
+    return sorted(df.collect(), key=lambda r: (r["draw"], r["content"], r["meta"], r["quality"]))[:most]
+
+
 def _matrix(rows: list, name: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), np.float16).reshape(len(rows), width).astype(np.float32)
+    return np.frombuffer(b"".join(r[name] for r in rows), np.float16).reshape(len(rows), width)
 
 
 def train(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[Logistic, Logistic, float] | None:
@@ -163,12 +190,14 @@ def train(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
         seen.join(known, "doc_id", "left").select("quality", "v.*", F.xxhash64("doc_id", "v").alias("draw"), key.alias("fold")),
         "views",
     )
-    rows = table.filter("quality IS NOT NULL").orderBy("draw").limit(MAX_LABELLED).collect()
+    labelled = table.filter("quality IS NOT NULL")
+    rows = _drawn(labelled.filter(_share(F.col("draw"), MAX_LABELLED, labelled.count())), MAX_LABELLED)
     if len({r["quality"] for r in rows}) < 2:
         return None
     y = np.array([r["quality"] for r in rows], float)
     view = {"content": _matrix(rows, "content", CONTENT), "meta": _matrix(rows, "meta", META)}
     apart = np.array([r["fold"] % 5 == 0 for r in rows])
+    del rows
     if min(len(np.unique(y[apart])), len(np.unique(y[~apart]))) < 2:
         apart = np.zeros(len(y), bool)
     sets = {v: (x[~apart], y[~apart]) for v, x in view.items()}
@@ -185,8 +214,15 @@ def train(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
             edge = float(np.log(CONFIDENT / (1 - CONFIDENT)))
             pool = table.filter("quality IS NULL").withColumn("odds", sure)
             order = F.xxhash64("draw", F.lit(turn))
-            for label, test in ((1.0, F.col("odds") >= edge), (0.0, F.col("odds") <= -edge)):
-                picked = pool.filter(test).orderBy(order).limit(PER_ROUND).select(pupil).collect()
+            tests = {1.0: F.col("odds") >= edge, 0.0: F.col("odds") <= -edge}
+            counts = pool.agg(*[F.count_if(t) for t in tests.values()]).first()
+            wanted = None
+            for (label, test), n in zip(tests.items(), counts):
+                here = F.when(test & _share(order, PER_ROUND, n), label)
+                wanted = here if wanted is None else F.coalesce(wanted, here)
+            few = pool.select(pupil, order.alias("draw"), wanted.alias("label")).filter("label IS NOT NULL").collect()
+            for label in tests:
+                picked = sorted((r for r in few if r["label"] == label), key=lambda r: (r["draw"], r[pupil]))[:PER_ROUND]
                 if picked:
                     x, t = sets[pupil]
                     added = _matrix(picked, pupil, width[pupil])
