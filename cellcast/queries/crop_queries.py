@@ -189,19 +189,18 @@ def cropland_areas(spark, d):
 
 
 _WIDE = ", ".join(
-    f"max(CASE WHEN area = {k} THEN coalesce(v, 0) ELSE 0 END) AS p{k + 1}" for k in range(4)
+    f"max(CASE WHEN area = {k} THEN v END) AS p{k + 1}" for k in range(25)
 )
 
 
 @query(
-    "zonal_wide", "fdate:d p1:f p2:f p3:f p4:f",
+    "zonal_wide", "fdate:d " + " ".join(f"p{k}:f" for k in range(1, 26)),
     views("grid_daily", "areas") + _WEATHER + f" SELECT fdate, {_WIDE} FROM z GROUP BY fdate",
 )
 def zonal_wide(spark, d):
-    """One row per date, one column per polygon (0 where a polygon has no value)."""
+    """One row per date, one column per polygon (NULL where a polygon has no value)."""
     zonal = spatial.zonal_mean(I.grid_daily(spark, d), _membership(spark, d))
-    out = C.zonal_wide(zonal, [0, 1, 2, 3])
-    return out.select("fdate", *[F.coalesce(f"p{k}", F.lit(0.0)).alias(f"p{k}") for k in range(1, 5)])
+    return C.zonal_wide(zonal, list(range(25)))
 
 
 _PLANT = """, p AS (SELECT s_suppkey AS area, DATE '1999-03-01' + CAST(s_suppkey % 60 AS INTEGER) AS pdate FROM supplier)"""
@@ -268,15 +267,15 @@ def cultivar_ensemble(spark, d):
 @query(
     "cultivar_cycles", "brand:s ensemble:i variant:i",
     """WITH r AS (SELECT p_brand AS brand, p_partkey AS variant, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i,
-    count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_size > 48),
+    count(*) OVER (PARTITION BY p_brand) AS n FROM part),
     k AS (SELECT *, least(n, 40) AS m FROM r WHERE i <= 40)
     SELECT brand, e AS ensemble, variant FROM k, range(1, 41) AS g(e) WHERE (e - 1) % m + 1 = i""",
 )
 def cultivar_cycles(spark, d):
-    """Few variants per zone repeated in turn over forty members."""
+    """Variants of each zone in turn over forty members, repeated where there are fewer."""
     p = I.table(spark, d, "part").select(
         F.col("p_brand").alias("brand"), F.col("p_partkey").alias("variant"),
-        F.when(F.col("p_size") > 48, F.col("p_size")).alias("needed"),
+        F.col("p_size").alias("needed"),
     )
     return cycle_variants(p, ["needed"], ["variant"], 40, ["brand"])
 

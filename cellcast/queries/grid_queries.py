@@ -424,6 +424,12 @@ def _catalog(spark, d):
     return grid.grid_catalog(named)
 
 
+@query("catalog_tables", "var:s dataset:s resolution:f", views("grid_daily") + _CATALOG + " SELECT * FROM c")
+def catalog_tables(spark, d):
+    """Every stored table with its resolution."""
+    return _catalog(spark, d)
+
+
 @query("grid_catalog", "var:s dataset:s resolution:f",
        views("grid_daily") + _CATALOG + " SELECT * FROM c WHERE var = 'precip' AND dataset LIKE 'chirps%' AND abs(resolution - 0.5) < 1e-6")
 def grid_catalog(spark, d):
