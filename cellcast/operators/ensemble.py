@@ -203,7 +203,8 @@ def rebuild_temperature(
     """Daily extremes of a forecast mean temperature.
 
     ``forecast`` carries (gid, fdate, ensemble, temp); the range tmax - tmin and the wind
-    come from the same day offset of one past year (``year``, a one-row table).
+    come from the same day offset of one past year (``year``, a one-row table). Days that the past
+    year lacks stay, with NULL extremes and wind.
     """
     ahead = forecast.withColumn("offset", F.datediff(F.col("fdate"), start))
     first = F.date_add(F.make_date(F.year("fdate"), F.month(start), F.lit(1)), F.dayofmonth(start) - 1)
@@ -213,7 +214,7 @@ def rebuild_temperature(
         "offset", F.datediff(F.col("fdate"), base)
     )
     past = past.join(year.select("year"), "year", "left_semi")
-    both = ahead.join(past.select("gid", "offset", "tmax", "tmin", "wind"), ["gid", "offset"])
+    both = ahead.join(past.select("gid", "offset", "tmax", "tmin", "wind"), ["gid", "offset"], "left")
     half = 0.5 * (F.col("tmax") - F.col("tmin"))
     return both.select(
         "gid",

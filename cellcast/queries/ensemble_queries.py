@@ -322,7 +322,7 @@ def coarse_climatology(spark, d):
     h AS (SELECT gid, fdate - make_date(yr, 2, 1) AS o, rainf + 10 AS tmax, rainf - 5 AS tmin, runoff / 1000 AS wind
     FROM daily, p WHERE year(fdate) = yr AND fdate >= make_date(yr, 2, 1))
     SELECT a.gid, a.fdate, e AS ensemble, temp + e + 0.5 * (tmax - tmin) AS tmax, temp + e - 0.5 * (tmax - tmin) AS tmin,
-    wind FROM a JOIN h USING (gid, o), range(1, 4) AS r(e)""",
+    wind FROM a LEFT JOIN h USING (gid, o), range(1, 4) AS r(e)""",
 )
 def rebuilt_temperature(spark, d):
     """Extremes from forecast means and the range of a past year."""
