@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from cellcast.llm.common import sliced
+
 NONE = np.int32(2**31 - 1)
 LONG, SLICE, KNOWN = 256, 1_000_000, 400_000
 
@@ -269,7 +271,7 @@ def _extended(df: DataFrame, drop: list[str], add: list[StructField], work) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(f.name) for f in kept] + step(batch)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + [f.name for f in add])
 

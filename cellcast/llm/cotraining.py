@@ -47,7 +47,7 @@ class _Codes(dict):
         shape = word[:24].translate(_SHAPE)
         short = bytes(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])
         code = xxhash.xxh32_intdigest(word.lower()) % WORD_BUCKETS * SHAPES + xxhash.xxh32_intdigest(short) % SHAPES
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = code
         return code
 
@@ -81,9 +81,12 @@ def meta_view(text: str, source: str | None, lang: str | None, n_chars: int | No
 
 
 def _views(texts, sources, langs, sizes, codes) -> tuple[np.ndarray, np.ndarray]:
-    rows = list(zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist()))
-    content = np.array([content_view(t or "", codes) for t, *_ in rows], np.float32).reshape(len(rows), CONTENT)
-    meta = np.array([meta_view(t or "", s, g, n) for t, s, g, n in rows], np.float32).reshape(len(rows), META)
+    content = np.empty((len(texts), CONTENT), np.float32)
+    meta = np.empty((len(texts), META), np.float32)
+    for i, row in enumerate(zip(texts, sources, langs, sizes)):  # one text at a time as Python text
+        text, source, lang, n_chars = (v.as_py() for v in row)
+        content[i] = content_view(text or "", codes)
+        meta[i] = meta_view(text or "", source, lang, n_chars)
     return content, meta
 
 

@@ -38,14 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellcast.llm.common import written
+from cellcast.llm.common import sliced, written
 from cellcast.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Ratio of band edges, agreeing ranges guaranteed, words of the parity bitmap, members of a block.
 BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 1024
 FILTER_BITS = 1 << 25
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 PARITY = [f"bits{i}" for i in range(BITS // 64)]
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -149,7 +149,7 @@ def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(percent)
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t.as_py(), hashes, shingle) for t in batch.column(1)]
             keys = pa.array([class_hash(s) if len(s) else None for s in sets], pa.int64())
             bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(PARITY)).T
@@ -173,7 +173,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), np.unpackbits(packed, bitorder="little").view(bool)
-        for batch in batches:
+        for batch in sliced(batches):
             keys, found, size = [], [], 0
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), hashes, shingle)

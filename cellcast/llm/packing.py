@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellcast.llm.common import sliced
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, salt long"
 PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
@@ -53,7 +55,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks_path, pattern, special)
         row = 0
-        for batch in batches:
+        for batch in sliced(batches):
             docs, starts, lengths, totals, raw, salts = [], [], [], [], [], []
             size = 0
 
