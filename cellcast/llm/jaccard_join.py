@@ -190,7 +190,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
-def _linked(a: bytes, b: bytes, percent: int) -> bool:
+def _linked(a: bytes | pa.Buffer, b: bytes | pa.Buffer, percent: int) -> bool:
     left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(left) > len(right):
         left, right = right, left
@@ -216,7 +216,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([_linked(a, b, percent) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+        return pa.array([_linked(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(left, right)], pa.bool_())
 
     left = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("right")), "b")
