@@ -275,7 +275,7 @@ def swe_update(spark, d):
 def observation_pixels(spark, d):
     """Observed pixels inside the basin polygons on the dates of a year.
 
-    Membership is found for distinct cells and joined to the daily rows with a salt.
+    Membership is found for distinct cells and joined to the daily rows; adaptive execution splits hot cells.
     """
     from cellcast.queries.grid_queries import _membership
 
