@@ -21,8 +21,8 @@ def quality_rule_votes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingle sets are linked: the one with the smallest id."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group whose sets of five-word shingles agree by 80 per cent: the one with the smallest id."""
+    return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The pipeline, stage by stage, against the operators' decisions."""
 
+import random
+
 import numpy as np
-from test_jaccard import brute
+from test_jaccard import brute, closure, family
 
 import corpus_pipeline as C
 from cellcast.llm import cotraining, quality_rules, secret_ledger
@@ -50,3 +52,36 @@ def test_empty_documents(spark, none, small_dir):
     for _, stage in C.STAGES:
         docs = written(stage(spark, docs, small_dir), "t")
         assert docs.count() == 0
+
+
+def _five_word_sets(rows):
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    return [frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(zip(w, w[1:], w[2:], w[3:], w[4:])) for w in words]
+
+
+def _first_ids(rows):
+    """Smallest id of every group at five words and 80 per cent, by all pairs."""
+    sets = _five_word_sets(rows)
+    root = closure(range(len(rows)), [
+        (x, y) for x in range(len(rows)) for y in range(x)
+        if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    ])
+    return {min(rows[y][0] for y in range(len(rows)) if root[y] == root[x]) for x in range(len(rows))}
+
+
+def test_near_duplicates_at_five_words_and_80_per_cent(spark, small_dir):
+    """Copies between the thresholds of op10 and of the stage are near duplicates too."""
+    rng = random.Random(5)
+    texts = [t for n, c, e in ((60, 10, 3), (120, 20, 5), (300, 10, 12)) for t in family(rng, n, c, e)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    threes = {c for _, _, c in brute(rows)[0]}
+    assert _first_ids(rows) < threes
+    out = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small_dir)
+    assert {r["doc_id"] for r in out.collect()} == _first_ids(rows)
+
+
+def test_near_duplicates_of_the_driver_tables(spark, small_dir):
+    docs = documents(spark, small_dir)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = {r["doc_id"] for r in C.near_duplicates(spark, docs, small_dir).select("doc_id").collect()}
+    assert got == _first_ids(rows) and len(got) == 187
