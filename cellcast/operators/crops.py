@@ -111,6 +111,7 @@ def interpolate_layers(
 
     ``moisture`` (mm) and ``depths`` (m) are arrays per model layer, ``bottoms`` the lower
     edges of the profile layers in cm. Linear between model midpoints, constant outside.
+    Layers without a value are left out; the result is NULL only where no layer has one.
     Model midpoints add up all layers above; ``compat`` uses only the layer just above.
     """
     fraction = F.zip_with(moisture, depths, lambda m, d: m / F.nullif(1000.0 * d, F.lit(0.0)))
@@ -124,6 +125,7 @@ def interpolate_layers(
     points = F.arrays_zip(
         F.transform(depths, middle).alias("z"), fraction.alias("u")
     )
+    points = F.filter(points, lambda p: p["u"].isNotNull())
     upper = lambda i: F.when(i > 0, F.get(bottoms, i - 1)).otherwise(F.lit(0.0))
 
     def value_at(bottom: Column, i: Column) -> Column:

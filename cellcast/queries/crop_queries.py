@@ -153,14 +153,16 @@ def planting_dates(spark, d):
     SELECT gid, fdate, u1 AS l1, u1 + (u2 - u1) * (10 - 5) / 20.0 AS l2, u2 + (u3 - u2) * (37.5 - 25) / 50.0 AS l3, u3 AS l4 FROM x""",
 )
 def layer_interpolation(spark, d):
-    """Moisture of three model layers (0.1, 0.3, 0.7 m) at the middles of four profile layers."""
+    """Moisture of three model layers (0.1, 0.3, 0.7 m) at the middles of four profile layers.
+
+    Every cell-day stays; layers without a value are bridged by those that have one.
+    """
     m = I.layered(spark, d)
     pick = lambda k: F.max(F.when(F.col("layer") == k, F.col("soil_moist")))
     wide = m.groupBy("gid", "fdate").agg(*[pick(k).alias(f"m{k}") for k in (1, 2, 3)])
-    full = wide.dropna()
     depths = F.array(F.lit(0.1), F.lit(0.3), F.lit(0.7))
     bottoms = F.array(F.lit(5.0), F.lit(15.0), F.lit(60.0), F.lit(120.0))
-    out = full.withColumn("u", C.interpolate_layers(F.array("m1", "m2", "m3"), depths, bottoms))
+    out = wide.withColumn("u", C.interpolate_layers(F.array("m1", "m2", "m3"), depths, bottoms))
     return out.select("gid", "fdate", *[F.get("u", k).alias(f"l{k + 1}") for k in range(4)])
 
 
