@@ -379,7 +379,7 @@ def nearest_observation(
     matrix is never formed. Inputs carry (fdate, lat, lon) and ``gid`` or ``oid``.
     """
     return nearest_join(
-        states, observations, ("lon", "lat"), ("lon", "lat"), "oid", by=["fdate"], finest=finest
+        states, observations, ("lon", "lat"), ("lon", "lat"), "oid", by=["fdate"], finest=finest, digits=9
     )
 
 

@@ -151,6 +151,7 @@ def nearest_join(
     point_key: str,
     by: Sequence[str] = (),
     finest: float = 0.25,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact nearest point for every target (planar degrees), smallest key on a tie.
 
@@ -159,7 +160,7 @@ def nearest_join(
     the parent bin followed by a bound on the distance, and coarser levels are rolled up from the
     finest. The number of branches alive per target stays small whatever the point density, and
     no target meets all points. ``finest`` is the last bin size: take about the spacing of the
-    points. Returns the target columns, ``point_key`` and ``distance``; both are NULL for a target
+    points. With ``digits`` distances that agree to so many decimals are a tie. Returns the target columns, ``point_key`` and ``distance``; both are NULL for a target
     without coordinates or without any point under its ``by`` values.
     """
     keys = list(by)
@@ -197,10 +198,12 @@ def nearest_join(
         parents = frontier.withColumnsRenamed({"bx": "parent_x", "by": "parent_y"})
         frontier = _prune(parents.join(boxes, [*keys, "parent_x", "parent_y"]), keys)
     dx, dy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")
+    away = F.sqrt(dx * dx + dy * dy)
+    order = away if digits is None else F.round(away, digits)
     best = (
         frontier.join(spots, [*keys, "bx", "by"])
         .groupBy(*keys, "tx", "ty")
-        .agg(F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), F.col("_key"))).alias("_b"))
+        .agg(F.min(F.struct(order.alias("_o"), F.col("_key"), away.alias("d"))).alias("_b"))
         .select(
             *keys,
             "tx",

@@ -191,11 +191,13 @@ def observation_classes(spark, d):
 )
 def nearest_observation(spark, d):
     """Distance from model cells to the nearest observation of each date."""
-    days = F.array(*[F.lit(x).cast("date") for x in ("1996-03-01", "1997-07-15", "1998-11-02", "1999-05-20")])
-    states = I.basin(spark, d).select("gid", "lat", "lon", F.explode(days).alias("fdate"))
     obs = I.grid_daily(spark, d).select(
         (F.col("row") * 1000 + F.col("col")).alias("oid"), "fdate", "lat", "lon"
     )
+    # Every cell on every date that has observations; the dates are one row, no longer than the calendar.
+    days = obs.agg(F.collect_set("fdate").alias("days")).withColumn("_k", F.lit(1))
+    cells = I.basin(spark, d).select("gid", "lat", "lon", F.lit(1).alias("_k"))
+    states = cells.join(F.broadcast(days), "_k").select("gid", "lat", "lon", F.explode("days").alias("fdate"))
     return A.nearest_observation(states, obs, 1.0)
 
 
