@@ -324,7 +324,7 @@ def polygon_distance(spark, d):
     CAST(floor((90 - lat) / 10) AS BIGINT) AS v FROM basin""",
 )
 def satellite_tiles(spark, d):
-    """Satellite tiles whose box meets each basin cell, narrowed to the one under its centre."""
+    """All satellite tiles whose box meets the box of each basin cell."""
     b = I.basin(spark, d)
     cell = F.struct(
         (F.col("lon") - 0.125).alias("xmin"), (F.col("lat") - 0.125).alias("ymin"),
@@ -332,9 +332,7 @@ def satellite_tiles(spark, d):
     )
     boxes = b.select(F.col("gid").alias("area"), cell.alias("bbox"))
     hit = spatial.boxes_touching(boxes, catalog.satellite_tiles(spark), 10.0)
-    named = hit.withColumnRenamed("area", "gid").join(b.select("gid", "lon", "lat"), "gid")
-    h, v = catalog.tile_of(F.col("lon"), F.col("lat"))
-    return named.filter((F.col("h") == h) & (F.col("v") == v))
+    return hit.select(F.col("area").alias("gid"), "h", "v")
 
 
 @query(
