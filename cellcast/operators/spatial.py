@@ -67,9 +67,26 @@ def boxes_touching(areas: DataFrame, tiles: DataFrame, size: float) -> DataFrame
     return both.filter(overlap & only_once).drop("bx", "by")
 
 
-def zonal_membership(cell_index: DataFrame, areas: DataFrame, size: float = 1.0) -> DataFrame:
-    """(area, row, col) of the cell centres inside each area, from the distinct cells."""
-    return points_in_areas(cell_index, areas, size).select("area", "row", "col")
+def zonal_membership(
+    cell_index: DataFrame, areas: DataFrame, size: float = 1.0, res: float = 0.25
+) -> DataFrame:
+    """(area, row, col) of the cell centres inside each area, from the distinct cells.
+
+    An area without any centre, as one smaller than a cell, gets the cell (``res`` degrees wide)
+    that holds its centroid.
+    """
+    inside = points_in_areas(cell_index, areas, size).select("area", "row", "col")
+    misses = areas.select("area", "centroid").join(inside.select("area").distinct(), "area", "left_anti")
+    spot = F.struct(
+        F.col("centroid.x").alias("xmin"), F.col("centroid.y").alias("ymin"),
+        F.col("centroid.x").alias("xmax"), F.col("centroid.y").alias("ymax"),
+    )
+    sought = area_bins(misses.withColumn("bbox", spot), size, res / 2)
+    binned = cell_index.withColumn("bx", _bin(F.col("lon"), size)).withColumn("by", _bin(F.col("lat"), size))
+    # Half-open cells: a centroid on an edge belongs to one of them.
+    dx, dy = F.col("centroid.x") - F.col("lon"), F.col("centroid.y") - F.col("lat")
+    held = (dx >= -res / 2) & (dx < res / 2) & (dy > -res / 2) & (dy <= res / 2)
+    return inside.unionByName(binned.join(sought, ["bx", "by"]).filter(held).select("area", "row", "col"))
 
 
 def zonal_mean(
