@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, cotraining, jaccard_join, license_scan, packing, pii, preference, quality_rules, secret_ledger, winnowing
+from cellcast.llm import (
+    bit_search, byte_bpe, cotraining, fill_middle, filter_audit, jaccard_join, license_scan, packing, pii, preference,
+    quality_rules, secret_ledger, winnowing,
+)
 from cellcast.llm.common import documents, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +136,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingles overlap by 90 per cent."""
     return jaccard_join.join(documents(spark, sf_dir))
+
+
+@register
+def op11_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every row whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return bit_search.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+ORACLES["op11_bit_search"] = bit_search.oracle_sql()
+
+
+@register
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.cells(documents(spark, sf_dir), labels))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.oracle_sql()
+
+
+@register
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten for filling in its middle, and rebuilt from that."""
+    out = fill_middle.transform(documents(spark, sf_dir))
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(rebuilt).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_middle"] = fill_middle.oracle_sql()
