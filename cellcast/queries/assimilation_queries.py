@@ -183,8 +183,7 @@ def observation_classes(spark, d):
 
 @query(
     "nearest_observation", "gid:i fdate:d oid:i distance:f",
-    views("basin", "grid_daily") + """, s AS (SELECT gid, fdate, lat, lon FROM basin, (VALUES (DATE '1996-03-01'), (DATE '1997-07-15'),
-    (DATE '1998-11-02'), (DATE '1999-05-20')) AS t(fdate)), o AS (SELECT row * 1000 + col AS oid, fdate, lat, lon FROM grid_daily)
+    views("basin", "grid_daily") + """, s AS (SELECT gid, fdate, lat, lon FROM basin, (SELECT DISTINCT fdate FROM grid_daily)), o AS (SELECT row * 1000 + col AS oid, fdate, lat, lon FROM grid_daily)
     SELECT gid, fdate, oid, distance FROM (SELECT gid, s.fdate, oid, sqrt(pow(s.lat - o.lat, 2) + pow(s.lon - o.lon, 2)) AS distance,
     row_number() OVER (PARTITION BY gid, s.fdate ORDER BY round(sqrt(pow(s.lat - o.lat, 2) + pow(s.lon - o.lon, 2)), 9), oid) AS rn
     FROM s JOIN o USING (fdate)) WHERE rn = 1""",

@@ -149,8 +149,11 @@ def planting_dates(spark, d):
     "layer_interpolation", "gid:i fdate:d l1:f l2:f l3:f l4:f",
     views("layered") + """, w AS (SELECT gid, fdate, max(CASE WHEN layer = 1 THEN soil_moist END) / 100.0 AS u1,
     max(CASE WHEN layer = 2 THEN soil_moist END) / 300.0 AS u2, max(CASE WHEN layer = 3 THEN soil_moist END) / 700.0 AS u3
-    FROM layered GROUP BY 1, 2), x AS (SELECT * FROM w WHERE u1 IS NOT NULL AND u2 IS NOT NULL AND u3 IS NOT NULL)
-    SELECT gid, fdate, u1 AS l1, u1 + (u2 - u1) * (10 - 5) / 20.0 AS l2, u2 + (u3 - u2) * (37.5 - 25) / 50.0 AS l3, u3 AS l4 FROM x""",
+    FROM layered GROUP BY 1, 2), x AS (SELECT *, coalesce(u2, u1) AS low, CASE WHEN u2 IS NULL THEN 5 ELSE 25 END AS z FROM w)
+    SELECT gid, fdate, coalesce(u1, u2, u3) AS l1, CASE WHEN u1 IS NULL THEN coalesce(u2, u3) WHEN u2 IS NOT NULL
+    THEN u1 + (u2 - u1) * 5 / 20.0 WHEN u3 IS NOT NULL THEN u1 + (u3 - u1) * 5 / 70.0 ELSE u1 END AS l2,
+    CASE WHEN low IS NULL THEN u3 WHEN u3 IS NULL THEN low ELSE low + (u3 - low) * (37.5 - z) / (75.0 - z) END AS l3,
+    coalesce(u3, u2, u1) AS l4 FROM x""",
 )
 def layer_interpolation(spark, d):
     """Moisture of three model layers (0.1, 0.3, 0.7 m) at the middles of four profile layers.

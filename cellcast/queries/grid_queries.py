@@ -320,8 +320,16 @@ def polygon_distance(spark, d):
 
 @query(
     "satellite_tiles", "gid:i h:i v:i",
-    views("basin") + """ SELECT gid, CAST(floor(18 + lon * cos(radians(lat)) / 10) AS BIGINT) AS h,
-    CAST(floor((90 - lat) / 10) AS BIGINT) AS v FROM basin""",
+    views("basin") + """, ids AS (SELECT h, v, (h - 18) * 10.0 AS west, (h - 17) * 10.0 AS east, v < 9 AS north,
+    least(abs(90 - 10 * v), abs(80 - 10 * v)) AS near, greatest(abs(90 - 10 * v), abs(80 - 10 * v)) AS far
+    FROM range(0, 36) AS a(h), range(0, 18) AS b(v)), sides AS (SELECT *, CASE WHEN west >= 0 THEN west ELSE -east END AS side FROM ids),
+    valid AS (SELECT *, cos(radians(near)) AS c1, least(far, degrees(acos(side / 180.0))) AS reached FROM sides
+    WHERE side < 180.0 * cos(radians(near)) - 1e-9), cuts AS (SELECT *, cos(radians(reached)) AS c2 FROM valid),
+    lons AS (SELECT *, least(west / c1, CASE WHEN c2 > 1e-12 THEN west / c2 ELSE sign(west) * 180.0 END) AS w,
+    greatest(east / c1, CASE WHEN c2 > 1e-12 THEN east / c2 ELSE sign(east) * 180.0 END) AS e FROM cuts),
+    boxes AS (SELECT h, v, greatest(-180.0, w) AS xmin, least(180.0, e) AS xmax, CASE WHEN north THEN near ELSE -reached END AS ymin,
+    CASE WHEN north THEN reached ELSE -near END AS ymax FROM lons)
+    SELECT gid, h, v FROM basin JOIN boxes ON lon - 0.125 <= xmax AND lon + 0.125 >= xmin AND lat - 0.125 <= ymax AND lat + 0.125 >= ymin""",
 )
 def satellite_tiles(spark, d):
     """All satellite tiles whose box meets the box of each basin cell."""
