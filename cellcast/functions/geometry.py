@@ -43,15 +43,20 @@ def wkt_edges(wkt: Column) -> Column:
     )
 
 
-def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd test: is the point inside the polygon."""
+def crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Number of edges that a ray from the point to the east crosses."""
 
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)
         at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
         return spans & (x < at)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.size(F.filter(edges, crosses))
+
+
+def inside(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd test: is the point inside the polygon."""
+    return crossings(x, y, edges) % 2 == 1
 
 
 def distance_to(x: Column, y: Column, edges: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions import geometry
+from cellcast.operators import quadtree
 
 
 def _bin(value: Column, size: float) -> Column:
@@ -31,18 +32,8 @@ def area_bins(areas: DataFrame, size: float, grow: Column | float = 0.0) -> Data
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, size: float = 1.0) -> DataFrame:
-    """Points (lon, lat) strictly inside areas; ``areas`` carries gid as ``area``, edges, bbox."""
-    shapes = area_bins(areas.select("area", "edges", "bbox"), size)
-    binned = points.withColumn("bx", _bin(F.col("lon"), size)).withColumn(
-        "by", _bin(F.col("lat"), size)
-    )
-    joined = binned.join(shapes, ["bx", "by"])
-    box = (
-        F.col("lon").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
-        & F.col("lat").between(F.col("bbox.ymin"), F.col("bbox.ymax"))
-    )
-    hit = joined.filter(box).filter(geometry.inside(F.col("lon"), F.col("lat"), F.col("edges")))
-    return hit.drop("bx", "by", "edges", "bbox")
+    """Points (lon, lat) strictly inside areas; ``areas`` carries gid as ``area`` and edges."""
+    return quadtree.points_inside(points, areas, size)
 
 
 def boxes_touching(areas: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
@@ -67,26 +58,40 @@ def boxes_touching(areas: DataFrame, tiles: DataFrame, size: float) -> DataFrame
     return both.filter(overlap & only_once).drop("bx", "by")
 
 
+def grid_frame(cell_index: DataFrame, res: float | None = None) -> DataFrame:
+    """One row (top, left, res, rows, cols) of the grid that (row, col, lat, lon) cells lie on.
+
+    Rows run south and columns east. The spacing is read from the cells; cells that all lie in one
+    row and one column show none and need ``res``.
+    """
+    ends = cell_index.agg(*[f(c).alias(f"{c}_{n}") for c in ("row", "col", "lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))])
+    span = lambda c: F.col(f"{c}_hi") - F.col(f"{c}_lo")
+    step = F.coalesce(span("lat") / F.nullif(span("row"), F.lit(0)), span("lon") / F.nullif(span("col"), F.lit(0)))
+    return ends.withColumn("res", F.lit(res).cast("double") if res is not None else step.cast("double")).select(
+        (F.col("lat_hi") + F.col("res") * F.col("row_lo")).alias("top"), (F.col("lon_lo") - F.col("res") * F.col("col_lo")).alias("left"), "res"
+    )
+
+
 def zonal_membership(
-    cell_index: DataFrame, areas: DataFrame, size: float = 1.0, res: float = 0.25
+    cell_index: DataFrame, areas: DataFrame, size: float = 1.0, res: float | None = None
 ) -> DataFrame:
     """(area, row, col) of the cell centres inside each area, from the distinct cells.
 
-    An area without any centre, as one smaller than a cell, gets the cell (``res`` degrees wide)
-    that holds its centroid.
+    An area without any centre, as one smaller than a cell, gets the cell that holds its centroid, if
+    the grid has it. The spacing is that of the grid; ``res`` is needed only where the index is a single cell.
     """
-    inside = points_in_areas(cell_index, areas, size).select("area", "row", "col")
-    misses = areas.select("area", "centroid").join(inside.select("area").distinct(), "area", "left_anti")
-    spot = F.struct(
-        F.col("centroid.x").alias("xmin"), F.col("centroid.y").alias("ymin"),
-        F.col("centroid.x").alias("xmax"), F.col("centroid.y").alias("ymax"),
-    )
-    sought = area_bins(misses.withColumn("bbox", spot), size, res / 2)
-    binned = cell_index.withColumn("bx", _bin(F.col("lon"), size)).withColumn("by", _bin(F.col("lat"), size))
+    inside = points_in_areas(cell_index.select("row", "col", "lat", "lon"), areas, size).select("area", "row", "col")
+    kept = areas.select("area", "centroid", F.lit(1).alias("_k")).join(inside, "area", "left")
+    # One row: the corner and the spacing of the grid.
+    placed = kept.join(F.broadcast(grid_frame(cell_index, res).withColumn("_k", F.lit(1))), "_k")
     # Half-open cells: a centroid on an edge belongs to one of them.
-    dx, dy = F.col("centroid.x") - F.col("lon"), F.col("centroid.y") - F.col("lat")
-    held = (dx >= -res / 2) & (dx < res / 2) & (dy > -res / 2) & (dy <= res / 2)
-    return inside.unionByName(binned.join(sought, ["bx", "by"]).filter(held).select("area", "row", "col"))
+    row = F.floor((F.col("top") - F.col("centroid.y")) / F.col("res") + 0.5).cast("int")
+    col = F.floor((F.col("centroid.x") - F.col("left")) / F.col("res") + 0.5).cast("int")
+    kinds = {f.name: f.dataType for f in cell_index.schema if f.name in ("row", "col")}
+    named = placed.select(
+        "area", F.coalesce("row", row.cast(kinds["row"])).alias("row"), F.coalesce("col", col.cast(kinds["col"])).alias("col")
+    )
+    return named.join(cell_index.select("row", "col"), ["row", "col"], "left_semi").select("area", "row", "col")
 
 
 def zonal_mean(

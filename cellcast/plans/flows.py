@@ -142,9 +142,9 @@ def forecast_forcings(
     raise ValueError(f"unknown forecast method {method}")
 
 
-def crop_weather(cells: DataFrame, areas: DataFrame, grid_index: DataFrame, members: int,
-                 crop: str = "maize") -> DataFrame:
-    """Daily crop weather per area and member from tall zonal weather cells."""
-    inside = spatial.zonal_membership(grid_index, areas)
-    zonal = spatial.zonal_mean(cells, inside, ["var", "fdate"])
+def crop_weather(
+    cells: DataFrame, areas: DataFrame, res: float, top: float, left: float, members: int, crop: str = "maize",
+) -> DataFrame:
+    """Daily crop weather per area and member from tall weather cells: means of the whole tiles that touch an area."""
+    zonal = spatial.whole_tile_mean(cells, areas, res, top, left, keys=["var", "fdate"])
     return crops.weather_table(crops.pivot_weather(zonal, ["area", "fdate"]), members, crop=crop)

@@ -10,7 +10,7 @@ from cellcast.operators import spatial
 from cellcast.queries import inputs as I
 from cellcast.queries.ensemble_queries import _u
 from cellcast.queries.grid_queries import BUFFER_SQL, _membership
-from cellcast.queries.inputs import views
+from cellcast.queries.inputs import LEFT, RES, TOP, views
 from cellcast.queries.registry import query
 
 _BEST = """, b AS (SELECT gid, ensemble, gwad, fdate FROM (SELECT *, row_number() OVER (PARTITION BY gid, ensemble
@@ -63,9 +63,19 @@ _WEATHER = """, z AS (SELECT area, fdate, avg(value) AS v FROM grid_daily JOIN a
     ON abs(lon - cx) + abs(lat - cy) < r GROUP BY 1, 2)"""
 
 
+_TILES = f""", t AS (SELECT row // 10 AS ty, col // 10 AS tx, fdate, avg(value) AS m FROM grid_daily GROUP BY 1, 2, 3),
+    z AS (SELECT area, fdate, avg(m) AS v FROM t JOIN areas ON cx - r <= {LEFT} - 0.125 + (tx + 1) * 2.5
+    AND cx + r >= {LEFT} - 0.125 + tx * 2.5 AND cy - r <= {TOP} + 0.125 - ty * 2.5
+    AND cy + r >= {TOP} + 0.125 - (ty + 1) * 2.5 GROUP BY 1, 2)"""
+
+
+def _whole_tiles(spark, d):
+    return spatial.whole_tile_mean(I.grid_daily(spark, d), I.areas(spark, d), RES, TOP, LEFT)
+
+
 def _zonal_weather(spark, d):
-    """Tall zonal means of five variables derived from the daily grid."""
-    zonal = spatial.zonal_mean(I.grid_daily(spark, d), _membership(spark, d))
+    """Tall whole-tile means of five variables derived from the daily grid."""
+    zonal = _whole_tiles(spark, d)
     scale = {"net_short": 3.0, "net_long": 1.0, "rainf": 0.5, "tmax": 2.0, "tmin": 1.5}
     pairs = [F.struct(F.lit(v).alias("var"), (F.col("value") * k).alias("value")) for v, k in scale.items()]
     return zonal.withColumn("_p", F.explode(F.array(*pairs))).select("area", "fdate", "_p.*")
@@ -73,7 +83,7 @@ def _zonal_weather(spark, d):
 
 @query(
     "area_weather", "area:i fdate:d radiation:f rainf:f tmax:f tmin:f",
-    views("grid_daily", "areas") + _WEATHER + """ SELECT area, fdate, 3 * v - v AS radiation, v * 0.5 AS rainf,
+    views("grid_daily", "areas") + _TILES + """ SELECT area, fdate, 3 * v - v AS radiation, v * 0.5 AS rainf,
     v * 2 AS tmax, v * 1.5 AS tmin FROM z""",
 )
 def area_weather(spark, d):
@@ -83,7 +93,7 @@ def area_weather(spark, d):
 
 @query(
     "weather_table", "area:i member:i fdate:d srad:f tmax:f tmin:f rain:f",
-    views("grid_daily", "areas") + _WEATHER + """ SELECT area, m AS member, fdate, 2 * v * 0.0864 AS srad, v * 2 AS tmax,
+    views("grid_daily", "areas") + _TILES + """ SELECT area, m AS member, fdate, 2 * v * 0.0864 AS srad, v * 2 AS tmax,
     v * 1.5 AS tmin, v * 0.5 AS rain FROM z, range(1, 4) AS r(m)""",
 )
 def weather_table(spark, d):
@@ -200,12 +210,11 @@ _WIDE = ", ".join(
 
 @query(
     "zonal_wide", "fdate:d " + " ".join(f"p{k}:f" for k in range(1, 26)),
-    views("grid_daily", "areas") + _WEATHER + f" SELECT fdate, {_WIDE} FROM z GROUP BY fdate",
+    views("grid_daily", "areas") + _TILES + f" SELECT fdate, {_WIDE} FROM z GROUP BY fdate",
 )
 def zonal_wide(spark, d):
     """One row per date, one column per polygon (NULL where a polygon has no value)."""
-    zonal = spatial.zonal_mean(I.grid_daily(spark, d), _membership(spark, d))
-    return C.zonal_wide(zonal, list(range(25)))
+    return C.zonal_wide(_whole_tiles(spark, d), list(range(25)))
 
 
 _PLANT = """, p AS (SELECT s_suppkey AS area, DATE '1999-03-01' + CAST(s_suppkey % 60 AS INTEGER) AS pdate FROM supplier)"""
