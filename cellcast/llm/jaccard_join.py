@@ -7,19 +7,22 @@ shingles differ in at most D = S (100 - p) / (100 + p) of them. Hash space is cu
 for all sets of a band, so two linked sets hold exactly the same shingles in SPARE ranges or more. A tile is
 (band, range, content): linked sets always share one, and a long passage that many documents quote is
 not enough to share any. A set near a band's lower edge takes part in the band below too. Sets with
-SPARE empty ranges name those as well, as only they can agree on nothing but empty ranges.
+SPARE empty ranges name those as well, as only they can agree on nothing but empty ranges. Tasks send tiles packed, eight
+bytes a tile and set, each set once a task; only tiles with several sets are kept.
 
-Pairs. First every member of a tile is paired with the tile's smallest member: as many pairs as rows. Links
-found so join classes to components. Only tiles that still hold several components are compared
-further, block by block, between components. A parity bitmap of ``BITS`` bits bounds every pair first: bits
-that differ are shingles that differ, so their count bounds the overlap from above. What
-passes is decided by exact intersection of the sorted arrays. No link between different texts is lost, and no
+Bounds. A parity bitmap of about 8 D bits goes with each class. Bits that differ are shingles that differ, so their count bounds
+the overlap from above; halves of a bitmap folded onto each other are the bitmap of half the width, so sets of
+neighbouring bands compare too. What passes is decided by exact intersection of the sorted arrays.
+
+Pairs. First every member of a tile is paired with the tile's smallest member: as many pairs as rows. Links found so join classes
+to components. Tiles that still hold several components are then compared inside, in rounds: a tile hands out the
+closest pairs that would join its components into trees, never more than it has members, they are decided, and tiles go on
+until no pair passes the bound. A pair that failed is not handed out again. No link between different texts is lost, and no
 group is ever expanded into all its pairs.
 
-Hot groups: copies are one class; tile sizes are counted with map-side aggregation; joins on a tile are split by
-adaptive execution; blocks bound what one call compares. Sets are not stored: only documents of candidate
-pairs are read again, found by a bitmap of ``FILTER_BITS`` bits, which is all that is broadcast. A full
-bitmap costs time, never a result.
+Hot groups: copies are one class; a class carries its smallest document, so components need no join on their name; the last
+join is salted; blocks bound what one call compares. Sets are not stored or sent: texts of candidate pairs are
+read again, found by a bitmap of ``FILTER_BITS`` bits, which is all that is broadcast. A full bitmap costs time, never a result.
 
 Defined results: null or empty text has no shingles and is linked with nothing; fewer words than the shingle's
 length make one shingle; repeated rows and equal ids each get a row; a component is named by its
@@ -30,23 +33,24 @@ Two sets count as equal when two 64-bit hashes agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.common import sliced, written
 from cellcast.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-#: Ratio of band edges, agreeing ranges guaranteed, words of the parity bitmap, members of a block.
-BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 1024
+#: Ratio of band edges, agreeing ranges guaranteed, fewest bits of a parity bitmap, members of a block.
+BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 4096
 FILTER_BITS = 1 << 25
 WORD_CACHE = 200_000
-PARITY = [f"bits{i}" for i in range(BITS // 64)]
+#: Tiles of one bucket (expected) and of one packed row, fewest buckets, classes a task remembers.
+BUCKET_TILES, PACK_TILES, BUCKETS, SEEN = 1 << 21, 1 << 20, 32, 1 << 20
+SALTS = 8
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -102,6 +106,10 @@ class Bands:
         together = largest + largest * 100 // self.percent
         return together * (100 - self.percent) // (100 + self.percent) + SPARE
 
+    def width(self, band: int) -> int:
+        """Bits of the parity bitmap: a power of two of eight times what linked sets may differ in, or more."""
+        return max(BITS, 1 << (8 * (self.ranges(band) - SPARE) - 1).bit_length())
+
     def bands(self, n: int) -> list[int]:
         """Bands in which a set of n shingles looks for partners."""
         if n < self.edge(0):
@@ -113,6 +121,7 @@ class Bands:
         return [band, band - 1] if below else [band]
 
     def tiles(self, shingles: np.ndarray) -> np.ndarray:
+        """Names of a set's tiles; the lowest six bits are the band."""
         out = []
         for band in self.bands(len(shingles)):
             m = self.ranges(band)
@@ -122,156 +131,254 @@ class Bands:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles ^ _A))])
             content = sums[at[1:]] - sums[at[:-1]]
             names = mix(content ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40)) + _B))
+            names = names & ~np.uint64(63) | np.uint64(band)
             empty = at[1:] == at[:-1]
             out.append(names if empty.sum() >= SPARE else names[~empty])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    counts = np.bincount((mix(shingles ^ _B) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+def parity(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Which of ``width`` cells hold an odd number of shingles, as 64-bit words."""
+    cells = (mix(shingles ^ _B) >> np.uint64(16)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(cells, minlength=width) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def class_hash(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap of fewer words from a wider one (last axis)."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def class_hash(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
 def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n, set, bits*, tiles) of every (doc_id, text, mark); ``set`` is null without shingles."""
-    names = ["doc_id", "mark", "n", "set", *PARITY, "tiles"]
+    """(doc_id, mark, n, set, tiles, bits) of every (doc_id, text, mark); ``set`` is null without shingles."""
+    names = ["doc_id", "mark", "n", "set", "tiles", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(percent)
         for batch in sliced(batches):
-            sets = [shingle_set(t.as_py(), hashes, shingle) for t in batch.column(1)]
-            keys = pa.array([class_hash(s) if len(s) else None for s in sets], pa.int64())
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(PARITY)).T
-            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), keys, *[pa.array(b) for b in bits]]
-            yield pa.RecordBatch.from_arrays([*columns, _lists([bands.tiles(s) for s in sets])], names=names)
+            sizes, keys, tiles, bits = [], [], [], []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py(), hashes, shingle)
+                at = bands.bands(len(s))
+                sizes.append(len(s))
+                keys.append(class_hash(s) if len(s) else None)
+                tiles.append(sum(bands.ranges(b) for b in at))
+                bits.append(parity(s, bands.width(at[0])).tobytes() if at else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tiles, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    kinds = ", ".join(f"{b} long" for b in PARITY)
-    return docs.mapInArrow(run, f"doc_id long, mark long, n long, set long, {kinds}, tiles array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, `set` long, tiles long, bits binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(set, shingles) of the classes in ``wanted``, and by chance of some others, each once."""
-    cell = F.pmod("set", F.lit(FILTER_BITS))
-    words = wanted.groupBy(F.shiftright(cell, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits")
-    )
-    marks = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
-        marks[r["word"]] = r["bits"]
-    packed = marks.view(np.uint8)
+def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
+    """(tile, set, low) of the classes in every tile that holds several; ``low`` is its smallest class.
+
+    A bucket's tiles are one group: ``BUCKET_TILES`` in expectation, and at eight bytes each the members of its largest tile.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bands = WordHashes(), Bands(percent)
+        seen: set[int] = set()
+        keys: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            names = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held), dtype=np.uint64), [len(h) for h in held])
+            place = names >> np.uint64(6)
+            bucket = (place % np.uint64(buckets)).astype(np.int64)
+            rest = (place // np.uint64(buckets)) & np.uint64((1 << 38) - 1)
+            packed = ((rest << np.uint64(6)) | (names & np.uint64(63))) << np.uint64(20) | owner
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts, known = np.split(packed[order], cuts), np.array(keys, np.int64)
+            rows = []
+            for part in parts:
+                used, index = np.unique(part & np.uint64((1 << 20) - 1), return_inverse=True)
+                rows.append(((part >> np.uint64(20) << np.uint64(20) | index.astype(np.uint64)).tobytes(), known[used.astype(np.int64)].tobytes()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order][np.append(0, cuts)]), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["bucket", "packed", "classes"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), np.unpackbits(packed, bitorder="little").view(bool)
         for batch in sliced(batches):
-            keys, found, size = [], [], 0
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), hashes, shingle)
-                if len(s) and held[(key := class_hash(s)) % FILTER_BITS]:
-                    keys.append(key)
-                    found.append(s.tobytes())
-                    size += len(found[-1])
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["set", "shingles"])
-                    keys, found, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["set", "shingles"])
-
-    rows = docs.select("text").mapInArrow(run, "set long, shingles binary")
-    return rows.groupBy("set").agg(F.first("shingles").alias("shingles"))
-
-
-def _linked(a: bytes | pa.Buffer, b: bytes | pa.Buffer, percent: int) -> bool:
-    left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                if not bands.bands(len(s)) or (key := class_hash(s)) in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(key)
+                names = bands.tiles(s)
+                keys.append(key)
+                held.append(names)
+                size += len(names)
+                if size > PACK_TILES or len(held) == 1 << 20:
+                    yield flush()
+                    keys, held, size = [], [], 0
+        if size:
+            yield flush()
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        tile, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for packed, classes in zip(table.column("packed"), table.column("classes")):
+            part = np.frombuffer(packed.as_buffer(), np.uint64)
+            tile.append(part >> np.uint64(20))
+            owner.append(np.frombuffer(classes.as_buffer(), np.int64)[(part & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        names, sets = np.concatenate(tile), np.concatenate(owner)
+        order = np.lexsort((sets, names))
+        names, sets = names[order], sets[order]
+        once = np.append(True, (names[1:] != names[:-1]) | (sets[1:] != sets[:-1]))[: len(names)]
+        names, sets = names[once], sets[once]
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+        counts = np.diff(np.append(starts, len(names)))
+        several = np.repeat(counts > 1, counts)
+        low = np.repeat(sets[starts], counts)
+        tile_ids = names.astype(np.int64) | (key[0].as_py() << 44)
+        return pa.table({"tile": tile_ids[several], "set": sets[several], "low": low[several]})
+
+    rows = docs.select("text").mapInArrow(pack, "bucket long, packed binary, classes binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "tile long, `set` long, low long")
+
+
+def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     if len(left) > len(right):
         left, right = right, left
+    if not len(left):
+        return False
     at = np.searchsorted(right, left)
     common = int((right[np.minimum(at, len(right) - 1)] == left).sum())
     return 100 * common >= percent * (len(left) + len(right) - common)
 
 
-def _bounded(percent: int) -> Column:
-    """Whether sizes and parity bits of pair (a, b) leave room for a link."""
-    together = F.col("a_n") + F.col("b_n")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in PARITY])
-    fewest = F.greatest(differ.cast("long"), F.abs(F.col("a_n") - F.col("b_n")))
-    return fewest * (100 + percent) <= together * (100 - percent)
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity bits leave room for a link."""
 
+    @F.arrow_udf("boolean")
+    def possible(an: pa.Array, abits: pa.Array, bn: pa.Array, bbits: pa.Array) -> pa.Array:
+        n, m = an.to_numpy(zero_copy_only=False), bn.to_numpy(zero_copy_only=False)
+        fewest = np.abs(n - m)
+        for i, (x, y) in enumerate(zip(abits, bbits)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            words = min(len(x), len(y))
+            fewest[i] = max(fewest[i], int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))
+        return pa.array(fewest * (100 + percent) <= (n + m) * (100 - percent))
+
+    side = lambda x: classes.select(F.col("set").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.filter(possible("a_n", "a_bits", "b_n", "b_bits")).select("a", "b")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, text) of the classes in ``wanted`` (set, mark), read from the documents of these marks."""
+    cell = F.pmod("mark", F.lit(FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(cell, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits")
+    )
+    marks = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        marks[r["word"]] = r["bits"]
+    packed = marks.view(np.uint8)
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
-    side = lambda x: classes.select(*[F.col(c).alias(x if c == "set" else f"{x}_{c}") for c in classes.columns])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_bounded(percent)).select("a", "b")
-    near = written(near, "pairs")
-    sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("set")), shingle)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(packed, bitorder="little").view(bool)
+        for batch in batches:
+            inside = held[batch.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS]
+            yield batch.filter(pa.array(inside))
 
-    @F.arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([_linked(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(left, right)], pa.bool_())
+    near = docs.select("mark", "text").mapInArrow(run, "mark long, text string")
+    return near.join(wanted, "mark").groupBy("set").agg(F.first("text").alias("text"))
 
-    left = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("left")), "a")
-    both = left.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("right")), "b")
-    decided = both.select("a", "b", linked.asNondeterministic()("left", "right").alias("ok"))
+
+def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by their sorted arrays."""
+    wanted = near.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", F.col("first.mark").alias("mark")), "set")
+    texts = texts_of(docs, wanted)
+    hashes = WordHashes()
+
+    @F.arrow_udf("boolean")
+    def linked(left: pa.Array, b: pa.Array, right: pa.Array) -> pa.Array:
+        out, name, held = [], None, np.empty(0, np.uint64)
+        for x, key, y in zip(left, b.to_pylist(), right):
+            if key != name:
+                name, held = key, shingle_set(y.as_py(), hashes, shingle)
+            out.append(_linked(shingle_set(x.as_py(), hashes, shingle), held, percent))
+        return pa.array(out, pa.bool_())
+
+    left = near.join(texts.select(F.col("set").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(texts.select(F.col("set").alias("b"), F.col("text").alias("right")), "b")
+    decided = both.select("a", "b", linked.asNondeterministic()("left", "b", "right").alias("ok"))
     return written(decided.filter("ok").select("a", "b"), "links")
 
 
-def across(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs between components inside tiles (tile, set, component), bounded by sizes and parity bits.
+UNIT = ["tile", "i", "j"]
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(tile, i, j, a, b): in every unit, pairs that pass the bound and would join its components into trees.
 
-    A tile of many members is cut into blocks and every pair of blocks is a unit of its own.
+    ``rows`` holds members (tile, i, j, own, set, component, n, bits) and failed pairs (tile, i, j, set, other). A unit is a
+    tile, or two blocks of a large one. Nothing is handed out twice, and at most one pair less than there are members.
     """
-    counts = tiles.groupBy("tile").agg(F.count("*").alias("members"))
-    rows = tiles.join(counts, "tile").join(classes, "set")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.select("tile", "i", "j", "own", "set", "component", "n", *PARITY)
-    unit = ["tile", "i", "j"]
-    dealt = rows.repartition(*unit).sortWithinPartitions(*unit)
-
-    def compare(t: pa.Table) -> list[np.ndarray]:
-        get = lambda c: t.column(c).to_numpy()
-        key, comp, n, own_ = get("set"), get("component"), get("n"), get("own")
-        bits = np.stack([get(c) for c in PARITY], 1).view(np.uint64)
-        same = get("i")[0] == get("j")[0]
+    dealt = rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+    def compare(t: pa.Table) -> list[tuple[int, int]]:
+        other = t.column("other")
+        member = t.filter(pa.compute.is_null(other)).sort_by("set")
+        failed: dict[int, list[int]] = {}
+        for r in t.filter(pa.compute.is_valid(other)).select(["set", "other"]).to_pylist():
+            failed.setdefault(r["set"], []).append(r["other"])
+            failed.setdefault(r["other"], []).append(r["set"])
+        get = lambda c: member.column(c).to_numpy()
+        key, n, own = get("set"), get("n"), get("own")
+        label = np.unique(get("component"), return_inverse=True)[1]
+        words = width(int(get("tile")[0]) & 63) // 64
+        bits = np.stack([folded(np.frombuffer(v.as_buffer(), np.uint64), words) for v in member.column("bits")])
+        crossed = get("i")[0] != get("j")[0]
         out = []
         for x in range(len(key) - 1):
-            y = slice(x + 1, None)
+            apart = label[x + 1 :] != label[x]
+            if crossed:
+                apart &= own[x + 1 :] != own[x]
+            y = np.flatnonzero(apart) + x + 1
+            if not len(y):
+                continue
             differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
             fewest = np.maximum(differ, np.abs(n[y] - n[x]))
-            ok = (comp[y] != comp[x]) & (fewest * (100 + percent) <= (n[y] + n[x]) * (100 - percent))
-            if not same:
-                ok &= own_[y] != own_[x]
-            hit = key[y][ok]
-            if len(hit):
-                out.append(np.stack([np.minimum(hit, key[x]), np.maximum(hit, key[x])]))
+            fits = fewest * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
+            if int(key[x]) in failed:
+                fits &= ~np.isin(key[y], failed[int(key[x])])
+            y, fewest = y[fits], fewest[fits]
+            if not len(y):
+                continue
+            # The closest member of each other component.
+            order = np.argsort(fewest, kind="stable")
+            joined, first = np.unique(label[y[order]], return_index=True)
+            out += [(int(key[x]), int(key[z])) for z in y[order][first]]
+            label[np.isin(label, joined)] = label[x]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = np.stack([t.column(c).to_numpy() for c in unit], 1)
+            names = np.stack([t.column(c).to_numpy() for c in UNIT], 1)
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(names)]):
-                if found := compare(t.slice(a, b - a)) if b - a > 1 else []:
-                    both = np.concatenate(found, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            found = [(*names[a], *p) for a, b in zip([0, *cuts], [*cuts, len(names)]) for p in compare(t.slice(a, b - a))]
+            if found:
+                table = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=[*UNIT, "a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            names = np.stack([held.column(c).to_numpy() for c in unit], 1)
+            names = np.stack([held.column(c).to_numpy() for c in UNIT], 1)
             # The last unit may go on in the next batch.
             whole = np.flatnonzero((names != names[-1]).any(axis=1))
             end = int(whole[-1]) + 1 if len(whole) else 0
@@ -281,48 +388,86 @@ def across(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held):
             yield from emit(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    width = Bands(percent).width
+    return dealt.mapInArrow(run, "tile long, i long, j long, a long, b long")
 
 
-def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n, group) of every row; ``mark`` is a hash of id and text, ``group`` is null without shingles."""
+def named(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set, component) of linked classes; both are structs that begin with the class's first document."""
+    side = lambda x: classes.select(F.col("set").alias(x), F.struct("first.*", "set").alias(f"{x}_node"))
+    nodes = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    found = components(nodes)
+    return written(found.select(F.col("node.set").alias("set"), "component"), "groups")
+
+
+def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The scan (doc_id, mark, n, set, ...) of every row, and (set, first, copies, component) of every class.
+
+    ``mark`` is a hash of id and text, ``first`` a class's first document (unnamed, doc_id, mark); ``component`` is the smallest
+    (unnamed, doc_id, mark, set) of the classes linked with it, null for a class without links.
+    """
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scan = written(scanned(docs.withColumn("mark", F.xxhash64("doc_id", "text")), shingle, percent), "sets")
-    stats = ["n", *PARITY]
-    classes = written(
-        scan.filter("set IS NOT NULL").groupBy("set").agg(*[F.max(c).alias(c) for c in stats]), "classes"
+    docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+    scan = written(scanned(docs, shingle, percent), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
+    known = scan.filter("set IS NOT NULL").groupBy("set").agg(
+        F.max("n").alias("n"), F.max("bits").alias("bits"), first, F.count("*").alias("copies")
     )
-    named = scan.select("set", F.explode("tiles").alias("tile"))
-    shared = named.groupBy("tile").count().filter("count > 1").select("tile")
-    tiles = written(named.join(shared, "tile").select("tile", "set"), "tiles")
-    ends = tiles.groupBy("tile").agg(F.min("set").alias("b"), F.max("set").alias("z")).filter("b < z")
-    stars = tiles.join(ends.select("tile", "b"), "tile").filter("set <> b").select(F.col("set").alias("a"), "b").distinct()
-    links = verified(docs, classes, stars, shingle, percent)
-    groups = written(components(links), "groups")
-
-    # Tiles that hold several components may still hide links between them.
-    marked = tiles.distinct().join(groups, F.col("set") == F.col("node"), "left")
-    marked = marked.select("tile", "set", F.coalesce("component", "set").alias("component"))
-    open_ = marked.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = marked.join(open_.filter("lo < hi").select("tile"), "tile")
-    rest = across(rest, classes, percent)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(docs, classes, rest.join(tried, ["a", "b"], "left_anti"), shingle, percent)
-    groups = written(components(links.unionByName(more)), "groups")
-
-    members = scan.select("doc_id", "mark", "n", "set").join(groups, F.col("set") == F.col("node"), "left")
-    return members.select("doc_id", "mark", "n", F.coalesce("component", "set").alias("group"))
+    classes = written(known, "classes")
+    total = scan.agg(F.sum("tiles")).first()[0] or 0
+    tiles = written(shared_tiles(docs, max(BUCKETS, total // BUCKET_TILES), shingle, percent), "tiles")
+
+    stars = tiles.filter("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    links = verified(docs, classes, written(bounded(stars, classes, percent), "pairs"), shingle, percent)
+    groups = named(links, classes)
+
+    # Tiles that hold several components may still hide links. Pairs with the smallest member are settled.
+    node = F.coalesce("component", F.struct("first.*", "set"))
+    label = lambda: classes.select("set", "first").join(groups, "set", "left").select("set", F.xxhash64(node).alias("component"))
+    open_ = lambda t: t.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x < y")
+    others = tiles.filter("set <> low").select("tile", "set")
+    marked = others.join(label(), "set")
+    rest = others.join(open_(marked).select("tile", "members"), "tile").join(classes.select("set", "n", "bits"), "set")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rest = written(rest.select("tile", "set", "n", "bits", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")), "rest")
+    failed = None
+    while True:
+        rows = rest.join(label(), "set")
+        rows = rows.join(open_(rows).select("tile"), "tile").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select(
+            "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set", "component", "n", "bits",
+            F.lit(None).cast("long").alias("other"),
+        )
+        if failed is not None:
+            rows = rows.unionByName(failed.select(*UNIT, F.col("a").alias("set"), F.col("b").alias("other")), allowMissingColumns=True)
+        found = written(candidates(rows, percent), "candidates")
+        if found.isEmpty():
+            break
+        right = verified(docs, classes, found.select("a", "b").distinct(), shingle, percent)
+        links = links.unionByName(right)
+        groups = named(links, classes)
+        wrong = found.join(right, ["a", "b"], "left_anti")
+        failed = written(wrong if failed is None else failed.unionByName(wrong), "failed")
+        # A tile that had no pair to hand out has none later.
+        alive = found.select("tile").distinct()
+        rest = rest.join(alive, "tile", "left_semi")
+        failed = failed.join(alive, "tile", "left_semi")
+    return scan, classes.select("set", "first", "copies").join(groups, "set", "left")
 
 
 def join(
     df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id."""
-    members = grouped(df, doc, text, shingle, percent)
-    first = members.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("first"))
-    return members.join(first, "group", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
+    scan, classes = grouped(df, doc, text, shingle, percent)
+    least = F.coalesce("component.doc_id", "first.doc_id").alias("least")
+    # Only classes with copies or links need a look-up; copies of one are spread over salts.
+    shared = classes.filter("copies > 1 OR component IS NOT NULL").select(
+        "set", least, F.lit(True).alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    rows = scan.select("doc_id", "n", "set", F.pmod("mark", F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(shared, ["set", "salt"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("shared"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -333,10 +478,8 @@ def keep_one(
 
     Rows of equal id and text are one document and one of them stays. Rows without shingles all stay.
     """
-    members = grouped(df, doc, text, shingle, percent)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
-    first = members.filter("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.mark").alias("__mark"))
+    _, classes = grouped(df, doc, text, shingle, percent)
+    first = classes.filter("component IS NULL OR component.set = set").select(F.col("first.mark").alias("__mark"))
     keyed = df.withColumn("__mark", F.xxhash64(F.col(doc).cast("long"), F.col(text).cast("string")))
     # Only white space makes a text without shingles.
     blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -105,7 +105,7 @@ def test_linked_sets_share_a_tile(percent):
         if 100 * common >= percent * (len(a) + len(b) - common) and len(b):
             same = np.array_equal(a, b)
             assert same or len(np.intersect1d(bands.tiles(a), bands.tiles(b)))
-            assert J._linked(a.tobytes(), b.tobytes(), percent)
+            assert J._linked(a, b, percent)
 
 
 def test_few_shingles_spread_over_few_ranges():
