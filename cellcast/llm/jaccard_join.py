@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -330,9 +331,11 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     def compare(t: pa.Table) -> list[tuple[int, int]]:
         other = t.column("other")
-        member = t.filter(pa.compute.is_null(other)).sort_by("set")
+        member = t.filter(pc.is_null(other)).sort_by("set")
+        if len(member) < 2:
+            return []
         failed: dict[int, list[int]] = {}
-        for r in t.filter(pa.compute.is_valid(other)).select(["set", "other"]).to_pylist():
+        for r in t.filter(pc.is_valid(other)).select(["set", "other"]).to_pylist():
             failed.setdefault(r["set"], []).append(r["other"])
             failed.setdefault(r["other"], []).append(r["set"])
         get = lambda c: member.column(c).to_numpy()
