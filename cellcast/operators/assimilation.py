@@ -3,7 +3,7 @@
 All three filters need the observations only through sums over observations of products of
 member columns. Those N x N sums are added up inside every partition and merged per date,
 so a date with most of the observations is still spread over all tasks. The algebra on the
-merged N x N matrices is one small step per date; the state is updated in bounded chunks.
+merged N x N matrices is one small step per date; each state then meets the matrix of its date, or of its patch.
 
 Column layout: observations carry ``ha`` (array of N predicted values), ``d`` (the
 observed value) and ``e`` (array of N error draws); states carry ``a`` (array of N).
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.functions import rng
+from cellcast.operators.common import salted_join
 from cellcast.operators.series import thin_dates
 from cellcast.operators.spatial import nearest_join
 
@@ -153,13 +154,13 @@ def combine_products(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
 _SUMS = ("yy", "yd", "hh", "he", "hd", "zz", "hz", "zd")
 
 
-def _batch_sums(ha: np.ndarray, d: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
+def _batch_sums(ha: np.ndarray, d: np.ndarray, e: np.ndarray, share: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
     n = ha.shape[1]
     mean = ha.mean(axis=1, keepdims=True)
     anomaly = ha - mean
     variance = (e * e).sum(axis=1) / (n - 1)
     inverse = np.divide(1.0, variance, out=np.zeros_like(variance), where=variance > 0)
-    weighted = anomaly * inverse[:, None]
+    weighted = anomaly * (inverse * share)[:, None]
     residual = d[:, None] - mean
     noisy = anomaly + e
     innovation = d[:, None] + e.mean(axis=1, keepdims=True) - ha
@@ -175,48 +176,56 @@ def _batch_sums(ha: np.ndarray, d: np.ndarray, e: np.ndarray) -> dict[str, np.nd
     }
 
 
-def gram_sums(observations: DataFrame, day: str = "fdate") -> DataFrame:
-    """Per-date sums over observations, one row of flattened arrays per date.
+def _listed(keys: str | Sequence[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
 
-    ``mapInPandas`` reduces each Arrow batch to one row per date, then an ordinary
-    groupBy adds matrices position by position.
+
+def gram_sums(
+    observations: DataFrame, day: str | Sequence[str] = "fdate", share: str | None = None, names: Sequence[str] = _SUMS
+) -> DataFrame:
+    """Sums over the observations of a date (or of several keys), one row of flattened arrays each.
+
+    ``mapInPandas`` reduces each Arrow batch to one row per key, then an ordinary
+    groupBy adds matrices position by position. ``share`` names a factor on each observation's weight.
     """
-    day_type = observations.schema[day].dataType
-    schema = T.StructType([T.StructField(day, day_type), T.StructField("nobs", T.LongType())])
-    for name in _SUMS:
+    keys = _listed(day)
+    schema = T.StructType([*[observations.schema[k] for k in keys], T.StructField("nobs", T.LongType())])
+    for name in names:
         schema.add(name, T.ArrayType(T.DoubleType()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, part in batch.groupby(day, sort=False):
+            for key, part in batch.groupby(keys, sort=False):
                 sums = _batch_sums(
                     np.stack(part["ha"].to_numpy()).astype(float),
                     part["d"].to_numpy(float),
                     np.stack(part["e"].to_numpy()).astype(float),
+                    1.0 if share is None else part[share].to_numpy(float),
                 )
-                row = {day: key, "nobs": len(part)}
-                row.update({k: v.ravel() for k, v in sums.items()})
+                row = {**dict(zip(keys, key)), "nobs": len(part)}
+                row.update({k: sums[k].ravel() for k in names})
                 rows.append(row)
             if rows:
                 yield pd.DataFrame(rows)
 
-    parts = observations.select(day, "ha", "d", "e").mapInPandas(partial, schema)
+    needed = [*keys, "ha", "d", "e", *([share] if share else [])]
+    parts = observations.select(*needed).mapInPandas(partial, schema)
     tall = parts.select(
-        day,
+        *keys,
         "nobs",
-        F.posexplode(F.arrays_zip(*[F.col(n) for n in _SUMS])).alias("pos", "_s"),
+        F.posexplode(F.arrays_zip(*[F.col(n) for n in names])).alias("pos", "_s"),
     )
     # The d-sums have N entries and the rest N*N; arrays_zip pads with NULL and sum skips it.
-    added = tall.groupBy(day, "pos").agg(
-        F.sum("nobs").alias("nobs"), *[F.sum(f"_s.{n}").alias(n) for n in _SUMS]
+    added = tall.groupBy(*keys, "pos").agg(
+        F.sum("nobs").alias("nobs"), *[F.sum(f"_s.{n}").alias(n) for n in names]
     )
-    packed = added.groupBy(day).agg(
+    packed = added.groupBy(*keys).agg(
         F.max("nobs").alias("nobs"),
-        F.sort_array(F.collect_list(F.struct("pos", *_SUMS))).alias("_m"),
+        F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_m"),
     )
     # An array of structs gives the array of one field by name.
-    return packed.select(day, "nobs", *[F.col(f"_m.{n}").alias(n) for n in _SUMS])
+    return packed.select(*keys, "nobs", *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
 def _matrix(values, n: int) -> np.ndarray:
@@ -290,84 +299,125 @@ def sqrtenkf_weights(sums: dict, n: int, nobs: int, seed: int, kept: float = 0.9
 
 FILTERS = {"letkf": letkf_weights, "enkf": enkf_weights, "sqrtenkf": sqrtenkf_weights}
 _SQUARE = ("yy", "hh", "he", "zz", "hz", "zd")
+#: Sums that each filter reads, a square one first.
+_NEEDED = {"letkf": ("yy", "yd"), "enkf": ("zz", "hz", "zd"), "sqrtenkf": ("hh", "he", "hd")}
 
 
 def filter_weights(
-    observations: DataFrame, method: str = "letkf", day: str = "fdate", seed: int = 0
+    observations: DataFrame, method: str = "letkf", day: str | Sequence[str] = "fdate", seed: int = 0, share: str | None = None
 ) -> DataFrame:
-    """N x N transform per date, flattened: anomalies times it gives the new anomalies
-    (plus mean shift). One row per date goes in, one comes out."""
-    sums = gram_sums(observations, day)
+    """N x N transform per date (or several keys), flattened: anomalies times it gives the new anomalies
+    (plus mean shift). One row of sums goes in, one comes out."""
+    keys = _listed(day)
+    names = _NEEDED[method.lower()]
+    sums = gram_sums(observations, keys, share, names)
     solve = FILTERS[method.lower()]
-    day_type = observations.schema[day].dataType
     schema = T.StructType(
-        [T.StructField(day, day_type), T.StructField("w", T.ArrayType(T.DoubleType()))]
+        [*[observations.schema[k] for k in keys], T.StructField("w", T.ArrayType(T.DoubleType()))]
     )
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
-                n = int(round(len(row["yy"]) ** 0.5))
-                parts = {k: _matrix(row[k], n) for k in _SQUARE}
-                parts.update(yd=_column(row["yd"], n), hd=_column(row["hd"], n))
-                stable = zlib.crc32(f"{row[day]}/{seed}".encode())
-                rows.append({day: row[day], "w": solve(parts, n, int(row["nobs"]), stable).ravel()})
+                n = int(round(len(row[names[0]]) ** 0.5))
+                parts = {k: _matrix(row[k], n) if k in _SQUARE else _column(row[k], n) for k in names}
+                stable = zlib.crc32(f"{'/'.join(str(row[k]) for k in keys)}/{seed}".encode())
+                rows.append({**{k: row[k] for k in keys}, "w": solve(parts, n, int(row["nobs"]), stable).ravel()})
             if rows:
                 yield pd.DataFrame(rows)
 
     return sums.mapInPandas(step, schema)
 
 
+def transformed(members: Column, weights: Column) -> Column:
+    """Mean plus anomalies times a flattened N x N matrix; the members themselves where there is none."""
+    n = F.size(members)
+    mean = F.aggregate(members, F.lit(0.0), lambda acc, v: acc + v) / n
+    add = lambda acc, v: acc + v
+    column = lambda j: F.aggregate(
+        F.transform(members, lambda v, i: (v - mean) * F.get(weights, i * n + j)), F.lit(0.0), add
+    )
+    new = F.transform(F.sequence(F.lit(0), n - 1), lambda j: mean + column(j))
+    return F.when(weights.isNull() | (n == 0), members).otherwise(new)
+
+
 def analyse(
     states: DataFrame,
     observations: DataFrame,
     method: str = "letkf",
     day: str = "fdate",
     keys: Sequence[str] = ("gid",),
-    chunk_rows: int = 20000,
+    salts: int = 16,
     seed: int = 0,
 ) -> DataFrame:
     """Updated members of every state row, as array ``xa`` next to the original ``a``.
 
-    States of a date are cut into chunks of about ``chunk_rows`` rows by a hash of their
-    keys; a chunk meets the date's matrix and is one matrix product. A date without
-    observations keeps its states.
+    Each state meets the one matrix of its date; a date with most of the states is spread over ``salts`` by a hash of
+    their keys. A date without observations keeps its states.
     """
-    weights = filter_weights(observations, method, day, seed)
-    method = method.lower()
-    counts = states.groupBy(day).agg(F.ceil(F.count("*") / chunk_rows).alias("_chunks"))
-    # One row per analysis date: a century of daily analyses is under a megabyte.
-    sized = states.join(F.broadcast(counts), day)
-    chunk = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.col("_chunks"))
-    left = sized.withColumn("_chunk", chunk).drop("_chunks")
-    right = weights.join(counts, day).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    ).drop("_chunks")
-    schema = T.StructType(
-        [f for f in states.schema.fields] + [T.StructField("xa", T.ArrayType(T.DoubleType()))]
-    )
-    names = [f.name for f in states.schema.fields]
-    keeps_own = method == "enkf"
-
-    def update(rows: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=[*names, "xa"])
-        a = np.stack(rows["a"].to_numpy()).astype(float)
-        if len(matrix):
-            n = a.shape[1]
-            w = np.array(matrix["w"].iloc[0], float).reshape(n, n)
-            mean = a.mean(axis=1, keepdims=True)
-            # The perturbed filter adds an increment to each member, the others replace it.
-            new = a + (a - mean) @ (w - np.eye(n)) if keeps_own else (a - mean) @ w + mean
-        else:
-            new = a
-        out = rows[names].copy()
-        out["xa"] = list(new)
-        return out
-
-    grouped = left.groupBy(day, "_chunk").cogroup(right.groupBy(day, "_chunk"))
-    return grouped.applyInPandas(update, schema)
+    weights = filter_weights(observations, method, day, seed).withColumnRenamed("w", "_w")
+    met = salted_join(states, weights, [day], salts, spread_by=keys, how="left")
+    return met.withColumn("xa", transformed(F.col("a"), F.col("_w"))).select(*states.columns, "xa")
+
+
+# ---------------------------------------------------------------- localisation
+
+
+def taper(distance: Column, radius: float) -> Column:
+    """Gaspari-Cohn weight: 1 at no distance, falling smoothly to 0 at ``radius``."""
+    z = distance / F.lit(radius / 2.0)
+    p = lambda k: F.pow(z, F.lit(float(k)))
+    near = -p(5) / 4 + p(4) / 2 + 5 * p(3) / 8 - 5 * p(2) / 3 + 1
+    far = p(5) / 12 - p(4) / 2 + 5 * p(3) / 8 + 5 * p(2) / 3 - 5 * z + 4 - 2 / (3 * z)
+    return F.when(z <= 1, near).when(z < 2, far).otherwise(0.0)
+
+
+def within_radius(
+    patches: DataFrame, observations: DataFrame, radius: float, day: str = "fdate"
+) -> DataFrame:
+    """Observations with each patch (px, py, x, y) of their date whose centre is nearer than ``radius``, with ``distance``.
+
+    Both meet on squares of ``radius`` degrees; an observation is dealt to its own square and the eight around it, so no patch
+    meets observations farther than two squares away.
+    """
+    square = lambda c: F.floor(F.col(c) / F.lit(radius))
+    left = patches.withColumn("_cx", square("x")).withColumn("_cy", square("y"))
+    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+    right = observations.filter("lon IS NOT NULL AND lat IS NOT NULL")
+    for name, c in (("_cx", "lon"), ("_cy", "lat")):
+        right = right.withColumn(name, F.explode(F.transform(around, lambda k: square(c) + k)))  # noqa: B023
+    met = right.join(left, [day, "_cx", "_cy"])
+    away = F.sqrt(F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2))
+    return met.withColumn("distance", away).filter(F.col("distance") < radius).drop("_cx", "_cy")
+
+
+def analyse_local(
+    states: DataFrame,
+    observations: DataFrame,
+    radius: float,
+    patch: float,
+    day: str = "fdate",
+    seed: int = 0,
+) -> DataFrame:
+    """Local transform analysis: states (lat, lon, a) see the observations (lat, lon, ha, d, e) around them only.
+
+    States of one ``patch`` (a square of so many degrees) share one N x N solve. It takes the observations of the date within
+    ``radius`` of the patch's centre, their weights tapered by distance. The N x N sums are added up as in the
+    analysis with all observations, so a patch with most observations is no single task's work. As ``radius`` grows, the result
+    approaches that of ``analyse`` with 'letkf'. States without place or without observations around keep their members.
+    """
+    place = lambda c: F.floor(F.col(c) / F.lit(patch))
+    placed = states.withColumn("_px", place("lon")).withColumn("_py", place("lat"))
+    centre = lambda c: (F.col(c) + 0.5) * F.lit(patch)
+    patches = placed.filter("_px IS NOT NULL AND _py IS NOT NULL").select(day, "_px", "_py").distinct()
+    patches = patches.withColumn("x", centre("_px")).withColumn("y", centre("_py"))
+    seen = observations.select(day, "lat", "lon", "ha", "d", "e")
+    pairs = within_radius(patches, seen, radius, day).withColumn("_share", taper(F.col("distance"), radius))
+    unit = [day, "_px", "_py"]
+    weights = filter_weights(pairs, "letkf", unit, seed, "_share").withColumnRenamed("w", "_w")
+    met = placed.join(weights, unit, "left")
+    return met.withColumn("xa", transformed(F.col("a"), F.col("_w"))).select(*states.columns, "xa")
 
 
 def nearest_observation(

@@ -6,10 +6,11 @@ as tables (forcings, crop weather) and their outputs arrive as tables (``sim``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellcast.operators import (
@@ -109,6 +110,80 @@ def assimilate(
     return assimilation.unpack_members(analysed, ["gid", "fdate"])
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table if it was written to its end, else nothing."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def assimilation_cycle(
+    sim: DataFrame,
+    observe: Callable[[DataFrame, date], DataFrame],
+    dates: Iterable[date],
+    path: str,
+    method: str = "letkf",
+    **options,
+) -> DataFrame:
+    """Analyses at ``dates`` in order, each from a background that carries the analyses before it.
+
+    ``sim`` is the run without observations: (gid, fdate, layer, ensemble, value). The background of a date is its
+    layers times what earlier analyses made of the cell and member, the product of analysis over background so far. ``observe``
+    gives the observations of a date, with what the background predicts for them: (fdate, ha, d, e), and lon and lat where
+    ``method`` is 'local' (then ``sim`` carries them too and ``options`` go to ``analyse_local``).
+
+    Every date leaves two tables under ``path``: its updated layers and, last, the factors (gid, ensemble, factor). A date whose factors
+    are there is not computed again, so an interrupted run goes on where it stopped. The result has the updated layers of all
+    dates: (gid, layer, ensemble, value, background, fdate). The loop is over analysis dates only, which a calendar bounds.
+    A cell without rows on a date keeps its factor; one whose background is zero, too.
+    """
+    spark = sim.sparkSession
+    factors: DataFrame | None = None
+    parts = []
+    spot = [c for c in ("lon", "lat") if c in sim.columns]
+    for day in sorted(set(dates)):
+        place = f"{path.rstrip('/')}/fdate={day.isoformat()}"
+        parts.append(f"{place}/layers")
+        done = _stored(spark, f"{place}/factors")
+        if done is None:
+            now = sim.filter(F.col("fdate") == F.lit(day))
+            if factors is None:
+                background = now.withColumn("_f", F.lit(1.0))
+            else:
+                background = now.join(factors.withColumnRenamed("factor", "_f"), ["gid", "ensemble"], "left")
+            background = background.withColumn("_f", F.coalesce("_f", F.lit(1.0))).withColumn("value", F.col("value") * F.col("_f"))
+            seen = observe(background.drop("_f"), day)
+            states = assimilation.state_vector(background, ["gid", *spot])
+            if method == "local":
+                analysed = assimilation.analyse_local(states, seen, **options)
+            else:
+                analysed = assimilation.analyse(states, seen, method, **options)
+            members = background.select("gid", "ensemble", "_f").distinct()
+            ranked = members.withColumn("_i", F.row_number().over(Window.partitionBy("gid").orderBy("ensemble")))
+            new = assimilation.unpack_members(analysed, ["gid"]).withColumnRenamed("ensemble", "_i")
+            # The arrays hold a cell's members in order.
+            change = F.coalesce(F.col("xa") / F.nullif("x", F.lit(0.0)), F.lit(1.0))
+            ratios = ranked.join(new, ["gid", "_i"]).select("gid", "ensemble", "_f", change.alias("_change"))
+            ratios = cut_lineage(ratios)
+            updated = background.drop("_f").join(ratios.drop("_f"), ["gid", "ensemble"])
+            updated.select(
+                "gid", "layer", "ensemble", (F.col("value") * F.col("_change")).alias("value"), F.col("value").alias("background")
+            ).write.mode("overwrite").parquet(f"{place}/layers")
+            fresh = ratios.select("gid", "ensemble", (F.col("_f") * F.col("_change")).alias("factor"))
+            if factors is not None:
+                fresh = fresh.unionByName(factors.join(fresh, ["gid", "ensemble"], "left_anti"))
+            fresh.write.mode("overwrite").parquet(f"{place}/factors")
+            done = spark.read.parquet(f"{place}/factors")
+        factors = done
+    kinds = {f.name: f.dataType.simpleString() for f in sim.schema}
+    schema = f"gid {kinds['gid']}, layer {kinds['layer']}, ensemble {kinds['ensemble']}, value double, background double"
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, fdate date")
+    dated = F.to_date(F.regexp_extract(F.input_file_name(), r"fdate=([0-9-]{10})/layers", 1))
+    return spark.read.schema(schema).parquet(*parts).withColumn("fdate", dated)
+
+
 def forecast_forcings(
     method: str,
     history: DataFrame,

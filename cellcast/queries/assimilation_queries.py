@@ -7,6 +7,8 @@ dimensions 42-61 (tenths) the error draws.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cellcast.operators import assimilation as A
@@ -14,6 +16,8 @@ from cellcast.operators.spatial import nearest_join
 from cellcast.queries import inputs as I
 from cellcast.queries.inputs import LEFT, TOP, views
 from cellcast.queries.registry import query
+from cellcast.plans import flows
+from cellcast.session import cut_lineage, ensure_checkpoint_dir
 
 N = 20
 
@@ -285,3 +289,119 @@ def observation_pixels(spark, d):
     return year.join(inside, ["row", "col"])
 
 
+
+
+# Two members have closed forms: all anomalies are multiples of (1, -1), so N x N matrices are numbers.
+_PAIR = """WITH RECURSIVE o AS (SELECT vec_id AS gid, label AS fdate, vec_id % 40 * 0.5 AS lon, vec_id // 40 % 20 * 0.5 AS lat,
+    embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS a2, embedding[21]::DOUBLE AS h1, embedding[22]::DOUBLE AS h2, embedding[41]::DOUBLE AS d,
+    embedding[42]::DOUBLE * 0.1 AS e1, embedding[43]::DOUBLE * 0.1 AS e2 FROM embeddings),
+    q AS (SELECT *, (h1 - h2) / 2 AS y, d - (h1 + h2) / 2 AS res, 1 / (e1 * e1 + e2 * e2) AS inv, (a1 - a2) / 2 AS x, (a1 + a2) / 2 AS m FROM o)"""
+
+
+def _pairs(spark, d):
+    """Rows with two members and a place."""
+    e = I.table(spark, d, "embeddings")
+    two = lambda k: F.array(*[F.get("embedding", k + i).cast("double") for i in (0, 1)])
+    return e.select(
+        F.col("vec_id").alias("gid"), F.col("label").alias("fdate"), (F.col("vec_id") % 40 * 0.5).alias("lon"),
+        (F.floor(F.col("vec_id") / 40) % 20 * 0.5).alias("lat"), two(0).alias("a"), two(20).alias("ha"),
+        F.get("embedding", 40).cast("double").alias("d"), F.transform(two(41), lambda v: v * 0.1).alias("e"),
+    )
+
+
+@query(
+    "letkf_pair", "gid:i fdate:i ensemble:i xa:f",
+    _PAIR + """, s AS (SELECT fdate, 1 / (1 / 1.05 + 2 * sum(y * y * inv)) AS p, sum(y * res * inv) AS t FROM q GROUP BY 1)
+    SELECT gid, fdate, k AS ensemble, m + (3 - 2 * k) * x * sqrt(p) + 2 * x * p * t AS xa FROM q JOIN s USING (fdate), range(1, 3) AS r(k)""",
+)
+def letkf_pair(spark, d):
+    """Transform analysis of two members."""
+    rows = _pairs(spark, d)
+    out = A.analyse(rows.select("gid", "fdate", "a"), rows.select("fdate", "ha", "d", "e"), "letkf")
+    return A.unpack_members(out, ["gid", "fdate"])
+
+
+@query(
+    "enkf_pair", "gid:i fdate:i ensemble:i xa:f",
+    _PAIR + """, z AS (SELECT *, y + e1 AS z1, e2 - y AS z2, d + (e1 + e2) / 2 AS dp FROM q),
+    s AS (SELECT fdate, sum(z1 * z1) AS g11, sum(z1 * z2) AS g12, sum(z2 * z2) AS g22, sum(y * z1) AS u1, sum(y * z2) AS u2,
+    sum(z1 * (dp - h1)) AS k11, sum(z1 * (dp - h2)) AS k12, sum(z2 * (dp - h1)) AS k21, sum(z2 * (dp - h2)) AS k22 FROM z GROUP BY 1),
+    l AS (SELECT *, (g11 + g22) / 2 + sqrt(pow((g11 - g22) / 2, 2) + g12 * g12) AS l1, greatest(0, (g11 + g22) / 2 - sqrt(pow((g11 - g22) / 2, 2)
+    + g12 * g12)) AS l2 FROM s), v AS (SELECT *, atan2(l1 - g11, g12) AS turn FROM l),
+    c AS (SELECT *, CASE WHEN sqrt(l1) / (sqrt(l1) + sqrt(l2)) > 0.999 THEN 0 ELSE 1 / (l1 * l1) END AS f, cos(turn) AS v1, sin(turn) AS v2 FROM v),
+    w AS (SELECT *, (u1 * v1 + u2 * v2) * f AS h FROM c)
+    SELECT gid, q.fdate, k AS ensemble, CASE WHEN k = 1 THEN a1 ELSE a2 END
+    + 2 * x * h * CASE WHEN k = 1 THEN v1 * k11 + v2 * k21 ELSE v1 * k12 + v2 * k22 END AS xa FROM q JOIN w ON q.fdate = w.fdate, range(1, 3) AS r(k)""",
+)
+def enkf_pair(spark, d):
+    """Perturbed-observation analysis of two members."""
+    rows = _pairs(spark, d)
+    out = A.analyse(rows.select("gid", "fdate", "a"), rows.select("fdate", "ha", "d", "e"), "enkf")
+    return A.unpack_members(out, ["gid", "fdate"])
+
+
+@query(
+    "local_analysis", "gid:i fdate:i ensemble:i xa:f",
+    _PAIR + """, p AS (SELECT DISTINCT fdate, floor(lon / 1.5) AS px, floor(lat / 1.5) AS py FROM q),
+    n AS (SELECT p.fdate, px, py, y, res, inv, sqrt(pow(lon - (px + 0.5) * 1.5, 2) + pow(lat - (py + 0.5) * 1.5, 2)) / 2 AS z
+    FROM p JOIN q USING (fdate)), g AS (SELECT *, CASE WHEN z <= 1 THEN -pow(z, 5) / 4 + pow(z, 4) / 2 + 5 * pow(z, 3) / 8 - 5 * z * z / 3 + 1
+    ELSE pow(z, 5) / 12 - pow(z, 4) / 2 + 5 * pow(z, 3) / 8 + 5 * z * z / 3 - 5 * z + 4 - 2 / (3 * z) END * inv AS r FROM n WHERE z < 2),
+    s AS (SELECT fdate, px, py, 1 / (1 / 1.05 + 2 * sum(y * y * r)) AS p, sum(y * res * r) AS t FROM g GROUP BY 1, 2, 3)
+    SELECT gid, q.fdate, k AS ensemble, CASE WHEN p IS NULL THEN CASE WHEN k = 1 THEN a1 ELSE a2 END
+    ELSE m + (3 - 2 * k) * x * sqrt(p) + 2 * x * p * t END AS xa FROM q LEFT JOIN s ON q.fdate = s.fdate AND floor(lon / 1.5) = px
+    AND floor(lat / 1.5) = py, range(1, 3) AS r(k)""",
+)
+def local_analysis(spark, d):
+    """Transform analysis of two members in patches of 1.5 degrees that see 4 degrees far."""
+    rows = _pairs(spark, d)
+    out = A.analyse_local(rows.select("gid", "fdate", "lon", "lat", "a"), rows.select("fdate", "lon", "lat", "ha", "d", "e"), 4.0, 1.5)
+    return A.unpack_members(out, ["gid", "fdate"])
+
+
+_YEARLY = """WITH RECURSIVE li AS (SELECT l_suppkey AS gid, make_date(year(l_shipdate), 1, 1) AS fdate, l_orderkey % 2 + 1 AS ensemble,
+    (l_linenumber - 1) % 3 + 1 AS layer, l_quantity, l_discount FROM lineitem),
+    sim AS (SELECT gid, fdate, layer, ensemble, sum(l_quantity) AS value FROM li GROUP BY 1, 2, 3, 4),
+    ob AS (SELECT gid, fdate, sum(l_quantity * l_discount) AS d FROM li GROUP BY 1, 2),
+    tot AS (SELECT gid, fdate, ensemble, sum(value) AS v FROM sim GROUP BY 1, 2, 3),
+    days AS (SELECT fdate, row_number() OVER (ORDER BY fdate) AS k FROM (SELECT DISTINCT fdate FROM sim)),
+    st AS (SELECT k, t.gid, max(CASE WHEN ensemble = 1 THEN v END) AS v1, max(CASE WHEN ensemble = 2 THEN v END) AS v2, any_value(d) AS d
+    FROM tot t JOIN days USING (fdate) JOIN ob ON ob.gid = t.gid AND ob.fdate = t.fdate GROUP BY 1, 2 HAVING count(*) = 2),
+    rec(k, gid, f1, f2) AS (SELECT 0::BIGINT, gid, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT gid FROM tot) UNION ALL
+    SELECT k, gid, CASE WHEN x IS NULL THEN f1 ELSE f1 * (m + x * sqrt(p) + 2 * x * p * t) / b1 END,
+    CASE WHEN x IS NULL THEN f2 ELSE f2 * (m - x * sqrt(p) + 2 * x * p * t) / b2 END FROM (
+    SELECT *, 1 / (1 / 1.05 + 2 * sum(y * y * inv) OVER ()) AS p, sum(y * res * inv) OVER () AS t FROM (
+    SELECT *, 0.1 * x AS y, d - 0.1 * m AS res, 1 / (2 * 0.02 * d * 0.02 * d) AS inv FROM (
+    SELECT *, (b1 - b2) / 2 AS x, (b1 + b2) / 2 AS m FROM (
+    SELECT rec.k + 1 AS k, rec.gid, f1, f2, f1 * v1 AS b1, f2 * v2 AS b2, d FROM rec LEFT JOIN st ON st.k = rec.k + 1 AND st.gid = rec.gid
+    WHERE rec.k < (SELECT max(k) FROM days))))))"""
+
+
+@query(
+    "assimilation_cycle", "gid:i fdate:d layer:i ensemble:i value:f background:f",
+    _YEARLY + """ SELECT sim.gid, sim.fdate, layer, ensemble, value * CASE WHEN ensemble = 1 THEN n.f1 ELSE n.f2 END AS value,
+    value * CASE WHEN ensemble = 1 THEN b.f1 ELSE b.f2 END AS background FROM sim JOIN days USING (fdate)
+    JOIN st ON st.k = days.k AND st.gid = sim.gid JOIN rec n ON n.k = days.k AND n.gid = sim.gid
+    JOIN rec b ON b.k = days.k - 1 AND b.gid = sim.gid""", digits=4,
+)
+def assimilation_cycle(spark, d):
+    """Yearly analyses of two members, each from the state that the one before it left."""
+    li = I.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("gid"), F.trunc("l_shipdate", "year").alias("fdate"), (F.col("l_orderkey") % 2 + 1).cast("int").alias("ensemble"),
+        ((F.col("l_linenumber") - 1) % 3 + 1).alias("layer"), "l_quantity", "l_discount",
+    )
+    both = li.groupBy("gid", "fdate").agg(F.count_distinct("ensemble").alias("n"), F.sum(F.col("l_quantity") * F.col("l_discount")).alias("d"))
+    both = both.filter("n = 2").drop("n")
+    sim = li.groupBy("gid", "fdate", "layer", "ensemble").agg(F.sum("l_quantity").alias("value")).join(both.select("gid", "fdate"), ["gid", "fdate"])
+    sim = cut_lineage(sim.select("gid", "fdate", "layer", "ensemble", "value"))
+
+    def observe(background, day):
+        """A tenth of the column is seen, with an error of two per cent."""
+        states = A.state_vector(background)
+        seen = both.filter(F.col("fdate") == F.lit(day))
+        return states.join(seen, ["gid", "fdate"]).select(
+            "fdate", F.transform("a", lambda v: v * 0.1).alias("ha"), "d", F.array(F.col("d") * 0.02, F.col("d") * -0.02).alias("e")
+        )
+
+    years = [r["fdate"] for r in sim.select("fdate").distinct().collect()]  # one row a year
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cycle-{uuid.uuid4().hex}"
+    return flows.assimilation_cycle(sim, observe, years, place)

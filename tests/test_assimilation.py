@@ -66,7 +66,7 @@ def frames(spark, cases):
 def test_filters_match_matrix_formulas(spark, method):
     cases = {1: case(1, 9, 25), 2: case(2, 5, 4), 3: case(3, 4, 6)}
     states, obs = frames(spark, cases)
-    out = A.analyse(states.repartition(4), obs.repartition(5), method, chunk_rows=3).collect()
+    out = A.analyse(states.repartition(4), obs.repartition(5), method, salts=3).collect()
     assert len(out) == 18
     for day, (a, ha, d, e) in cases.items():
         want = direct(method, a, ha, d, e)
@@ -95,8 +95,8 @@ def test_dates_without_observations_keep_their_state(spark):
 
 def test_result_does_not_depend_on_partitions(spark):
     states, obs = frames(spark, {1: case(1, 30, 50)})
-    one = A.analyse(states.coalesce(1), obs.coalesce(1), "enkf", chunk_rows=1000)
-    many = A.analyse(states.repartition(7), obs.repartition(9), "enkf", chunk_rows=4)
+    one = A.analyse(states.coalesce(1), obs.coalesce(1), "enkf", salts=1)
+    many = A.analyse(states.repartition(7), obs.repartition(9), "enkf", salts=7)
     key = lambda df: {r["gid"]: r["xa"] for r in df.collect()}
     a, b = key(one), key(many)
     for g in a:
@@ -132,3 +132,62 @@ def test_area_weighted_state_counts_bare_soil(spark):
     df = spark.createDataFrame(rows, "gid int, veg_frac double, band_frac double, value double")
     got = A.area_weighted_state(df, ["gid"]).first()["value"]
     assert got == pytest.approx(0.3 * (6 + 8) + 0.7 * (3 + 0.4))
+
+
+def placed(spark, seed, nstate, nobs, width=12.0):
+    a, ha, d, e = case(seed, nstate, nobs)
+    r = np.random.default_rng(seed + 50)
+    at, seen = r.uniform(-width / 2, width / 2, (nstate, 2)), r.uniform(-width / 2, width / 2, (nobs, 2))
+    states = spark.createDataFrame(
+        [(i, 1, float(at[i, 0]), float(at[i, 1]), a[i].tolist()) for i in range(nstate)], "gid long, fdate int, lon double, lat double, a array<double>"
+    )
+    obs = spark.createDataFrame(
+        [(1, float(seen[k, 0]), float(seen[k, 1]), ha[k].tolist(), float(d[k, 0]), e[k].tolist()) for k in range(nobs)],
+        "fdate int, lon double, lat double, ha array<double>, d double, e array<double>",
+    )
+    return (a, ha, d, e, at, seen), states, obs
+
+
+def gaspari_cohn(z):
+    near = -z**5 / 4 + z**4 / 2 + 5 * z**3 / 8 - 5 * z**2 / 3 + 1
+    far = z**5 / 12 - z**4 / 2 + 5 * z**3 / 8 + 5 * z**2 / 3 - 5 * z + 4 - 2 / (3 * np.maximum(z, 1e-9))
+    return np.where(z <= 1, near, np.where(z < 2, far, 0.0))
+
+
+def test_local_analysis_equals_dense_matrices(spark):
+    """Each patch against whole matrices with the error covariance divided by the taper."""
+    (a, ha, d, e, at, seen), states, obs = placed(spark, 21, 60, 80)
+    got = {r["gid"]: r["xa"] for r in A.analyse_local(states.repartition(3), obs.repartition(5), 3.0, 0.75).collect()}
+    alone = 0
+    for i in range(len(a)):
+        centre = (np.floor(at[i] / 0.75) + 0.5) * 0.75
+        share = gaspari_cohn(np.hypot(*(seen - centre).T) / 1.5)
+        near = share > 0
+        if not near.any():
+            alone += 1
+            assert got[i] == a[i].tolist()
+            continue
+        r = np.diag(np.diag(e[near] @ e[near].T / (N - 1)) / share[near])
+        y = ha[near] - ha[near].mean(1, keepdims=True)
+        c = y.T @ np.linalg.inv(r)
+        p = np.linalg.pinv((N - 1) * np.eye(N) / 1.05 + c @ y)
+        w = root((N - 1) * p) + p @ c @ (d[near] - ha[near].mean(1, keepdims=True))
+        assert got[i] == pytest.approx((a[i] - a[i].mean()) @ w + a[i].mean(), abs=1e-7)
+    assert alone < len(a) / 2
+
+
+def test_local_analysis_far_radius_is_the_analysis_with_all(spark):
+    _, states, obs = placed(spark, 22, 20, 30)
+    whole = {r["gid"]: r["xa"] for r in A.analyse(states, obs.drop("lon", "lat"), "letkf").collect()}
+    far = {r["gid"]: r["xa"] for r in A.analyse_local(states, obs, 1e7, 100.0).collect()}
+    assert set(far) == set(whole) and all(far[g] == pytest.approx(whole[g], abs=1e-6) for g in whole)
+
+
+def test_local_analysis_without_place_or_neighbours(spark):
+    _, states, obs = placed(spark, 23, 6, 9)
+    lost = states.withColumn("lon", F.when(F.col("gid") == 2, F.lit(None)).otherwise(F.col("lon")))
+    lost = lost.withColumn("lat", F.when(F.col("gid") == 3, F.lit(80.0)).otherwise(F.col("lat")))
+    nowhere = obs.unionByName(obs.limit(1).withColumn("lat", F.lit(None).cast("double")))
+    out = {r["gid"]: r for r in A.analyse_local(lost, nowhere, 2.0, 1.0).collect()}
+    assert len(out) == 6 and all(out[g]["a"] == out[g]["xa"] for g in (2, 3))
+    assert A.analyse_local(states, obs.filter("fdate = 9"), 2.0, 1.0).filter("a = xa").count() == 6
