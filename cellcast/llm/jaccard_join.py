@@ -10,14 +10,15 @@ not enough to share any. A set near a band's lower edge takes part in the band b
 SPARE empty ranges name those as well, as only they can agree on nothing but empty ranges. Tasks send tiles packed, eight
 bytes a tile and set, each set once a task; only tiles with several sets are kept.
 
-Bounds. A parity bitmap of about 8 D bits goes with each class. Bits that differ are shingles that differ, so their count bounds
+Bounds. A parity bitmap of about 16 D bits goes with each class. Bits that differ are shingles that differ, so their count bounds
 the overlap from above; halves of a bitmap folded onto each other are the bitmap of half the width, so sets of
 neighbouring bands compare too. What passes is decided by exact intersection of the sorted arrays.
 
 Pairs. First every member of a tile is paired with the tile's smallest member: as many pairs as rows. Links found so join classes
 to components. Tiles that still hold several components are then compared inside, in rounds: a tile hands out the
-closest pairs that would join its components into trees, never more than it has members, they are decided, and tiles go on
-until no pair passes the bound. A pair that failed is not handed out again. No link between different texts is lost, and no
+closest pairs that would join its components into trees, fewer than it has members (later ``TREES`` times as many, as what is
+still apart then rarely belongs together), they are decided, and tiles go on until no pair passes the bound. A pair that
+failed is not handed out again. No link between different texts is lost, and no
 group is ever expanded into all its pairs.
 
 Hot groups: copies are one class; a class carries its smallest document, so components need no join on their name; the last
@@ -51,7 +52,7 @@ FILTER_BITS = 1 << 25
 WORD_CACHE = 200_000
 #: Tiles of one bucket (expected) and of one packed row, fewest buckets, classes a task remembers.
 BUCKET_TILES, PACK_TILES, BUCKETS, SEEN = 1 << 21, 1 << 20, 32, 1 << 20
-SALTS = 8
+SALTS, TREES = 8, 32
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -108,8 +109,8 @@ class Bands:
         return together * (100 - self.percent) // (100 + self.percent) + SPARE
 
     def width(self, band: int) -> int:
-        """Bits of the parity bitmap: a power of two of eight times what linked sets may differ in, or more."""
-        return max(BITS, 1 << (8 * (self.ranges(band) - SPARE) - 1).bit_length())
+        """Bits of the parity bitmap: a power of two of sixteen times what linked sets may differ in, or more."""
+        return max(BITS, 1 << (16 * (self.ranges(band) - SPARE) - 1).bit_length())
 
     def bands(self, n: int) -> list[int]:
         """Bands in which a set of n shingles looks for partners."""
@@ -321,11 +322,11 @@ def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int,
 UNIT = ["tile", "i", "j"]
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
+def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
     """(tile, i, j, a, b): in every unit, pairs that pass the bound and would join its components into trees.
 
     ``rows`` holds members (tile, i, j, own, set, component, n, bits) and failed pairs (tile, i, j, set, other). A unit is a
-    tile, or two blocks of a large one. Nothing is handed out twice, and at most one pair less than there are members.
+    tile, or two blocks of a large one. Nothing is handed out twice, and ``trees`` times fewer pairs than there are members at most.
     """
     dealt = rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
 
@@ -340,31 +341,37 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             failed.setdefault(r["other"], []).append(r["set"])
         get = lambda c: member.column(c).to_numpy()
         key, n, own = get("set"), get("n"), get("own")
-        label = np.unique(get("component"), return_inverse=True)[1]
+        component = np.unique(get("component"), return_inverse=True)[1]
         words = width(int(get("tile")[0]) & 63) // 64
         bits = np.stack([folded(np.frombuffer(v.as_buffer(), np.uint64), words) for v in member.column("bits")])
         crossed = get("i")[0] != get("j")[0]
-        out = []
-        for x in range(len(key) - 1):
-            apart = label[x + 1 :] != label[x]
-            if crossed:
-                apart &= own[x + 1 :] != own[x]
-            y = np.flatnonzero(apart) + x + 1
-            if not len(y):
-                continue
-            differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-            fewest = np.maximum(differ, np.abs(n[y] - n[x]))
-            fits = fewest * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
-            if int(key[x]) in failed:
-                fits &= ~np.isin(key[y], failed[int(key[x])])
-            y, fewest = y[fits], fewest[fits]
-            if not len(y):
-                continue
-            # The closest member of each other component.
-            order = np.argsort(fewest, kind="stable")
-            joined, first = np.unique(label[y[order]], return_index=True)
-            out += [(int(key[x]), int(key[z])) for z in y[order][first]]
-            label[np.isin(label, joined)] = label[x]
+        out: list[tuple[int, int]] = []
+        for _ in range(trees):
+            label, before = component.copy(), len(out)
+            for x in range(len(key) - 1):
+                apart = label[x + 1 :] != label[x]
+                if crossed:
+                    apart &= own[x + 1 :] != own[x]
+                y = np.flatnonzero(apart) + x + 1
+                if not len(y):
+                    continue
+                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+                fewest = np.maximum(differ, np.abs(n[y] - n[x]))
+                fits = fewest * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
+                if int(key[x]) in failed:
+                    fits &= ~np.isin(key[y], failed[int(key[x])])
+                y, fewest = y[fits], fewest[fits]
+                if not len(y):
+                    continue
+                # The closest member of each other component.
+                order = np.argsort(fewest, kind="stable")
+                joined, first = np.unique(label[y[order]], return_index=True)
+                chosen = key[y[order][first]].tolist()
+                out += [(int(key[x]), z) for z in chosen]
+                failed.setdefault(int(key[x]), []).extend(chosen)
+                label[np.isin(label, joined)] = label[x]
+            if len(out) == before:
+                break
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +440,7 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     rest = others.join(open_(marked).select("tile", "members"), "tile").join(classes.select("set", "n", "bits"), "set")
     blocks = F.ceil(F.col("members") / BLOCK)
     rest = written(rest.select("tile", "set", "n", "bits", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")), "rest")
-    failed = None
+    failed, trees = None, 1
     while True:
         rows = rest.join(label(), "set")
         rows = rows.join(open_(rows).select("tile"), "tile").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -443,12 +450,14 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
         )
         if failed is not None:
             rows = rows.unionByName(failed.select(*UNIT, F.col("a").alias("set"), F.col("b").alias("other")), allowMissingColumns=True)
-        found = written(candidates(rows, percent), "candidates")
+        found = written(candidates(rows, percent, trees), "candidates")
         if found.isEmpty():
             break
         right = verified(docs, classes, found.select("a", "b").distinct(), shingle, percent)
-        links = links.unionByName(right)
-        groups = named(links, classes)
+        trees = TREES
+        if not right.isEmpty():
+            links = links.unionByName(right)
+            groups = named(links, classes)
         wrong = found.join(right, ["a", "b"], "left_anti")
         failed = written(wrong if failed is None else failed.unionByName(wrong), "failed")
         # A tile that had no pair to hand out has none later.
