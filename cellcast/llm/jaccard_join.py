@@ -15,15 +15,16 @@ the overlap from above; halves of a bitmap folded onto each other are the bitmap
 neighbouring bands compare too. What passes is decided by exact intersection of the sorted arrays.
 
 Pairs. First every member of a tile is paired with the tile's smallest member: as many pairs as rows. Links found so join classes
-to components. Tiles that still hold several components are then compared inside, in rounds: a tile hands out the
+to components. Tiles that still hold several components, one of those with the same members, are then compared inside, in rounds: a tile hands out the
 closest pairs that would join its components into trees, fewer than it has members (later ``TREES`` times as many, as what is
 still apart then rarely belongs together), they are decided, and tiles go on until no pair passes the bound. A pair that
 failed is not handed out again. No link between different texts is lost, and no
 group is ever expanded into all its pairs.
 
 Hot groups: copies are one class; a class carries its smallest document, so components need no join on their name; the last
-join is salted; blocks bound what one call compares. Sets are not stored or sent: texts of candidate pairs are
-read again, found by a bitmap of ``FILTER_BITS`` bits, which is all that is broadcast. A full bitmap costs time, never a result.
+join is salted; blocks bound what one call compares. A parity bitmap travels once to each group of tiles with the same smallest
+member. Sets are not stored or sent: texts of candidate pairs are read again, found by a filter of ``FILTER_BITS`` bits, which
+is all that is broadcast. A full filter costs time, never a result.
 
 Defined results: null or empty text has no shingles and is linked with nothing; fewer words than the shingle's
 length make one shingle; repeated rows and equal ids each get a row; a component is named by its
@@ -52,7 +53,7 @@ FILTER_BITS = 1 << 25
 WORD_CACHE = 200_000
 #: Tiles of one bucket (expected) and of one packed row, fewest buckets, classes a task remembers.
 BUCKET_TILES, PACK_TILES, BUCKETS, SEEN = 1 << 21, 1 << 20, 32, 1 << 20
-SALTS, TREES = 8, 32
+SALTS, TREES, GROUP_ROWS = 8, 32, 1 << 16
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -320,15 +321,19 @@ def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int,
 
 
 UNIT = ["tile", "i", "j"]
+GROUP = ["low", "chunk"]
 
 
 def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
     """(tile, i, j, a, b): in every unit, pairs that pass the bound and would join its components into trees.
 
-    ``rows`` holds members (tile, i, j, own, set, component, n, bits) and failed pairs (tile, i, j, set, other). A unit is a
-    tile, or two blocks of a large one. Nothing is handed out twice, and ``trees`` times fewer pairs than there are members at most.
+    ``rows`` holds bitmaps (low, chunk, set, bits; kind 0), members (low, chunk, tile, i, j, own, set, component, n; kind 1) and
+    failed pairs (low, chunk, tile, i, j, set, other; kind 1). A unit is a tile, or two blocks of a large one. Units of a group stand
+    together after its bitmaps, so a bitmap travels once a group. Nothing is handed out twice, and ``trees`` times fewer pairs
+    than there are members at most.
     """
-    dealt = rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "kind", *UNIT)
+    bits_of: dict[int, np.ndarray] = {}
 
     def compare(t: pa.Table) -> list[tuple[int, int]]:
         other = t.column("other")
@@ -343,7 +348,7 @@ def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
         key, n, own = get("set"), get("n"), get("own")
         component = np.unique(get("component"), return_inverse=True)[1]
         words = width(int(get("tile")[0]) & 63) // 64
-        bits = np.stack([folded(np.frombuffer(v.as_buffer(), np.uint64), words) for v in member.column("bits")])
+        bits = np.stack([folded(bits_of[k], words) for k in key.tolist()])
         crossed = get("i")[0] != get("j")[0]
         out: list[tuple[int, int]] = []
         for _ in range(trees):
@@ -376,11 +381,24 @@ def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        group: tuple | None = None
+        order = [*GROUP, "kind", *UNIT]
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = np.stack([t.column(c).to_numpy() for c in UNIT], 1)
+            nonlocal group
+            names = np.stack([pc.fill_null(t.column(c), 0).to_numpy() for c in order], 1)
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
-            found = [(*names[a], *p) for a, b in zip([0, *cuts], [*cuts, len(names)]) for p in compare(t.slice(a, b - a))]
+            found = []
+            for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                if tuple(names[a, :2]) != group:
+                    group = tuple(names[a, :2])
+                    bits_of.clear()
+                part = t.slice(a, b - a)
+                if names[a, 2] == 0:
+                    for key, bits in zip(part.column("set").to_pylist(), part.column("bits")):
+                        bits_of[key] = np.frombuffer(bits.as_py(), np.uint64)
+                else:
+                    found += [(*names[a, 3:], *p) for p in compare(part)]
             if found:
                 table = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=[*UNIT, "a", "b"])
@@ -388,7 +406,7 @@ def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            names = np.stack([held.column(c).to_numpy() for c in UNIT], 1)
+            names = np.stack([pc.fill_null(held.column(c), 0).to_numpy() for c in order], 1)
             # The last unit may go on in the next batch.
             whole = np.flatnonzero((names != names[-1]).any(axis=1))
             end = int(whole[-1]) + 1 if len(whole) else 0
@@ -434,22 +452,35 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     # Tiles that hold several components may still hide links. Pairs with the smallest member are settled.
     node = F.coalesce("component", F.struct("first.*", "set"))
     label = lambda: classes.select("set", "first").join(groups, "set", "left").select("set", F.xxhash64(node).alias("component"))
-    open_ = lambda t: t.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x < y")
-    others = tiles.filter("set <> low").select("tile", "set")
+    open_ = lambda t: t.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    others = tiles.filter("set <> low")
     marked = others.join(label(), "set")
-    rest = others.join(open_(marked).select("tile", "members"), "tile").join(classes.select("set", "n", "bits"), "set")
+    # Near copies share many tiles: of tiles with the same members one is enough.
+    alike = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.max("low").alias("low")]
+    kept = marked.groupBy("tile").agg(*ends, *alike).filter("x < y")
+    kept = kept.groupBy("members", "s1", "s2").agg(F.max(F.struct("tile", "low")).alias("t")).select("t.*", "members")
+    # Tiles with one smallest member mostly have the same others: they are one group, in chunks where it is large.
+    sizes = kept.groupBy("low").agg(F.ceil(F.sum("members") / GROUP_ROWS).alias("chunks"))
+    kept = kept.join(sizes, "low").select("tile", "members", F.pmod(F.xxhash64("tile"), F.col("chunks")).alias("chunk"))
     blocks = F.ceil(F.col("members") / BLOCK)
-    rest = written(rest.select("tile", "set", "n", "bits", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")), "rest")
+    rest = others.join(kept, "tile").join(classes.select("set", "n"), "set")
+    rest = written(rest.select("tile", "low", "chunk", "set", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")), "rest")
     failed, trees = None, 1
     while True:
         rows = rest.join(label(), "set")
-        rows = rows.join(open_(rows).select("tile"), "tile").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.join(open_(rows).select("tile"), "tile")
+        maps = rows.select(*GROUP, "set").distinct().join(classes.select("set", "bits"), "set").withColumn("kind", F.lit(0))
+        rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select(
-            "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set", "component", "n", "bits",
-            F.lit(None).cast("long").alias("other"),
+            *GROUP, F.lit(1).alias("kind"), "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set",
+            "component", "n", F.lit(None).cast("long").alias("other"), F.lit(None).cast("binary").alias("bits"),
         )
         if failed is not None:
-            rows = rows.unionByName(failed.select(*UNIT, F.col("a").alias("set"), F.col("b").alias("other")), allowMissingColumns=True)
+            places = rest.select("tile", *GROUP).distinct()
+            wrong = failed.join(places, "tile").select(*GROUP, F.lit(1).alias("kind"), *UNIT, F.col("a").alias("set"), F.col("b").alias("other"))
+            rows = rows.unionByName(wrong, allowMissingColumns=True)
+        rows = rows.unionByName(maps, allowMissingColumns=True)
         found = written(candidates(rows, percent, trees), "candidates")
         if found.isEmpty():
             break
