@@ -7,81 +7,110 @@ import math
 import numpy as np
 
 
-def _digamma(a: float) -> tuple[float, float]:
-    """Digamma and trigamma of a positive number: recurrence up to 8, then the asymptotic series."""
-    low = slope = 0.0
-    while a < 8:
-        low -= 1 / a
-        slope += 1 / (a * a)
-        a += 1
+def _digamma(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digamma and trigamma of positive numbers: recurrence up to 8, then the asymptotic series."""
+    a = np.array(a, float)
+    low, slope = np.zeros_like(a), np.zeros_like(a)
+    while (small := a < 8).any():
+        low[small] -= 1 / a[small]
+        slope[small] += 1 / (a[small] * a[small])
+        a[small] += 1
     r = 1 / (a * a)
-    psi = math.log(a) - 0.5 / a - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+    psi = np.log(a) - 0.5 / a - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
     tri = (1 / a) * (1 + 0.5 / a + r * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30))))
     return low + psi, slope + tri
 
 
-def _profile(x: np.ndarray, loc: float) -> tuple[float, float, float]:
-    """Mean log-likelihood, shape and scale of the best gamma at a given location."""
-    y = x - loc
-    mean, logs = float(y.mean()), float(np.log(y).mean())
-    gap = math.log(mean) - logs
-    if gap <= 0:
-        return -math.inf, math.nan, math.nan
-    a = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
+def _profile(x: np.ndarray, starts: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean log-likelihood, shape and scale of the best gamma of each sample at a given location.
+
+    ``x`` holds all samples one after the other, ``starts`` where each begins. Shapes follow by Newton steps, all samples
+    at once; a sample that has settled keeps its shape.
+    """
+    counts = np.diff(np.append(starts, len(x)))
+    y = x - np.repeat(loc, counts)
+    mean = np.add.reduceat(y, starts) / counts
+    logs = np.add.reduceat(np.log(y), starts) / counts
+    gap = np.log(mean) - logs
+    score, shape = np.full(len(starts), -np.inf), np.full(len(starts), np.nan)
+    known = gap > 0
+    g = gap[known]
+    a = (3 - g + np.sqrt((g - 3) ** 2 + 24 * g)) / (12 * g)
+    going = np.arange(len(a))
     for _ in range(60):
-        psi, tri = _digamma(a)
-        step = (math.log(a) - psi - gap) / (1 / a - tri)
-        fresh = a - step if step < a else a / 2
-        settled = abs(fresh - a) <= 1e-13 * a
-        a = fresh
-        if settled:
+        if not len(going):
             break
-    scale = mean / a
-    return (a - 1) * logs - a - a * math.log(scale) - math.lgamma(a), a, scale
+        now = a[going]
+        psi, tri = _digamma(now)
+        step = (np.log(now) - psi - g[going]) / (1 / now - tri)
+        fresh = np.where(step < now, now - step, now / 2)
+        a[going] = fresh
+        going = going[np.abs(fresh - now) > 1e-13 * now]
+    shape[known] = a
+    scale = mean / shape
+    score[known] = (a - 1) * logs[known] - a - a * np.log(scale[known]) - _each(math.lgamma, a)
+    return score, shape, scale
 
 
 #: Search range of the location: this many sample ranges below the minimum, at least and at most.
 NEAREST, FARTHEST = 1e-6, 30.0
 
 
-def fit_profile(x: np.ndarray):
-    """Three-parameter gamma by maximum likelihood, and whether the maximum is an inner one.
+def fit_profiles(x: np.ndarray, starts: np.ndarray):
+    """Three-parameter gamma of many samples by maximum likelihood: (shape, location, scale, inner), NaN for degenerate samples.
 
-    At a fixed location shape and scale follow from the sums of x and log x by Newton steps, which
-    leaves one dimension: a grid over the logarithm of the distance to the minimum, then golden sections to
-    machine precision. Shapes below one are left out, as the likelihood grows without
-    bound there. Samples skewed to the left have no inner maximum; the far end is almost a normal
-    distribution. None for a degenerate sample.
+    ``x`` holds the finite values of all samples, ``starts`` where each begins (none is empty). At a fixed location shape and
+    scale follow from the sums of x and log x by Newton steps, which leaves one dimension: a grid over the logarithm of
+    the distance to the minimum, then golden sections to machine precision, all samples in step. Shapes below one are
+    left out, as the likelihood grows without bound there. Samples skewed to the left have no inner maximum (``inner`` is false);
+    the far end is almost a normal distribution.
     """
-    x = np.asarray(x, float)
-    x = x[np.isfinite(x)]
-    if len(x) < 3 or np.ptp(x) == 0:
-        return None, False
-    low, width = float(x.min()), float(np.ptp(x))
-    at = lambda u: _profile(x, low - width * math.exp(u))
-    grid = np.linspace(math.log(NEAREST), math.log(FARTHEST), 60).tolist()
-    tried = [at(u) for u in grid]
-    scores = [score if shape >= 1 else -math.inf for score, shape, _ in tried]
-    if max(scores) == -math.inf:
-        return None, False
-    best = scores.index(max(scores))
-    left, right = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+    x, starts = np.asarray(x, float), np.asarray(starts, np.int64)
+    counts = np.diff(np.append(starts, len(x)))
+    out = np.full((3, len(starts)), np.nan)
+    inner = np.zeros(len(starts), bool)
+    low = np.minimum.reduceat(x, starts) if len(x) else np.empty(0)
+    width = (np.maximum.reduceat(x, starts) if len(x) else low) - low
+    fit = (counts >= 3) & (width > 0)
+    if not fit.any():
+        return (*out, inner)
+    x, low, width = x[np.repeat(fit, counts)], low[fit], width[fit]
+    starts = np.append(0, np.cumsum(counts[fit])[:-1])
+    at = lambda u: _profile(x, starts, low - width * np.exp(u))
+    grid = np.linspace(math.log(NEAREST), math.log(FARTHEST), 60)
+    scores = np.empty((len(grid), len(starts)))
+    for k, u in enumerate(grid):
+        score, shape, _ = at(np.full(len(starts), u))
+        scores[k] = np.where(shape >= 1, score, -np.inf)
+    best = scores.argmax(0)
+    found = scores.max(0) > -np.inf
+    left, right = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, len(grid) - 1)]
     golden = (math.sqrt(5) - 1) / 2
     c, d = right - golden * (right - left), left + golden * (right - left)
     fc, fd = at(c)[0], at(d)[0]
-    while right - left > 1e-8:
-        if fc > fd:
-            right, d, fd = d, c, fc
-            c = right - golden * (right - left)
-            fc = at(c)[0]
-        else:
-            left, c, fc = c, d, fd
-            d = left + golden * (right - left)
-            fd = at(d)[0]
+    while (right - left).max() > 1e-8:
+        lower = fc > fd
+        left, right = np.where(lower, left, c), np.where(lower, d, right)
+        probe = np.where(lower, right - golden * (right - left), left + golden * (right - left))
+        value = at(probe)[0]
+        c, d = np.where(lower, probe, d), np.where(lower, c, probe)
+        fc, fd = np.where(lower, value, fd), np.where(lower, fc, value)
     u = (left + right) / 2
     _, shape, scale = at(u)
-    inner = grid[0] + 1e-6 < u < grid[-1] - 1e-6 and shape >= 1
-    return (shape, low - width * math.exp(u), scale), inner
+    edge = (u > grid[0] + 1e-6) & (u < grid[-1] - 1e-6) & (shape >= 1) & found
+    out[:, fit] = np.where(found, np.stack([shape, low - width * np.exp(u), scale]), np.nan)
+    inner[fit] = edge
+    return (*out, inner)
+
+
+def fit_profile(x: np.ndarray):
+    """Parameters of one sample by ``fit_profiles``, and whether the maximum is an inner one; None for a degenerate sample."""
+    x = np.asarray(x, float)
+    x = x[np.isfinite(x)]
+    if not len(x):
+        return None, False
+    shape, loc, scale, inner = (v[0] for v in fit_profiles(x, np.zeros(1, np.int64)))
+    return (None, False) if math.isnan(shape) else ((float(shape), float(loc), float(scale)), bool(inner))
 
 
 def fit_mle(x: np.ndarray):

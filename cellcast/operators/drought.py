@@ -7,17 +7,19 @@ once; the fits reuse that partitioning. Outputs are (gid, fdate, value).
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.functions import scalars
 from cellcast.functions.dates import dekad_start
-from cellcast.functions.gamma import fit_profile, fit_thom, standard_score
+from cellcast.functions.gamma import fit_profiles, fit_thom, standard_score
 from cellcast.operators import series as S
 from cellcast.operators.common import spread
 from cellcast.operators.grid import between
@@ -73,16 +75,62 @@ def gamma_score(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
 gamma_score = gamma_score.asNondeterministic()
 
 
-def _fit_cell(frame: pd.DataFrame) -> pd.DataFrame:
-    """Fit one cell's usable means and score all of its rows."""
-    sample = frame.loc[frame["usable"], "pm"].to_numpy()
-    params, inner = fit_profile(sample)
-    how = "mle" if inner else "mle_edge"
-    if params is None:
-        params, how = fit_thom(sample), "thom"
-    if params is None:
-        return frame.assign(z=float("nan"), method="none")
-    return frame.assign(z=standard_score(frame["pm"].to_numpy(), *params, LIMIT), method=how)
+def _codes(cells: pa.Array) -> np.ndarray:
+    """A number per distinct cell; -1 for none."""
+    return cells.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _score_cells(t: pa.Table) -> pa.RecordBatch:
+    """Fit the usable means of every cell in a table sorted by cell, and score all of its rows."""
+    cells = t.column("gid").combine_chunks()
+    x = t.column("pm").to_numpy()
+    sample = t.column("usable").to_numpy() & np.isfinite(x)
+    codes = _codes(cells)
+    fresh = np.append(True, codes[1:] != codes[:-1])
+    number = np.cumsum(fresh) - 1
+    held, starts = np.unique(number[sample], return_index=True)
+    params = np.full((3, number[-1] + 1), np.nan)
+    how = np.full(number[-1] + 1, "none", object)
+    if len(held):
+        values = x[sample]
+        *fitted, inner = fit_profiles(values, starts)
+        params[:, held] = fitted
+        how[held] = np.where(inner, "mle", "mle_edge")
+        ends = np.append(starts[1:], len(values))
+        for k in np.flatnonzero(np.isnan(fitted[0])):
+            closed = fit_thom(values[starts[k] : ends[k]])
+            how[held[k]] = "none" if closed is None else "thom"
+            if closed is not None:
+                params[:, held[k]] = closed
+    z = standard_score(x, *params[:, number], LIMIT)
+    columns = [cells, t.column("fdate").combine_chunks(), t.column("usable").combine_chunks(), pa.array(z), pa.array(how[number], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["gid", "fdate", "usable", "z", "method"])
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells whole, many at once: rows of the last cell of a batch wait for the next one."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gid = _codes(batch.column("gid"))
+        others = np.flatnonzero(gid != gid[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if waiting and (cut or batch.column("gid")[0] != waiting[-1].column("gid")[0]):
+            first = int(np.argmax(gid != gid[0])) if cut else 0
+            same = batch.column("gid")[0] == waiting[-1].column("gid")[0]
+            head = first if same else 0
+            yield _score_cells(pa.Table.from_batches([*waiting, batch.slice(0, head)]))
+            waiting = []
+            if cut > head:
+                yield _score_cells(pa.Table.from_batches([batch.slice(head, cut - head)]))
+            waiting.append(batch.slice(cut))
+        else:
+            if cut:
+                yield _score_cells(pa.Table.from_batches([batch.slice(0, cut)]))
+            waiting.append(batch.slice(cut))
+    if waiting:
+        yield _score_cells(pa.Table.from_batches(waiting))
 
 
 def standardised_index(
@@ -96,8 +144,7 @@ def standardised_index(
 ) -> DataFrame | None:
     """Standardised index of the mean over ``duration`` 30-day months.
 
-    ``fit='mle'`` fits a three-parameter gamma per cell in Arrow groups (a group is one
-    cell's calendar). ``method`` says 'mle' for an inner maximum, 'mle_edge' where the likelihood
+    ``fit='mle'`` fits a three-parameter gamma per cell, all cells of an Arrow batch in the same array steps. ``method`` says 'mle' for an inner maximum, 'mle_edge' where the likelihood
     has none (left-skewed samples) and 'thom' where only the closed form exists;
     ``fit='thom'`` uses the closed form as native window aggregates. Rows before the first
     full window are NULL, or 0 with ``compat``. None when the period is too short.
@@ -118,11 +165,12 @@ def standardised_index(
     # The first full window (row number = rows) is left out of the fit and of the output.
     means = means.withColumn("usable", (F.col("_rn") > rows) & F.col("pm").isNotNull())
     if fit == "mle":
-        layout = "gid {0}, fdate date, pm double, usable boolean, z double, method string".format(
-            series.schema["gid"].dataType.simpleString()
+        layout = "gid {0}, fdate {1}, usable boolean, z double, method string".format(
+            *[series.schema[c].dataType.simpleString() for c in ("gid", "fdate")]
         )
-        fitted = means.select("gid", "fdate", "pm", "usable")
-        fitted = fitted.groupBy("gid").applyInPandas(_fit_cell, layout)
+        # The windows above have dealt and sorted the rows so; the sort is dropped from the plan.
+        fitted = means.select("gid", "fdate", "pm", "usable").sortWithinPartitions("gid", "fdate")
+        fitted = fitted.mapInArrow(_score_batches, layout)
     else:
         whole = Window.partitionBy("gid")
         x = F.when(F.col("usable") & (F.col("pm") > 0), F.col("pm"))
@@ -204,7 +252,7 @@ def smdi(
 
     ``mode='vector'`` gives the numbers of a one-shot array assignment, where only the
     eighth day carries half of the day before; ``mode='recursive'`` carries half of the
-    previous index on every day. Both are bounded to [-4, 4].
+    previous index on every day (a blocked scan, see ``series.half_carried``). Both are bounded to [-4, 4].
     """
     one = layered if layer is None else layered.filter(F.col("layer") == layer)
     whole = Window.partitionBy("gid")
@@ -229,24 +277,9 @@ def smdi(
         raw = F.when(F.col("_rn") <= 7, ahead).otherwise(carried)
         out = period.select("gid", "fdate", raw.alias("_r"))
     else:
-        # The fold needs a cell's dates in order: an array bounded by the calendar.
         kept = period.withColumn("_x", F.when(F.col("_rn") <= 7, ahead).otherwise(F.col("_sd")))
-        rows = kept.groupBy("gid").agg(
-            F.sort_array(F.collect_list(F.struct("fdate", "_rn", "_x"))).alias("_rows")
-        )
-        zero = F.struct(
-            F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all")
-        )
-
-        def step(acc: Column, r: Column) -> Column:
-            now = F.when(r["_rn"] <= 7, r["_x"]).otherwise(acc["last"] * 0.5 + r["_x"])
-            return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
-
-        folded = rows.withColumn("_out", F.aggregate("_rows", zero, step)["all"])
-        pairs = F.arrays_zip(F.col("_rows"), F.col("_out"))
-        out = folded.select("gid", F.explode(pairs).alias("_p")).select(
-            "gid", F.col("_p._rows.fdate").alias("fdate"), F.col("_p._out").alias("_r")
-        )
+        later = kept.withColumn("_q", F.col("_rn") - 7)
+        out = S.half_carried(later, "_x", "_q", "_r").select("gid", "fdate", "_r")
     limited = scalars.clip(F.col("_r"), -scalars.SMDI_LIMIT, scalars.SMDI_LIMIT)
     return out.select("gid", "fdate", limited.alias("value"))
 

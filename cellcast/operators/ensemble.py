@@ -43,6 +43,38 @@ def season_years(days: DataFrame, first_month: int, last_month: int) -> DataFram
     return inside.select(F.year("fdate").alias("year")).distinct()
 
 
+def season_days(forcing: DataFrame, month: int, day: int, length: int, cell: Sequence[str] = ("gid",)) -> DataFrame:
+    """(cell, year, found): stored days of each season of ``length`` days that starts on a month and day of ``year``."""
+    back = (length + 364) // 365
+    rows = forcing.select(*cell, "fdate").withColumn(
+        "year", F.explode(F.sequence(F.year("fdate") - back, F.year("fdate")))
+    )
+    at = F.datediff("fdate", season_start(F.col("year"), month, day))
+    inside = rows.filter((at >= 0) & (at < length))
+    # Rows of a cell and day count once; both counts combine before the shuffle.
+    return inside.groupBy(*cell, "year", "fdate").agg(F.lit(1).alias("_d")).groupBy(*cell, "year").agg(F.count("*").alias("found"))
+
+
+def whole_seasons(forcing: DataFrame, month: int, day: int, length: int, cell: Sequence[str] = ("gid",)) -> DataFrame:
+    """Years whose season has every day for every cell of the table: the pool members may be drawn from."""
+    full = season_days(forcing, month, day, length, cell).filter(F.col("found") == length)
+    years = full.groupBy("year").agg(F.count("*").alias("_n"))
+    cells = forcing.select(*cell).distinct().agg(F.count("*").alias("_n"))
+    return years.join(cells, "_n", "left_semi").select("year")
+
+
+def season_gaps(forcing: DataFrame, month: int, day: int, length: int, cell: Sequence[str] = ("gid",)) -> DataFrame:
+    """(cell, year, found, missing) of every season that some cell has days of and this cell lacks days of."""
+    held = season_days(forcing, month, day, length, cell)
+    years = held.select("year").distinct().withColumn("_k", F.lit(1))
+    cells = forcing.select(*cell).distinct().withColumn("_k", F.lit(1))
+    # Years are few: a row per cell and year is what a gap report is made of.
+    wanted = cells.join(F.broadcast(years), "_k").drop("_k")
+    found = F.coalesce("found", F.lit(0).cast("long"))
+    report = wanted.join(held, [*cell, "year"], "left").withColumn("found", found)
+    return report.withColumn("missing", F.lit(length) - F.col("found")).filter("missing > 0")
+
+
 def esp_years(years: DataFrame, count: int, seed: int, portable: bool = False) -> DataFrame:
     """Member to year: the years in a shuffled order, repeated until every member has one.
 
@@ -64,7 +96,8 @@ def member_forcings(
     """Each member takes ``length`` days of its year from one month and day onward.
 
     Both sides carry the day offset, so the join is on (year, offset) ranges made explicit:
-    the member table is exploded to dates (members x days rows) and joined on the date.
+    the member table is exploded to dates (members x days rows) and joined on the date. Members have equal lengths
+    when their years come from ``whole_seasons``; days that are not stored are left out otherwise.
     """
     start = season_start(F.col("year"), month, day)
     wanted = member_years.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellcast.operators.common import spread
 from cellcast.schema import NODATA
 
 # A hair of a cell: keeps 0.30000000000000004 / 0.1 on the right side of an edge.
@@ -243,23 +244,43 @@ def tile_id(row: Column, col: Column, tiles_down: int, size: int = 10) -> Column
 
 
 def tile_rank(cells: DataFrame, size: int = 10) -> DataFrame:
-    """Gap-free tile numbers by (left, top) corner: ranks the distinct tiles only."""
+    """Gap-free tile numbers by (left, top) corner, in two passes over the distinct tiles.
+
+    Tiles are counted per column of tiles and ranked inside their column; a column begins after the tiles of all columns left of
+    it. These beginnings are running sums over one short array (as many entries as the grid has columns of tiles).
+    """
     tiled = cells.withColumn("tile_x", F.floor(F.col("col") / size).cast("int")).withColumn(
         "tile_y", F.floor(F.col("row") / size).cast("int")
     )
-    window = Window.partitionBy(F.lit(0)).orderBy("tile_x", "tile_y")
-    ranks = tiled.select("tile_x", "tile_y").distinct()
-    ranks = ranks.withColumn("tile", F.row_number().over(window))
+    tiles = tiled.select("tile_x", "tile_y").distinct()
+    counts = tiles.groupBy("tile_x").agg(F.count("*").alias("n"))
+    columns = counts.agg(F.sort_array(F.collect_list(F.struct("tile_x", "n"))).alias("_c"))
+    before = F.transform(
+        F.sequence(F.lit(1), F.size("_c")),
+        lambda i: F.struct(
+            F.element_at("_c", i)["tile_x"].alias("tile_x"),
+            F.aggregate(F.slice("_c", F.lit(1), i - 1), F.lit(0).cast("long"), lambda acc, c: acc + c["n"]).alias("before"),
+        ),
+    )
+    starts = columns.filter(F.size("_c") > 0).select(F.explode(before).alias("_s")).select("_s.*")
+    inside = F.row_number().over(Window.partitionBy("tile_x").orderBy("tile_y"))
+    ranks = tiles.withColumn("_r", inside).join(starts, "tile_x")
+    ranks = ranks.select("tile_x", "tile_y", (F.col("before") + F.col("_r")).alias("tile"))
     return tiled.join(ranks, ["tile_x", "tile_y"])
 
 
+#: Cells of one chunk of a grid that is filled up.
+CHUNK = 1 << 16
+
+
 def dense_grid(
     points: DataFrame, res: float, keys: Sequence[str], nodata: float = NODATA
 ) -> DataFrame:
     """Scatter points on the full grid spanned by each key; empty cells get ``nodata``.
 
     Points carry (lat, lon, value). When two points share a cell the greatest
-    (lat, lon, value) is kept, so the answer does not depend on row order.
+    (lat, lon, value) is kept, so the answer does not depend on row order. Cells of a key are numbered row by row; the numbers are
+    cut into chunks of ``CHUNK`` that are dealt to tasks before any cell is made, so one large grid is made by all of them.
     """
     top_left = points.groupBy(*keys).agg(
         F.max("lat").alias("_top"),
@@ -268,9 +289,13 @@ def dense_grid(
         F.max("lon").alias("_right"),
     )
     steps = lambda a, b: F.floor((a - b) / res + _EPS).cast("int")
-    grid = top_left.withColumn(
-        "row", F.explode(F.sequence(F.lit(0), steps(F.col("_top"), F.col("_bottom"))))
-    ).withColumn("col", F.explode(F.sequence(F.lit(0), steps(F.col("_right"), F.col("_left")))))
+    sized = top_left.withColumn("_cols", (steps(F.col("_right"), F.col("_left")) + 1).cast("long"))
+    sized = sized.withColumn("_last", F.col("_cols") * (steps(F.col("_top"), F.col("_bottom")) + 1) - 1)
+    chunks = sized.select(*keys, "_cols", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(CHUNK).cast("long"))).alias("_at"))
+    # A chunk is a small row that becomes many: adaptive execution would merge them by size.
+    cells = spread(chunks, *keys, "_at").select(*keys, "_cols", F.explode(F.sequence("_at", F.least(F.col("_at") + CHUNK - 1, F.col("_last")))).alias("_i"))
+    whole = (F.col("_i") - F.col("_i") % F.col("_cols")) / F.col("_cols")
+    grid = cells.select(*keys, F.round(whole).cast("int").alias("row"), (F.col("_i") % F.col("_cols")).cast("int").alias("col"))
     placed = (
         points.join(top_left, list(keys))
         .withColumn("row", steps(F.col("_top"), F.col("lat")))
@@ -278,7 +303,7 @@ def dense_grid(
         .groupBy(*keys, "row", "col")
         .agg(F.max(F.struct("lat", "lon", "value")).alias("_p"))
     )
-    out = grid.select(*keys, "row", "col").join(placed, [*keys, "row", "col"], "left")
+    out = grid.join(placed, [*keys, "row", "col"], "left")
     return out.select(
         *keys, "row", "col", F.coalesce(F.col("_p.value"), F.lit(nodata)).alias("value")
     )

@@ -160,3 +160,33 @@ def nearest_date(
         *keys, day, F.col("_hit.d").alias(f"found_{day}"), F.col("_hit.p").alias(payload)
     )
     return requests.join(answers, [*keys, day], "left")
+
+
+#: Rows of a block of the scan below; powers of two up to it are exact.
+SCAN_BLOCK = 32
+
+
+def half_carried(df: DataFrame, x: str, number: str, name: str, cell: Sequence[str] = ("gid",)) -> DataFrame:
+    """``name`` = x + half of the previous row's, from row number 0 on; rows with a negative number keep x.
+
+    Each row is the map r -> r / 2 + x. Maps are composed in blocks of ``SCAN_BLOCK`` rows: inside a block a running sum of x times
+    powers of two, which are exact; then a block takes what the blocks before it carry over, each 2^-32 of
+    the next one's, so that the fourth is beyond double precision. Two windows on the cell, linear in the rows. A NULL makes all later
+    rows NULL. Numbers must be gapless.
+    """
+    keys = [F.col(c) for c in cell]
+    block = F.when(F.col(number) >= 0, F.floor(F.col(number) / SCAN_BLOCK)).otherwise(F.lit(-1)).cast("long")
+    at = F.when(F.col(number) >= 0, F.col(number) % SCAN_BLOCK).otherwise(F.lit(0))
+    placed = df.withColumn("_b", block).withColumn("_at", at.cast("int"))
+    two = F.pow(F.lit(2.0), F.col("_at"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_l", F.sum(F.col(x) * two).over(inside) / two)
+    ends = F.when((F.col("_at") == SCAN_BLOCK - 1) & (F.col("_b") >= 0), F.col("_l"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    back = lambda k: F.coalesce(F.sum(ends).over(order.rangeBetween(-k, -k)), F.lit(0.0)) * 2.0 ** (-SCAN_BLOCK * (k - 1))
+    carried = (back(1) + back(2) + back(3)) / (two * 2.0)
+    broken = F.max(F.when((F.col(number) >= 0) & F.col(x).isNull(), 1)).over(
+        Window.partitionBy(*keys).orderBy("_b", number).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    value = F.when(F.col(number) < 0, F.col(x)).when(broken.isNull(), F.col("_l") + carried)
+    return local.withColumn(name, value).drop("_b", "_at", "_l")

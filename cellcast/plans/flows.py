@@ -200,12 +200,16 @@ def forecast_forcings(
     """Forecast weather by 'esp', 'iri' or 'nmme'."""
     days = (end - start).days + 1
     if method == "esp":
-        years = ensemble.season_years(history, start.month, end.month)
+        # Members get whole seasons only, so all have equal lengths.
+        years = ensemble.whole_seasons(history, start.month, start.day, days)
         chosen = ensemble.esp_years(years, count, seed)
         return ensemble.member_forcings(history, chosen, start.month, start.day, days)
     if method == "iri":
         months = [(start.month - 1 + k) % 12 + 1 for k in range(lead_months)]
-        drawn = terciles.resample(coarse, probabilities, months, count, seed)
+        whole = ensemble.whole_seasons(history, start.month, start.day, days)
+        at = F.year("fdate") - F.when(F.month("fdate") < start.month, 1).otherwise(0)
+        pool = coarse.withColumn("year", at).join(whole, "year", "left_semi").drop("year")
+        drawn = terciles.resample(pool, probabilities, months, count, seed)
         return terciles.drawn_forcings(
             history, fine_to_coarse, drawn, start.month, start.day, days - 1
         )

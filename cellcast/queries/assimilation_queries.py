@@ -275,18 +275,16 @@ def swe_update(spark, d):
 @query(
     "observation_pixels", "area:i fdate:d row:i col:i value:f",
     views("grid_daily", "areas") + """ SELECT area, fdate, row, col, value FROM grid_daily JOIN areas
-    ON abs(lon - cx) + abs(lat - cy) < r WHERE fdate BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""",
+    ON abs(lon - cx) + abs(lat - cy) < r""",
 )
 def observation_pixels(spark, d):
-    """Observed pixels inside the basin polygons on the dates of a year.
+    """Observed pixels inside the basin polygons on every date.
 
     Membership is found for distinct cells and joined to the daily rows; adaptive execution splits hot cells.
     """
     from cellcast.queries.grid_queries import _membership
 
-    year = I.grid_daily(spark, d).filter("fdate between date'1997-01-01' and date'1997-12-31'")
-    inside = _membership(spark, d)
-    return year.join(inside, ["row", "col"])
+    return I.grid_daily(spark, d).join(_membership(spark, d), ["row", "col"])
 
 
 

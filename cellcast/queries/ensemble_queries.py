@@ -121,6 +121,41 @@ def esp_forcings(spark, d):
     return E.member_forcings(f, chosen, 4, 15, 60)
 
 
+_THIRDS = """, t AS (SELECT DISTINCT gid % 3 AS gid, fdate FROM daily), s AS (SELECT gid, y AS year, count(*) AS found
+    FROM t, range(1990, 2001) AS r(y) WHERE fdate BETWEEN make_date(y, 11, 15) AND make_date(y, 11, 15) + 59 GROUP BY 1, 2)"""
+
+
+def _thirds(spark, d):
+    s = I.daily(spark, d)
+    return s.groupBy((F.col("gid") % 3).alias("gid"), "fdate").agg(F.sum("rainf").alias("prec"))
+
+
+@query(
+    "season_gaps", "gid:i year:i found:i missing:i",
+    views("daily") + _THIRDS + """ SELECT g.gid, y.year, coalesce(found, 0) AS found, 60 - coalesce(found, 0) AS missing
+    FROM (SELECT DISTINCT gid FROM t) g CROSS JOIN (SELECT DISTINCT year FROM s) y LEFT JOIN s ON s.gid = g.gid AND s.year = y.year
+    WHERE coalesce(found, 0) < 60""",
+)
+def season_gaps(spark, d):
+    """Seasons of sixty days from November on that lack days, by third of the cells."""
+    return E.season_gaps(_thirds(spark, d), 11, 15, 60)
+
+
+@query(
+    "whole_members", "ensemble:i gid:i offset:i prec:f",
+    views("daily") + _THIRDS + f""", y AS (SELECT year FROM s WHERE found = 60 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT gid) FROM t)),
+    r AS (SELECT year, row_number() OVER (ORDER BY {_u(str(SEED), 'year')}, year) - 1 AS i, count(*) OVER () AS n FROM y),
+    m AS (SELECT e, year FROM range(1, 11) AS m(e) JOIN r ON (e - 1) % n = i)
+    SELECT e AS ensemble, gid % 3 AS gid, fdate - make_date(year, 11, 15) AS "offset", sum(rainf) AS prec
+    FROM m JOIN daily ON fdate BETWEEN make_date(year, 11, 15) AND make_date(year, 11, 15) + 59 GROUP BY 1, 2, 3""",
+)
+def whole_members(spark, d):
+    """Members drawn from the years that have the whole season for every cell: all are equally long."""
+    f = _thirds(spark, d)
+    chosen = E.esp_years(E.whole_seasons(f, 11, 15, 60), 10, SEED, portable=True)
+    return E.member_forcings(f, chosen, 11, 15, 60)
+
+
 @query(
     "random_init", "ensemble:i year:i from_date:d to_date:d",
     views("daily") + f""", y AS (SELECT DISTINCT year(fdate) AS year FROM daily),

@@ -182,3 +182,44 @@ def test_hot_cell_is_shrunk_before_the_window(spark):
     assert out.agg(F.sum("rainf")).first()[0] == 90000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2  # a partial one before the shuffle
+
+
+def test_many_cells_are_fitted_as_each_alone():
+    """All samples in step give what each gives alone, whatever the others need."""
+    r = np.random.default_rng(12)
+    samples = [r.gamma(k, 2.0, n) + 1 for k, n in ((1.2, 40), (3.0, 400), (60.0, 90), (8.0, 3))]
+    samples += [np.full(9, 2.0), np.array([1.0, 2.0]), 10 - r.gamma(2.0, 1.0, 200), np.array([5.0])]
+    starts = np.cumsum([0] + [len(s) for s in samples[:-1]])
+    *params, inner = gamma.fit_profiles(np.concatenate(samples), starts)
+    for i, s in enumerate(samples):
+        alone, single = gamma.fit_profile(s)
+        if alone is None:
+            assert np.isnan(params[0][i]) and not inner[i]
+        else:
+            assert [p[i] for p in params] == pytest.approx(alone, rel=1e-4) and inner[i] == single
+    assert list(inner[:3]) == [True] * 3 and not inner[6] and not np.isnan(params[0][6])
+
+
+def test_cells_over_batch_edges(spark):
+    """Cells cut by Arrow batches, of one row, without values and without a name."""
+    rnd = np.random.default_rng(8)
+    cells = {g: rnd.gamma(2.0, 3.0, n).tolist() for g, n in ((0, 95), (1, 40), (2, 1), (3, 130), (4, 64))}
+    rain = series_of(spark, cells, "rainf")
+    dry = series_of(spark, {9: [1.0] * 50}, "rainf").withColumn("rainf", F.lit(None).cast("double"))
+    rain = rain.unionByName(dry)
+    key = lambda df: {(r["gid"], r["fdate"]): (r["value"], r["method"]) for r in df.collect()}
+    # Sums of other lengths round differently.
+    alike = lambda a, b: a.keys() == b.keys() and all(
+        a[k][1] == b[k][1] and a[k][0] == (None if b[k][0] is None else pytest.approx(b[k][0], abs=1e-6)) for k in b
+    )
+    want = key(drought.spi(rain, 1))
+    assert {m for (g, _), (_, m) in want.items() if g in (2, 9)} == {"none"}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (1, 7, 40, 95):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert alike(key(drought.spi(rain, 1)), want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    lone = key(drought.spi(rain.filter("gid = 3"), 1))
+    assert alike(lone, {k: v for k, v in want.items() if k[0] == 3}) and len(lone) == 130
