@@ -78,15 +78,23 @@ def format_pairs(turns: DataFrame, pair: str = "pair_id") -> DataFrame:
 def halved_answers(conversations: DataFrame) -> DataFrame:
     """Turns of preference pairs made of plain conversations: the last answer against its first half.
 
-    Conversations without an answer make no pair.
+    Turns follow each other by number (null first), role and text, and get their place as new number. The last answer is the one with
+    the highest place, so of repeated last answers exactly one is halved. A null role is "unknown", a null text empty. Conversations
+    without an answer or without id make no pair; an empty table gives no rows.
     """
-    order = F.struct("turn", F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
-    answers = conversations.filter(F.col("role") == LEARN).groupBy("conv_id").agg(F.max(order).alias("last"))
-    both = conversations.join(answers, "conv_id").withColumn("side", F.explode(F.array(*map(F.lit, SIDES))))
-    is_last = (order == F.col("last")) & (F.col("side") == "rejected")
-    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    turn = F.struct(
+        "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    rows = conversations.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_t"))
+    places = F.sequence(F.lit(0), F.size("_t") - 1)
+    rows = rows.withColumn("_last", F.array_max(F.filter(places, lambda i: F.get("_t", i)["role"] == LEARN))).filter("_last IS NOT NULL")
+    both = rows.withColumn("side", F.explode(F.array(*map(F.lit, SIDES)))).select("conv_id", "side", "_last", F.posexplode("_t").alias("_i", "_r"))
+    is_last = (F.col("_i") == F.col("_last")) & (F.col("side") == "rejected")
+    text = F.col("_r.text")
+    half = F.left(text, F.floor(F.length(text) / 2).cast("int"))
     return both.select(
-        F.col("conv_id").alias("pair_id"), "side", "turn", "role", F.when(is_last, half).otherwise(F.col("text")).alias("text")
+        F.col("conv_id").alias("pair_id"), "side", F.col("_i").alias("turn"), F.col("_r.role").alias("role"), F.when(is_last, half).otherwise(text).alias("text")
     )
 
 
@@ -101,7 +109,7 @@ def oracle_sql() -> str:
         FROM {name} JOIN shared USING (conv_id) WHERE pos >= n) GROUP BY conv_id)"""
     return f"""
     WITH turns AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
     final AS (SELECT conv_id, max(pos) AS k FROM turns WHERE role = '{LEARN}' GROUP BY conv_id),
     {side("chosen", "text")}, {side("rejected", "CASE WHEN pos = k THEN left(text, length(text) // 2) ELSE text END")},
     shared AS (SELECT conv_id, min(CASE WHEN c.text = r.text THEN 1000000 ELSE pos END) AS n, count(*) AS total

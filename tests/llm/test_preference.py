@@ -71,3 +71,26 @@ def test_query_equals_sql(spark, small_dir):
 
 def test_empty_table(turns):
     assert preference.format_pairs(turns.filter("pair_id < 0")).count() == 0
+
+
+def test_query_halves_one_of_repeated_answers(spark, tmp_path):
+    """Repeated last answers, null turns, roles and texts, conversations without an answer: as the SQL has it."""
+    import duckdb
+    from oracle import compare
+
+    from cellcast.llm.queries import ORACLES, QUERIES
+
+    rows = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "abcdef"), (1, 1, "assistant", "abcdef"), (2, None, "assistant", "null number"),
+        (2, None, "user", "x"), (3, 0, "user", "no answer"), (4, 0, None, None), (4, 1, "assistant", None), (4, 2, "user", "after"),
+        (None, 0, "assistant", "no id"), (5, 0, "assistant", "one"), (5, 0, "assistant", "two"), (5, 3, "assistant", ""), (6, 1, "assistant", "a"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    out = QUERIES["op2_preference"](spark, str(tmp_path))
+    count, inexact, error = compare(out, con, ORACLES["op2_preference"])
+    assert (count, inexact, error) == (5, 0, None)
+    first = out.filter("conv_id = 1").first()
+    assert first["n_shared"] == 2 and "abcdef" in first["prompt"] and "abc<" in first["rejected"]

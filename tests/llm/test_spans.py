@@ -1,5 +1,7 @@
 """Operators that answer each text by itself: personal data, secrets, license scans."""
 
+import random
+
 import brute
 import pytest
 from oracle import compare, connect
@@ -89,20 +91,51 @@ def test_license_scan_equals_sql(spark, odd, odd_rows, tmp_path):
 
 
 def test_license_filters_lose_nothing(spark):
-    """Every template, with words missing or moved, against plain counting."""
+    """Every template, with words missing or moved and at odd places, against plain counting over all windows."""
+    rng = random.Random(3)
     rows = []
-    for i, (t, _) in enumerate(license_scan.TEMPLATES):
-        words = t.split()
-        rows += [(10 * i, "x " * i + t), (10 * i + 1, " ".join(words[1:])), (10 * i + 2, " ".join(words[: len(words) // 2])), (10 * i + 3, " ".join(reversed(words)))]
+    for i, (t, *_) in enumerate(license_scan.TEMPLATES):
+        words = license_scan._tokens(t)
+        rows += [(10 * i, "x " * 37 * i + " ".join(words)), (10 * i + 1, " ".join(words[1:])), (10 * i + 2, " ".join(words[: len(words) // 2]))]
+        rows += [(10 * i + 3, " ".join(reversed(words))), (10 * i + 4, "y " * 300 + " ".join(w for w in words if rng.random() < 0.9) + " z" * 90)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_scan.scan(df).collect()}
     for doc, text in rows:
-        held = set(text.split())
-        want = {lab for t, lab in license_scan.TEMPLATES if len(held & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9}
-        want |= {lab for p, lab in license_scan.PHRASES.items() if f" {p} " in f" {text} "}
+        words = text.split()
+        want = {lab for p, lab in license_scan.PHRASES.items() if f" {p} " in f" {text} "}
+        for t, lab, telling, share in license_scan.TEMPLATES:
+            tokens, stride = set(license_scan._tokens(t)), license_scan.stride_of(len(license_scan._tokens(t)))
+            blocks = [set(words[at : at + 2 * stride]) for at in range(0, len(words), stride)]
+            if any(len(b & tokens) >= share * len(tokens) - 1e-9 and set(telling.split()) <= b for b in blocks):
+                want.add(lab)
         assert got[doc] == want, text
 
 
+def test_siblings_are_told_apart(spark):
+    """A notice gets the label of its own license only (and those of the fixed phrases)."""
+    rows = [
+        ("Licensed under CC BY-NC 4.0.", {"cc-by", "cc-by-nc-4.0"}), ("Licensed under CC BY 4.0.", {"cc-by"}),
+        ("Licensed under CC BY-SA 4.0.", {"cc-by", "cc-by-sa-4.0"}),
+        ("modify it under the terms of the GNU General Public License", {"gpl"}),
+        ("under the terms of the GNU Lesser General Public License", {"gpl", "lgpl"}),
+        ("under the terms of the GNU Affero General Public License", {"gpl", "agpl"}),
+        ("released under the BSD license", set()), ("Released under the MIT license.", {"mit"}),
+        ("Mozilla Public License version 2.0", set()), ("Subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}),
+        ("Eclipse Public License version 2.0", {"epl-2.0"}), ("the license of the author; released under the terms", set()),
+        ("words " * 500 + license_scan.MIT_TEXT + " more" * 90, {"mit"}), (license_scan.BSD_TEXT, {"bsd"}), (license_scan.ISC_TEXT, {"isc"}),
+        ("some prose before. " + " ".join(license_scan.MIT_TEXT.split()[60:]), set()),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_scan.scan(df).collect()}
+    for i, (text, want) in enumerate(rows):
+        assert got[i] == want, text[:80]
+
+
+def test_telling_words_are_words_of_their_template():
+    for t, _, telling, _ in license_scan.TEMPLATES:
+        assert set(telling.split()) <= set(license_scan._tokens(t))
+
+
 def test_empty_tables(none):
     for out in (pii.find(none), secret_ledger.scan(none), license_scan.scan(none)):
         assert out.count() == 0
