@@ -113,6 +113,10 @@ class Bands:
         """Bits of the parity bitmap: a power of two of sixteen times what linked sets may differ in, or more."""
         return max(BITS, 1 << (16 * (self.ranges(band) - SPARE) - 1).bit_length())
 
+    def slim(self, band: int) -> int:
+        """Bits of a first, narrow bitmap: at least three times what linked sets may differ in, so that unlike sets exceed it."""
+        return max(BITS, 1 << (3 * (self.ranges(band) - SPARE) - 1).bit_length())
+
     def bands(self, n: int) -> list[int]:
         """Bands in which a set of n shingles looks for partners."""
         if n < self.edge(0):
@@ -159,24 +163,26 @@ def class_hash(shingles: np.ndarray) -> int:
 
 
 def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n, set, tiles, bits) of every (doc_id, text, mark); ``set`` is null without shingles."""
-    names = ["doc_id", "mark", "n", "set", "tiles", "bits"]
+    """(doc_id, mark, n, set, tiles, bits, slim) of every (doc_id, text, mark); ``set`` is null without shingles."""
+    names = ["doc_id", "mark", "n", "set", "tiles", "bits", "slim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(percent)
         for batch in sliced(batches):
-            sizes, keys, tiles, bits = [], [], [], []
+            sizes, keys, tiles, bits, slim = [], [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), hashes, shingle)
                 at = bands.bands(len(s))
                 sizes.append(len(s))
                 keys.append(class_hash(s) if len(s) else None)
                 tiles.append(sum(bands.ranges(b) for b in at))
-                bits.append(parity(s, bands.width(at[0])).tobytes() if at else None)
-            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tiles, pa.int64()), pa.array(bits, pa.binary())]
+                wide = parity(s, bands.width(at[0])) if at else None
+                bits.append(wide.tobytes() if at else None)
+                slim.append(folded(wide, bands.slim(at[0]) // 64).tobytes() if at else None)
+            columns = [pa.array(v, pa.int64()) for v in (sizes, keys, tiles)] + [pa.array(v, pa.binary()) for v in (bits, slim)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, `set` long, tiles long, bits binary")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, `set` long, tiles long, bits binary, slim binary")
 
 
 def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
@@ -261,7 +267,10 @@ def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity bits leave room for a link."""
+    """The pairs (a, b) whose sizes and parity bits leave room for a link.
+
+    Sizes are looked at first, then narrow bitmaps, and wide ones travel only with the pairs that pass these.
+    """
 
     @F.arrow_udf("boolean")
     def possible(an: pa.Array, abits: pa.Array, bn: pa.Array, bbits: pa.Array) -> pa.Array:
@@ -273,9 +282,18 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             fewest[i] = max(fewest[i], int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))
         return pa.array(fewest * (100 + percent) <= (n + m) * (100 - percent))
 
-    side = lambda x: classes.select(F.col("set").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return both.filter(possible("a_n", "a_bits", "b_n", "b_bits")).select("a", "b")
+    def met(near: DataFrame, bits: str | None) -> DataFrame:
+        held = ["n", *([bits] if bits else [])]
+        side = lambda x: classes.select(F.col("set").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in held])
+        both = near.join(side("a"), "a").join(side("b"), "b")
+        if bits is None:
+            fits = F.abs(F.col("a_n") - F.col("b_n")) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+        else:
+            fits = possible("a_n", f"a_{bits}", "b_n", f"b_{bits}")
+        return both.filter(fits).select("a", "b")
+
+    slim = written(met(met(pairs.select("a", "b"), None), "slim"), "near")
+    return met(slim, "bits")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -439,7 +457,7 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     scan = written(scanned(docs, shingle, percent), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
     known = scan.filter("set IS NOT NULL").groupBy("set").agg(
-        F.max("n").alias("n"), F.max("bits").alias("bits"), first, F.count("*").alias("copies")
+        F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("slim").alias("slim"), first, F.count("*").alias("copies")
     )
     classes = written(known, "classes")
     total = scan.agg(F.sum("tiles")).first()[0] or 0
