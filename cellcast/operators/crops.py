@@ -24,6 +24,7 @@ RICE_IRRIGATION = [
     (0, "IR010", 0.0), (0, "IR008", 2.0), (0, "IR009", 20.0), (0, "IR011", 5.0),
     (6, "IR009", 100.0), (6, "IR011", 30.0), (10, "IR009", 150.0), (10, "IR011", 50.0),
 ]
+# Genetic coefficients of each crop, in file order.
 CULTIVAR_PARAMETERS = {
     "maize": ["p1", "p2", "p5", "g2", "g3", "phint"],
     "rice": ["p1", "p2r", "p5", "p2o", "g1", "g2", "g3", "g4"],

@@ -275,10 +275,9 @@ def soils(spark, d):
 _SOILS = """, soil AS (SELECT s_suppkey AS gid,
     ((s_suppkey % 7) * 90 + 20 + (s_suppkey % 5) * 300 + 10) / 2.0 AS ksat, 1000.0 AS depth_mm
     FROM supplier),
-    classes AS (SELECT unnest([63.36, 56.16, 12.49, 2.59, 2.5, 2.27, 0.612, 0.882, 0.781, 0.371, 0.461])::DOUBLE AS ks,
-    unnest([0.395, 0.41, 0.435, 0.485, 0.451, 0.42, 0.477, 0.476, 0.426, 0.492, 0.482])::DOUBLE AS n,
-    unnest([121, 90, 218, 786, 478, 299, 356, 630, 153, 490, 405])::DOUBLE AS psi,
-    unnest([4.05, 4.38, 4.9, 5.3, 5.39, 7.12, 7.75, 8.52, 10.4, 10.4, 11.4])::DOUBLE AS b,
+    classes AS (SELECT """ + ", ".join(f"unnest({list(v)})::DOUBLE AS {n}" for n, v in (
+        ("ks", scalars.SOIL_KSAT_CM_PER_HOUR), ("n", scalars.SOIL_POROSITY), ("psi", scalars.SOIL_AIR_ENTRY), ("b", scalars.SOIL_EXPONENT),
+    )) + """,
     unnest(range(0, 11)) AS id),
     classed AS (SELECT gid, depth_mm, n, psi, b, id FROM (SELECT s.*, c.*, row_number() OVER
     (PARTITION BY s.gid ORDER BY abs(c.ks * 240.0 - s.ksat), c.id) AS rn FROM soil s, classes c)
@@ -322,8 +321,7 @@ def combined_index(spark, d):
 _ALWAYS = {"a": "1900-01-01", "b": "2100-01-01"}
 
 
-@query(
-    "combined_index_closed_form", "gid:i fdate:d value:i",
+_COMBINED = (
     views("daily", "layered") + _ROLL.format(v="rainf", back=89) + _CLOSED.format(rows=90, quantile=_QUANTILE)
     + ", st AS (SELECT gid, fdate, sum(soil_moist) AS v FROM layered WHERE layer < 3 GROUP BY 1, 2)" + _SOILS
     + _SCORE.format(p="s", head="ln(psi * pow((v / depth_mm) / n, -b))", join=" JOIN classed USING (gid)", **_ALWAYS)
@@ -332,8 +330,11 @@ _ALWAYS = {"a": "1900-01-01", "b": "2100-01-01"}
     + """ SELECT gid, fdate, CASE WHEN spi.value < -1 AND qf.value < -1 AND sf.value > 1 THEN 4
     WHEN spi.value < -1 AND qf.value < -1 THEN 3 WHEN spi.value < -1 AND qf.value > 1 THEN 2
     WHEN spi.value < -1 THEN 1 ELSE 0 END AS value
-    FROM daily JOIN sf USING (gid, fdate) JOIN qf USING (gid, fdate) LEFT JOIN spi USING (gid, fdate)""",
+    FROM daily JOIN sf USING (gid, fdate) JOIN qf USING (gid, fdate) LEFT JOIN spi USING (gid, fdate)"""
 )
+
+
+@query("combined_index_closed_form", "gid:i fdate:d value:i", _COMBINED)
 def combined_index_closed_form(spark, d):
     """Combined drought category with the closed-form precipitation fit."""
     base = I.daily(spark, d)
@@ -365,7 +366,27 @@ def combined_level(spark, d):
     return s.withColumn("value", level)
 
 
-@query("all_indices", "gid:i fdate:d index:s value:f")
+def _closed_index(value: str, months: int) -> str:
+    rows = 30 * months
+    return views("daily") + _ROLL.format(v=value, back=rows - 1) + _CLOSED.format(rows=rows, quantile=_QUANTILE) + " SELECT gid, fdate, value FROM spi"
+
+
+_ALL_INDICES = {
+    "spi1": _closed_index("rainf", 1), "spi3": _closed_index("rainf", 3), "sri3": _closed_index("runoff", 3),
+    "severity": views("daily") + ", t AS (SELECT gid, fdate, rainf AS v FROM daily)" + _SEVERITY,
+    "dryspells": views("daily") + _DRY.format(threshold="avg(rainf)", back=1, r=2, n=14),
+    "smdi": views("layered") + _SMDI.format(**_ALWAYS) + """, o AS (SELECT gid, fdate, CASE WHEN rn <= 7 THEN lead(sd, 7) OVER w
+    WHEN rn = 8 THEN sd + 0.5 * lead(sd, 6) OVER w ELSE sd END AS r FROM q WINDOW w AS (PARTITION BY gid ORDER BY fdate))
+    SELECT gid, fdate, greatest(-4.0, least(4.0, r)) AS value FROM o WHERE r IS NOT NULL""",
+    "cdi": _COMBINED,
+}
+
+
+@query(
+    "all_indices", "gid:i fdate:d index:s value:f", " UNION ALL ".join(
+        f"""SELECT gid, fdate, '{name}' AS "index", CAST(value AS DOUBLE) AS value FROM ({sql}) AS part""" for name, sql in _ALL_INDICES.items()
+    ), digits=5,
+)
 def all_indices(spark, d):
     """Every index in one tall table from shared inputs."""
     layers = I.layered(spark, d)
