@@ -127,3 +127,34 @@ def test_components_equal_union_find(spark):
 def test_empty_table(none):
     assert J.join(none).count() == 0
     assert J.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("edits", [5, 9])
+def test_pairs_grow_with_the_members_of_a_cluster(spark, monkeypatch, edits):
+    """Near copies on both sides of the threshold: pairs handed out and decided stay in proportion to the documents."""
+    def decided(count):
+        rng = random.Random(edits)
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows = []
+        for i in range(count):
+            words = list(base)
+            for at in rng.sample(range(400), edits):
+                words[at] = f"v{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        made = []
+        real = J.written
+
+        def counting(df, name):
+            out = real(df, name)
+            if name in ("candidates", "pairs"):
+                made.append(out.count())
+            return out
+
+        monkeypatch.setattr(J, "written", counting)
+        got = sorted((r["doc_id"], r["component_id"]) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        monkeypatch.setattr(J, "written", real)
+        assert got == sorted((i, c) for i, _, c in brute(rows)[0])
+        return sum(made)
+
+    few, many = decided(30), decided(90)
+    assert many <= 6 * max(few, 30)
