@@ -345,35 +345,27 @@ GROUP = ["low", "chunk"]
 def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
     """(tile, i, j, a, b): in every unit, pairs that pass the bound and would join its components into trees.
 
-    ``rows`` holds bitmaps (low, chunk, set, bits; kind 0), members (low, chunk, tile, i, j, own, set, component, n; kind 1) and
-    failed pairs (low, chunk, tile, i, j, set, other; kind 1). A unit is a tile, or two blocks of a large one. Units of a group stand
-    together after its bitmaps, so a bitmap travels once a group. Nothing is handed out twice, and ``trees`` times fewer pairs
-    than there are members at most.
+    ``rows`` holds classes (low, chunk, set, component, n, bits; kind 0), units (low, chunk, tile, i, j, one, two; kind 2) and, before
+    them, failed pairs (low, chunk, tile, i, j, set, other; kind 1). A unit is a tile, or two blocks of a large one; ``one`` and
+    ``two`` are packed members. What is known of a class travels once a group of units. Nothing is handed out twice, and ``trees``
+    times fewer pairs than there are members at most.
     """
     dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "kind", *UNIT)
-    bits_of: dict[int, np.ndarray] = {}
+    width = Bands(percent).width
 
-    def compare(t: pa.Table) -> list[tuple[int, int]]:
-        other = t.column("other")
-        member = t.filter(pc.is_null(other)).sort_by("set")
-        if len(member) < 2:
+    def compare(tile: int, key: np.ndarray, own: np.ndarray | None, known: dict, failed: dict[int, list[int]]) -> list[tuple[int, int]]:
+        component, n, bits = zip(*[known[k] for k in key.tolist()])
+        component, n = np.unique(np.array(component), return_inverse=True)[1], np.array(n)
+        if not component.any():
             return []
-        failed: dict[int, list[int]] = {}
-        for r in t.filter(pc.is_valid(other)).select(["set", "other"]).to_pylist():
-            failed.setdefault(r["set"], []).append(r["other"])
-            failed.setdefault(r["other"], []).append(r["set"])
-        get = lambda c: member.column(c).to_numpy()
-        key, n, own = get("set"), get("n"), get("own")
-        component = np.unique(get("component"), return_inverse=True)[1]
-        words = width(int(get("tile")[0]) & 63) // 64
-        bits = np.stack([folded(bits_of[k], words) for k in key.tolist()])
-        crossed = get("i")[0] != get("j")[0]
+        words = width(tile & 63) // 64
+        bits = np.stack([folded(b, words) for b in bits])
         out: list[tuple[int, int]] = []
         for _ in range(trees):
             label, before = component.copy(), len(out)
             for x in range(len(key) - 1):
                 apart = label[x + 1 :] != label[x]
-                if crossed:
+                if own is not None:
                     apart &= own[x + 1 :] != own[x]
                 y = np.flatnonzero(apart) + x + 1
                 if not len(y):
@@ -398,46 +390,70 @@ def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
         group: tuple | None = None
-        order = [*GROUP, "kind", *UNIT]
-
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal group
-            names = np.stack([pc.fill_null(t.column(c), 0).to_numpy() for c in order], 1)
-            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        unit: tuple | None = None
+        known: dict[int, tuple] = {}
+        wrong: dict[tuple, dict[int, list[int]]] = {}
+        for batch in sliced(batches):
+            names = [batch.column(c).to_pylist() for c in (*GROUP, "kind", *UNIT)]
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             found = []
-            for a, b in zip([0, *cuts], [*cuts, len(names)]):
-                if tuple(names[a, :2]) != group:
-                    group = tuple(names[a, :2])
-                    bits_of.clear()
-                part = t.slice(a, b - a)
-                if names[a, 2] == 0:
-                    for key, bits in zip(part.column("set").to_pylist(), part.column("bits")):
-                        bits_of[key] = np.frombuffer(bits.as_py(), np.uint64)
+            for r, (low, chunk, kind, *unit) in enumerate(zip(*names)):
+                if (low, chunk) != group:
+                    group, known, wrong = (low, chunk), {}, {}
+                unit = tuple(unit)
+                if kind == 0:
+                    bits = np.frombuffer(column("bits")[r].as_py(), np.uint64)
+                    known[column("set")[r].as_py()] = (column("component")[r].as_py(), column("n")[r].as_py(), bits)
+                elif kind == 1:
+                    a, b = column("set")[r].as_py(), column("other")[r].as_py()
+                    pairs = wrong.setdefault(unit, {})
+                    pairs.setdefault(a, []).append(b)
+                    pairs.setdefault(b, []).append(a)
                 else:
-                    found += [(*names[a, 3:], *p) for p in compare(part)]
+                    sets = [np.frombuffer(column(c)[r].as_py() or b"", np.int64) for c in ("one", "two")]
+                    key = np.concatenate(sets)
+                    own = np.repeat([0, 1], [len(v) for v in sets]) if len(sets[1]) else None
+                    order = np.argsort(key)
+                    found += [(*unit, *p) for p in compare(unit[0], key[order], None if own is None else own[order], known, wrong.get(unit, {}))]
             if found:
                 table = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=[*UNIT, "a", "b"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            names = np.stack([pc.fill_null(held.column(c), 0).to_numpy() for c in order], 1)
-            # The last unit may go on in the next batch.
-            whole = np.flatnonzero((names != names[-1]).any(axis=1))
-            end = int(whole[-1]) + 1 if len(whole) else 0
-            if end:
-                yield from emit(held.slice(0, end))
-                held = held.slice(end)
-        if held is not None and len(held):
-            yield from emit(held)
-
-    width = Bands(percent).width
     return dealt.mapInArrow(run, "tile long, i long, j long, a long, b long")
 
 
+def packed_blocks(members: DataFrame) -> DataFrame:
+    """(low, chunk, tile, blocks, own, sets): the members of each block of a tile as one binary."""
+
+    @F.arrow_udf("binary")
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([v.values.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for v in lists], pa.binary())
+
+    # A block holds BLOCK members in expectation.
+    lists = members.groupBy("tile", "own").agg(
+        F.first("low").alias("low"), F.first("chunk").alias("chunk"), F.first("blocks").alias("blocks"), F.collect_list("set").alias("sets")
+    )
+    return lists.select(*GROUP, "tile", "blocks", "own", packed("sets").alias("sets"))
+
+
+def members_of(rest: DataFrame) -> DataFrame:
+    """(low, chunk, set): the distinct classes of every group of packed blocks."""
+    names = [*GROUP, "set"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Repeated classes of one group mostly stand together: most copies end here.
+        for batch in sliced(batches, 4096):
+            held: dict[tuple, set] = {}
+            for low, chunk, sets in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                held.setdefault((low, chunk), set()).update(np.frombuffer(sets, np.int64).tolist())
+            rows = [(low, chunk, s) for (low, chunk), sets in held.items() for s in sets]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+
+    return rest.select(*GROUP, "sets").mapInArrow(run, "low long, chunk long, `set` long").distinct()
+
+
 def named(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(set, component) of linked classes; both are structs that begin with the class's first document."""
     side = lambda x: classes.select(F.col("set").alias(x), F.struct("first.*", "set").alias(f"{x}_node"))
@@ -470,7 +486,6 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     # Tiles that hold several components may still hide links. Pairs with the smallest member are settled.
     node = F.coalesce("component", F.struct("first.*", "set"))
     label = lambda: classes.select("set", "first").join(groups, "set", "left").select("set", F.xxhash64(node).alias("component"))
-    open_ = lambda t: t.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     others = tiles.filter("set <> low")
     marked = others.join(label(), "set")
     # Near copies share many tiles: of tiles with the same members one is enough.
@@ -482,23 +497,28 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     sizes = kept.groupBy("low").agg(F.ceil(F.sum("members") / GROUP_ROWS).alias("chunks"))
     kept = kept.join(sizes, "low").select("tile", "members", F.pmod(F.xxhash64("tile"), F.col("chunks")).alias("chunk"))
     blocks = F.ceil(F.col("members") / BLOCK)
-    rest = others.join(kept, "tile").join(classes.select("set", "n"), "set")
-    rest = written(rest.select("tile", "low", "chunk", "set", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")), "rest")
+    members = others.join(kept, "tile").select(
+        *GROUP, "tile", "set", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")
+    )
+    rest = written(packed_blocks(members), "rest")
+    inside = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     failed, trees = None, 1
     while True:
-        rows = rest.join(label(), "set")
-        rows = rows.join(open_(rows).select("tile"), "tile")
-        maps = rows.select(*GROUP, "set").distinct().join(classes.select("set", "bits"), "set").withColumn("kind", F.lit(0))
-        rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select(
-            *GROUP, F.lit(1).alias("kind"), "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set",
-            "component", "n", F.lit(None).cast("long").alias("other"), F.lit(None).cast("binary").alias("bits"),
+        # A large tile is a list of pairs of blocks; each block goes to its pairs.
+        lone = rest.filter("blocks = 1").select(*GROUP, "tile", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.col("sets").alias("one"))
+        dealt = rest.filter("blocks > 1").withColumn("_o", inside)
+        parts = dealt.groupBy(*GROUP, "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j")).agg(
+            F.max(F.when(F.col("own") <= F.col("_o"), F.col("sets"))).alias("one"), F.max(F.when(F.col("own") > F.col("_o"), F.col("sets"))).alias("two")
         )
+        units = lone.unionByName(parts, allowMissingColumns=True).withColumn("kind", F.lit(2))
+        maps = members_of(rest).join(label(), "set").join(classes.select("set", "n", "bits"), "set").withColumn("kind", F.lit(0))
+        rows = units.unionByName(maps, allowMissingColumns=True)
         if failed is not None:
             places = rest.select("tile", *GROUP).distinct()
             wrong = failed.join(places, "tile").select(*GROUP, F.lit(1).alias("kind"), *UNIT, F.col("a").alias("set"), F.col("b").alias("other"))
             rows = rows.unionByName(wrong, allowMissingColumns=True)
-        rows = rows.unionByName(maps, allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("other", F.lit(None).cast("long"))
         found = written(candidates(rows, percent, trees), "candidates")
         if found.isEmpty():
             break
