@@ -50,7 +50,6 @@ SHINGLE, PERCENT = 3, 90
 #: Ratio of band edges, agreeing ranges guaranteed, fewest bits of a parity bitmap, members of a block.
 BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 4096
 FILTER_BITS = 1 << 25
-WORD_CACHE = 200_000
 #: Tiles of one bucket (expected) and of one packed row, fewest buckets, classes a task remembers.
 BUCKET_TILES, PACK_TILES, BUCKETS, SEEN = 1 << 21, 1 << 20, 32, 1 << 20
 SALTS, TREES, GROUP_ROWS = 8, 32, 1 << 16
@@ -65,29 +64,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered up to a limit."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORD_CACHE:
-            self[word] = value
-        return value
-
-
-def shingle_set(text: str | None, hashes: dict, k: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and six blanks only
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < k:
         h, k = np.concatenate([np.array([n], np.uint64), h]), n + 1
     out = h[: len(h) - k + 1]
     for j in range(1, k):
         out = (out ^ (out >> np.uint64(29))) * _A + h[j : len(h) - k + 1 + j] * _B
-    return np.unique(mix(out))
+    out = np.sort(mix(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 class Bands:
@@ -167,11 +157,11 @@ def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     names = ["doc_id", "mark", "n", "set", "tiles", "bits", "slim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands = WordHashes(), Bands(percent)
+        bands = Bands(percent)
         for batch in sliced(batches):
             sizes, keys, tiles, bits, slim = [], [], [], [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py(), hashes, shingle)
+                s = shingle_set(t.as_py(), shingle)
                 at = bands.bands(len(s))
                 sizes.append(len(s))
                 keys.append(class_hash(s) if len(s) else None)
@@ -192,7 +182,7 @@ def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> D
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands = WordHashes(), Bands(percent)
+        bands = Bands(percent)
         seen: set[int] = set()
         keys: list[int] = []
         held: list[np.ndarray] = []
@@ -219,7 +209,7 @@ def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> D
 
         for batch in sliced(batches):
             for t in batch.column(0):
-                s = shingle_set(t.as_py(), hashes, shingle)
+                s = shingle_set(t.as_py(), shingle)
                 if not bands.bands(len(s)) or (key := class_hash(s)) in seen:
                     continue
                 if len(seen) < SEEN:
@@ -321,15 +311,14 @@ def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int,
     """The pairs (a, b) of classes that are linked, by their sorted arrays."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", F.col("first.mark").alias("mark")), "set")
     texts = texts_of(docs, wanted)
-    hashes = WordHashes()
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, b: pa.Array, right: pa.Array) -> pa.Array:
         out, name, held = [], None, np.empty(0, np.uint64)
         for x, key, y in zip(left, b.to_pylist(), right):
             if key != name:
-                name, held = key, shingle_set(y.as_py(), hashes, shingle)
-            out.append(_linked(shingle_set(x.as_py(), hashes, shingle), held, percent))
+                name, held = key, shingle_set(y.as_py(), shingle)
+            out.append(_linked(shingle_set(x.as_py(), shingle), held, percent))
         return pa.array(out, pa.bool_())
 
     left = near.join(texts.select(F.col("set").alias("a"), F.col("text").alias("left")), "a")
