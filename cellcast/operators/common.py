@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,14 @@ def members(df: DataFrame, count: int, name: str = "ensemble") -> DataFrame:
 def calendar(df: DataFrame, start: Column, end: Column, name: str = "fdate") -> DataFrame:
     """Repeat every row for each day from ``start`` to ``end``."""
     return df.withColumn(name, F.explode(F.sequence(start, end)))
+
+
+def read_existing(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame | None:
+    """Parquet rows under a path or glob; None where nothing matches it."""
+    reader = spark.read.options(**options)
+    try:
+        return (reader.schema(schema) if schema else reader).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

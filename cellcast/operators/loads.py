@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellcast.operators.common import read_existing
+
 
 def load_windows(existing: DataFrame, today: Column | str, key: Sequence[str]) -> DataFrame:
     """Next load window per dataset: the day after the newest date, up to ``today``."""
@@ -119,6 +122,43 @@ def rewrite_with_member(spark: SparkSession, path: str, member: int, target: str
     return True
 
 
+LEDGER = "version long, data string, stored timestamp"
+
+
+def publish(df: DataFrame, root: str, partitions: Sequence[str] = ("fdate",)) -> int:
+    """Store ``df`` as the next version of the table at ``root``; returns its number.
+
+    Rows go to a folder of their own first. A ledger of one-row files then names it: such a file appears whole or not at
+    all, so ``current`` gives the old version or the new one, never both. Folders of old versions stay for those
+    who still read them. Of writers that end at the same number the later one counts.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    known = read_existing(spark, f"{root}/versions", LEDGER)
+    version = 1 + ((known.agg(F.max("version")).first()[0] or 0) if known is not None else 0)
+    data = f"data-{uuid.uuid4().hex}"
+    replace_dates(df, f"{root}/{data}", partitions)
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(data).alias("data"), F.current_timestamp().alias("stored"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    return version
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version of a table stored by ``publish``; None where there is none."""
+    root = root.rstrip("/")
+    known = read_existing(spark, f"{root}/versions", LEDGER)
+    newest = known and known.agg(F.max(F.struct("version", "stored", "data")).alias("v")).first()["v"]
+    return spark.read.parquet(f"{root}/{newest['data']}") if newest else None
+
+
+def add_member_column(spark: SparkSession, root: str, member: int, partitions: Sequence[str] = ("fdate",)) -> bool:
+    """Replace a stored table that has no member column by one that has; readers may be on it. Whether there was a need to."""
+    stored = current(spark, root)
+    if stored is None or not needs_rewrite(stored.columns, True):
+        return False
+    publish(fill_stamp(stored, ensemble=member), root, ["ensemble", *partitions])
+    return True
+
+
 def completeness(series: DataFrame, cells: int | Column, days: int, variables: Sequence[str]) -> DataFrame:
     """Rows found and expected per forcing variable."""
     counts = series.agg(*[F.count(v).alias(v) for v in variables])

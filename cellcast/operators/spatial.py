@@ -8,7 +8,7 @@ hold the answer.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,6 +144,28 @@ def _pyramid_level(finer: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _root(where: DataFrame, finest: float) -> tuple[Callable[[Column, Column], dict[str, Column]], int]:
+    """Bin numbers of a place at the finest level, and the depth of a pyramid over the box of all (px, py)."""
+    box = where.agg(*[f(c) for c in ("px", "py") for f in (F.min, F.max)]).first()
+    x0, x1, y0, y1 = [0.0 if v is None else float(v) for v in box]
+    root = max(x1 - x0, y1 - y0, finest) * (1 + 1e-9)
+    depth = min(15, max(0, math.ceil(math.log(root / finest, _SPLIT))))  # bins stay 32-bit; any depth is exact
+    size = root / _SPLIT**depth
+    return lambda x, y: {"bx": _bin(x - x0, size), "by": _bin(y - y0, size)}, depth
+
+
+def _levels(spots: DataFrame, by: Sequence[str], depth: int) -> list[DataFrame]:
+    """Tight boxes of the occupied bins of (px, py, bx, by), from the root bin down."""
+    levels = [
+        spots.groupBy(*by, "bx", "by").agg(
+            F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")
+        )
+    ]
+    for _ in range(depth):
+        levels.insert(0, _pyramid_level(levels[0], by))
+    return levels
+
+
 def _gap(low: Column, high: Column, at: Column) -> Column:
     return F.greatest(low - at, at - high, F.lit(0.0))
 
@@ -192,12 +214,8 @@ def nearest_join(
         F.col(point_xy[1]).cast("double").alias("py"),
         F.col(point_key).alias("_key"),
     ).filter(F.col("px").isNotNull() & F.col("py").isNotNull())
-    box = where.agg(*[f(c) for c in ("px", "py") for f in (F.min, F.max)]).first()
-    x0, x1, y0, y1 = [0.0 if v is None else float(v) for v in box]
-    root = max(x1 - x0, y1 - y0, finest) * (1 + 1e-9)
-    depth = min(15, max(0, math.ceil(math.log(root / finest, _SPLIT))))  # bins stay 32-bit; any depth is exact
-    size = root / _SPLIT**depth
-    bins = {"bx": _bin(F.col("px") - x0, size), "by": _bin(F.col("py") - y0, size)}
+    place, depth = _root(where, finest)
+    bins = place(F.col("px"), F.col("py"))
     spots = where.groupBy(*keys, "px", "py").agg(F.min("_key").alias("_key")).withColumns(bins)
     asked = targets.select(
         *keys,
@@ -205,13 +223,7 @@ def nearest_join(
         F.col(target_xy[1]).cast("double").alias("ty"),
     ).distinct()
 
-    levels = [
-        spots.groupBy(*keys, "bx", "by").agg(
-            F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")
-        )
-    ]
-    for _ in range(depth):
-        levels.insert(0, _pyramid_level(levels[0], keys))
+    levels = _levels(spots, keys, depth)
     # All points share the root bin, so the descent starts one level below it.
     frontier = asked.withColumn("bx", F.lit(0)).withColumn("by", F.lit(0))
     for boxes in levels[1:]:
@@ -263,6 +275,32 @@ def nearest_known_value(
     return hits.unionByName(filled)
 
 
+def bins_near(areas: DataFrame, levels: list[DataFrame], step: float) -> DataFrame:
+    """(area, bx, by): the finest bins that may hold a point of each area's lowest ring.
+
+    Branch and bound: with r half the diagonal of a bin's box and d the distance from its middle to the polygon, the points
+    of the bin are at d - r to d + r. Some point is no farther than the smallest d + r of an area, so its lowest ring ends
+    at the next whole step; bins that begin beyond are dropped with all below them.
+    """
+    shapes = areas.select("area", "edges")
+    frontier = areas.select("area", F.lit(0).alias("bx"), F.lit(0).alias("by"))
+    up = lambda c: F.floor(F.col(c) / _SPLIT).cast("int")
+    for boxes in levels[1:]:
+        boxes = boxes.withColumn("parent_x", up("bx")).withColumn("parent_y", up("by"))
+        parents = frontier.withColumnsRenamed({"bx": "parent_x", "by": "parent_y"})
+        met = parents.join(boxes, ["parent_x", "parent_y"]).join(shapes, "area")
+        width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        middle = (F.col("x0") + width / 2, F.col("y0") + height / 2)
+        scored = met.select(
+            "area", "bx", "by", geometry.distance_to(*middle, F.col("edges")).alias("_d"),
+            (F.sqrt(width * width + height * height) / 2).alias("_r"),
+        )
+        nearest = F.min(F.col("_d") + F.col("_r")).over(Window.partitionBy("area"))
+        end = F.greatest(F.ceil(nearest / step), F.lit(1)) * step * (1 + 1e-9)
+        frontier = scored.withColumn("_end", end).filter(F.col("_d") - F.col("_r") <= F.col("_end")).select("area", "bx", "by")
+    return frontier
+
+
 def within_growing_buffer(
     areas: DataFrame,
     points: DataFrame,
@@ -272,9 +310,9 @@ def within_growing_buffer(
 ) -> DataFrame:
     """Points inside each area's bounding box, else in the smallest buffer that has any.
 
-    The buffer grows in whole ``step``s of distance to the polygon. One pass: the nearest
-    point bounds how far to look, then ring = ceil(distance / step) and the lowest ring is
-    kept whole.
+    The buffer grows in whole ``step``s of distance to the polygon: ring = ceil(distance / step), and the lowest ring
+    is kept whole. Only the points of the bins that ``bins_near`` leaves are looked at, however far away they lie.
+    Points without coordinates are in no buffer; an area has no row if there are no points.
     """
     shapes = areas.select("area", "edges", "bbox", "centroid")
     binned = points.withColumn("bx", _bin(F.col("lon"), size)).withColumn(
@@ -287,14 +325,12 @@ def within_growing_buffer(
     inside = binned.join(area_bins(shapes, size), ["bx", "by"]).filter(in_box)
     inside = inside.withColumn("ring", F.lit(0).cast("long"))
     misses = shapes.join(inside.select("area").distinct(), "area", "left_anti")
-    sought = misses.withColumn("cx", F.col("centroid.x")).withColumn("cy", F.col("centroid.y"))
-    spot = points.withColumn("_spot", F.struct("lon", "lat"))
-    closest = nearest_join(sought, spot, ("cx", "cy"), ("lon", "lat"), "_spot", finest=finest)
-    reach = geometry.distance_to(F.col("_spot.lon"), F.col("_spot.lat"), F.col("edges"))
-    # The answer's ring is no larger than the ring of the point nearest to the centroid.
-    limit = F.greatest(F.ceil(reach / step), F.lit(1)) * step
-    far = closest.withColumn("_limit", limit).drop("_spot", "distance")
-    near = binned.join(area_bins(far, size, F.col("_limit")), ["bx", "by"])
+    xy = (F.col("lon").cast("double"), F.col("lat").cast("double"))
+    where = points.select(xy[0].alias("px"), xy[1].alias("py")).filter("px IS NOT NULL AND py IS NOT NULL")
+    place, depth = _root(where, finest)
+    levels = _levels(where.withColumns(place(F.col("px"), F.col("py"))), (), depth)
+    placed = points.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumns(place(*xy))
+    near = placed.join(bins_near(misses, levels, step), ["bx", "by"]).join(misses.select("area", "edges"), "area")
     away = geometry.distance_to(F.col("lon"), F.col("lat"), F.col("edges"))
     ringed = near.withColumn("ring", F.greatest(F.ceil(away / step), F.lit(1)).cast("long"))
     lowest = ringed.groupBy("area").agg(F.min("ring").alias("ring"))

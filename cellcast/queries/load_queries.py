@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from cellcast.operators import grid, loads, series as S
 from cellcast.queries import inputs as I
 from cellcast.queries.inputs import LEFT, RES, TOP, views
 from cellcast.queries.registry import query
+from cellcast.session import ensure_checkpoint_dir
+from cellcast.sources import normalisers
 
 
 @query(
@@ -192,3 +197,33 @@ def forcing_table(spark, d):
     cells = g.withColumn("_p", F.explode(F.array(*pairs))).select("row", "col", "fdate", "_p.*")
     index = grid.index_table(I.basin(spark, d), TOP, LEFT, RES)
     return forcings(cells, index, "1996-01-01", "2000-12-31")
+
+
+def _shared(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("member_rewrite", "gid:i ensemble:i fdate:d rainf:f", views("daily") + " SELECT gid, 7 AS ensemble, fdate, rainf FROM daily")
+def member_rewrite(spark, d):
+    """A stored table without a member column is replaced by one that has it."""
+    root = _shared(spark, "member-rewrite")
+    loads.publish(I.daily(spark, d).select("gid", "fdate", "rainf"), root, ())
+    loads.add_member_column(spark, root, 7, ())
+    return loads.current(spark, root)
+
+
+@query(
+    "path_pattern", "lat:f lon:f fdate:d value:f dataset:s",
+    views("grid_daily") + """ SELECT lat, lon, fdate, value, 'landed' AS dataset FROM grid_daily
+    WHERE fdate BETWEEN DATE '1996-11-15' AND DATE '1998-02-10'""",
+)
+def path_pattern(spark, d):
+    """Daily folders of the whole table, read back for a window by one glob; dates come from the paths."""
+    root = _shared(spark, "landed")
+    of = lambda part: getattr(F, part)("fdate").alias(part)
+    days = I.grid_daily(spark, d).select("lat", "lon", F.col("value").alias("raw"), of("year"), of("month"), of("day"), "fdate")
+    # A fixed count: small days would else be merged into one task that writes them all.
+    dealt = days.drop("fdate").repartition(spark.sparkContext.defaultParallelism, "year", "month", "day")
+    dealt.write.partitionBy("year", "month", "day").parquet(root)
+    options = {"path": root + "/year={0}/month={1}/day={2}", "res": str(RES), "table": "precip.landed"}
+    return normalisers.user_dataset(spark, options, date(1996, 11, 15), date(1998, 2, 10))

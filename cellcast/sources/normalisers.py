@@ -7,8 +7,11 @@ NULL. ``NORMALISERS`` maps a product name to its function; users add their own e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
+from string import Formatter
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from cellcast.functions import dates as D
 from cellcast.functions import scalars as S
 from cellcast.operators import grid
+from cellcast.operators.common import read_existing
 
 BBox = tuple[float, float, float, float]
 NORMALISERS: dict[str, Callable[..., DataFrame]] = {}
@@ -285,24 +289,38 @@ def user_dataset(
 ) -> DataFrame | None:
     """Dataset described by ``path``, ``res`` and ``table`` ('var.dataset').
 
-    ``path`` is a pattern with {0} year, {1} month and {2} day. All dates become one read of
-    many paths; dates with no file are skipped. None when an option is missing.
+    ``path`` is a pattern with {0} year, {1} month and {2} day, each with a format such as {1:02d} or without. It becomes one
+    glob over the years, months and days of the window, and a row's date is that of its path. A pattern without all
+    three leaves the date to the rows' own ``fdate``. None when an option is missing or no path matches.
     """
     if any(k not in options for k in ("path", "res", "table")):
         return None
     var, dataset = options["table"].split(".")
-    days = [start + timedelta(days=k) for k in range((end - start).days + 1)]
-    paths = [options["path"].format(d.year, d.month, d.day) for d in days]
-    reader = spark.read.option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
-    jvm_paths = [p for p in paths if _exists(spark, p)]
-    if not jvm_paths:
+    glob, pattern, fields = path_glob(options["path"], start, end)
+    raw = read_existing(spark, glob, ignoreMissingFiles="true", recursiveFileLookup="true")
+    if raw is None:
         return None
-    raw = reader.parquet(*jvm_paths)
-    sub = grid.subset_bbox(raw, float(options["res"]), bbox)
+    if len(fields) == 3:
+        part = lambda f: F.regexp_extract("_metadata.file_path", pattern, fields[f])
+        raw = raw.withColumn("fdate", F.concat_ws("-", part(0), part(1), part(2)).try_cast("date"))
+    sub = grid.subset_bbox(raw.filter(F.col("fdate").between(start, end)), float(options["res"]), bbox)
     return _emit(sub, var, dataset, F.col("raw"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def path_glob(path: str, start: date, end: date) -> tuple[str, str, dict[int, int]]:
+    """A glob for a path pattern in a window of dates, a regular expression for its paths, and the group of each field."""
+    days = [start + timedelta(days=k) for k in range((end - start).days + 1)]
+    values = [sorted({d.year for d in days}), sorted({d.month for d in days}), sorted({d.day for d in days})]
+    glob, pattern, fields, groups = "", "", {}, 0
+    for literal, field, spec, _ in Formatter().parse(path):
+        glob += re.sub(r"([*?\[\]{}\\])", r"\\\1", literal)
+        # Paths are matched from the folder of the first field on, written as in an address.
+        known = quote(literal, safe="/=:@!$&'()*+,;~-._")
+        pattern += re.escape(known if pattern else known[known.rfind("/"):] if "/" in known else known)
+        if field is not None:
+            texts = [format(v, spec) for v in values[int(field)]]
+            glob += "{" + ",".join(texts) + "}"
+            pattern += "(" + "|".join(sorted(texts, key=len, reverse=True)) + ")"
+            groups += 1
+            fields.setdefault(int(field), groups)
+    return glob, pattern + "(?:/|$)", fields

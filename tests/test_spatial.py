@@ -1,5 +1,6 @@
 """Spatial joins against brute force."""
 
+import math
 import random
 
 import pytest
@@ -172,3 +173,39 @@ def test_growing_buffer_rings(spark):
     points = spark.createDataFrame(pts, "p int, lon double, lat double")
     out = spatial.within_growing_buffer(areas, points).collect()
     assert sorted((r["area"], r["p"], r["ring"]) for r in out) == [(1, 1, 0), (1, 2, 0), (2, 3, 3), (2, 4, 3)]
+
+
+def test_remote_area_meets_few_bins(spark):
+    """An area 50 degrees away looks at few bins and finds the same points as all pairs."""
+    areas = areas_from_wkt(
+        spark.createDataFrame(
+            [(1, "POLYGON((-30 3,-20.03 3,-20.03 9,-30 9,-30 3))"), (2, "POLYGON((40.3 70,41 72,39 71,40.3 70))"), (3, "POLYGON((30.05 0.05,30.1 0.05,30.1 0.1,30.05 0.05))")],
+            "k int, wkt string",
+        ), "k",
+    )
+    spots = [(p, 30 + p % 60 * 0.2, p // 60 * 0.2) for p in range(60 * 60)]
+    points = spark.createDataFrame(spots, "p int, lon double, lat double")
+    where = points.select(F.col("lon").alias("px"), F.col("lat").alias("py"))
+    place, depth = spatial._root(where, 0.25)
+    levels = spatial._levels(where.withColumns(place(F.col("px"), F.col("py"))), (), depth)
+    bins = {r["area"]: r["count"] for r in spatial.bins_near(areas, levels, 0.1).groupBy("area").count().collect()}
+    assert set(bins) == {1, 2, 3} and max(bins.values()) < 100
+    got = sorted((r["area"], r["p"], r["ring"]) for r in spatial.within_growing_buffer(areas, points).collect())
+    rings = {}
+    for row in areas.select("area", "edges").collect():
+        for p, x, y in spots:
+            away = math.inf
+            for e in row["edges"]:
+                dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+                t = min(1.0, max(0.0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy)))
+                away = min(away, math.hypot(e["x1"] + t * dx - x, e["y1"] + t * dy - y))
+            rings.setdefault(row["area"], []).append((max(1, math.ceil(away / 0.1 - 1e-9)), p))
+    want = sorted((a, p, ring) for a, found in rings.items() for ring, p in found if ring == min(found)[0])
+    assert got == want and len(got) >= 3
+
+
+def test_no_points_no_buffer(spark):
+    areas = areas_from_wkt(spark.createDataFrame([(1, "POLYGON((0 0,1 0,1 1,0 0))")], "k int, wkt string"), "k")
+    points = spark.createDataFrame([(1, None, 2.0)], "p int, lon double, lat double")
+    assert spatial.within_growing_buffer(areas, points).count() == 0
+    assert spatial.within_growing_buffer(areas, points.filter("p = 2")).count() == 0

@@ -107,3 +107,39 @@ def test_distribution_function_has_no_step_between_methods():
     a = np.array([499.999, 500.0, 500.001])
     values = gamma.cdf(a + 10, a, 0.0, 1.0)
     assert abs(values[2] - 2 * values[1] + values[0]) < 1e-12
+
+
+def test_table_is_replaced_under_its_readers(spark, tmp_path):
+    """Who opened the old version keeps it, who opens the table later gets the new one, and a half-done write shows nothing."""
+    root = str(tmp_path / "table")
+    assert loads.current(spark, root) is None and not loads.add_member_column(spark, root, 1)
+    old = spark.createDataFrame([(1, 2.0)], "gid int, value double").selectExpr("*", "date'2020-01-01' AS fdate")
+    assert loads.publish(old, root) == 1
+    reader = loads.current(spark, root)
+    loads.replace_dates(old.withColumn("value", F.lit(9.0)), root + "/data-unnamed")  # stored, not yet in the ledger
+    assert loads.current(spark, root).first()["value"] == 2.0
+    assert loads.add_member_column(spark, root, 4)
+    assert "ensemble" not in reader.columns and reader.count() == 1
+    new = loads.current(spark, root)
+    assert [(r["gid"], r["ensemble"], r["value"], str(r["fdate"])) for r in new.collect()] == [(1, 4, 2.0, "2020-01-01")]
+    assert not loads.add_member_column(spark, root, 5)
+    assert loads.publish(old, root) == 3 and "ensemble" not in loads.current(spark, root).columns
+
+
+def test_path_patterns(spark, tmp_path):
+    """Dates come from the paths: padded or not, in folders or names, with signs that globs read otherwise."""
+    from datetime import date
+
+    from cellcast.sources import normalisers
+
+    rows = spark.createDataFrame([(0.0, 30.0, 1.5)], "lat double, lon double, raw double")
+    cases = [("y {0}[a]/m{1}/{2}", lambda t: f"y {t.year}[a]/m{t.month}/{t.day}"), ("{0:04d}{1:02d}/x_{2:02d}.d", lambda t: f"{t:%Y%m}/x_{t:%d}.d")]
+    for k, (pattern, name) in enumerate(cases):
+        base = str(tmp_path / f"case{k}")
+        for t in (date(2020, 1, 1), date(2020, 1, 11), date(2020, 2, 1), date(2021, 1, 1)):
+            rows.write.parquet(f"{base}/{name(t)}")
+        options = {"path": f"{base}/{pattern}", "res": "0.25", "table": "precip.local"}
+        read = lambda a, b: normalisers.user_dataset(spark, options, a, b)  # noqa: E731, B023
+        found = sorted(str(r["fdate"]) for r in read(date(2020, 1, 2), date(2021, 1, 1)).collect())
+        assert found == ["2020-01-11", "2020-02-01", "2021-01-01"]
+        assert read(date(2019, 1, 1), date(2019, 12, 31)) is None
