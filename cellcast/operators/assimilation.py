@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from cellcast.functions import rng
 from cellcast.operators.common import salted_join
 from cellcast.operators.series import thin_dates
-from cellcast.operators.spatial import nearest_join
+from cellcast.operators.spatial import nearest_join, nearest_on_days
 
 # State variable, observed variable, resolution and error of each product.
 # Snow products say 'swq' elsewhere; the state knows the variable as 'swe'.
@@ -426,8 +426,11 @@ def nearest_observation(
     """Distance from each state to its nearest observation of the same date.
 
     The filters use every observation whatever its distance, so the full state-by-observation
-    matrix is never formed. Inputs carry (fdate, lat, lon) and ``gid`` or ``oid``.
+    matrix is never formed. Inputs carry (fdate, lat, lon) and ``gid`` or ``oid``; states without ``fdate`` are
+    asked on every date that has observations.
     """
+    if "fdate" not in states.columns:
+        return nearest_on_days(states, observations, ("lon", "lat"), ("lon", "lat"), "oid", finest=finest, digits=9)
     return nearest_join(
         states, observations, ("lon", "lat"), ("lon", "lat"), "oid", by=["fdate"], finest=finest, digits=9
     )

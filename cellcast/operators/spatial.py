@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellcast.functions import geometry
 from cellcast.operators import quadtree
@@ -252,6 +255,116 @@ def nearest_join(
     return placed.join(best, [*keys, "tx", "ty"], "left").drop("tx", "ty")
 
 
+#: Points expected on a tile and day, targets of a tile that go together, and parts the days are dealt to.
+_PER_TILE, _BLOCK, _PARTS = 8, 4096, 16
+_PAIRS = 2**20  # distances held at once
+
+
+def _nearest_rows(by: str, digits: int | None):
+    """Function of (targets, candidates) tables of a group: every target on every day with its nearest candidate."""
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([(by, "ascending"), ("_key", "ascending")])
+        day = right.column(by).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(day, prepend=-1)), len(day)] if len(day) else [0]
+        x, y, px, py = (t.column(c).to_numpy() for t, names in ((left, ("tx", "ty")), (right, ("px", "py"))) for c in names)
+        picks, away = [np.empty(0, np.int64)], [np.empty(0)]
+        for a, b in zip(cuts, cuts[1:]):
+            step = max(1, _PAIRS // (b - a))
+            for k in range(0, len(x), step):
+                square = (px[a:b] - x[k : k + step, None]) ** 2 + (py[a:b] - y[k : k + step, None]) ** 2
+                best = square.argmin(1)
+                least = np.sqrt(square[np.arange(len(best)), best])
+                if digits is not None:
+                    # Distances that agree to so many decimals are a tie: the smallest key comes first.
+                    tied = np.flatnonzero((square <= ((least + 2 * 10.0**-digits) ** 2)[:, None]).sum(1) > 1)
+                    best[tied] = np.round(np.sqrt(square[tied]), digits).argmin(1)
+                picks.append(a + best)
+                away.append(np.sqrt(square[np.arange(len(best)), best]))
+        found = pa.array(np.concatenate(picks))
+        whole = left.drop_columns(["tx", "ty", "_tx", "_ty", "_block", "_part"])
+        out = whole.take(pa.array(np.tile(np.arange(len(x)), len(cuts) - 1)))
+        distance = pa.array(np.concatenate(away), from_pandas=True)
+        for name, values in ((by, right.column(by).take(found)), ("_key", right.column("_key").take(found)), ("distance", distance)):
+            out = out.append_column(name, values)
+        return out
+
+    return rows
+
+
+def nearest_on_days(
+    targets: DataFrame,
+    points: DataFrame,
+    target_xy: tuple[str, str],
+    point_xy: tuple[str, str],
+    point_key: str,
+    by: str = "fdate",
+    finest: float = 0.25,
+    digits: int | None = None,
+) -> DataFrame:
+    """``nearest_join`` of every target on every day of the points, without a row per target and day in any shuffle.
+
+    Targets of a tile go together. With d the distance from the middle of the tile's targets to the nearest point of a day and r
+    the radius of their circle, the nearest point of each of them is within d + 2 r of the middle: ``nearest_join`` gives d per tile
+    and day, and only the points in that circle meet the targets. Tiles hold a few points a day, so circles do too. A circle takes
+    bins of a size near its own, so a tile far from all points meets as few bins as others.
+    Returns the target columns, ``by``, ``point_key`` and ``distance``, NULL as in ``nearest_join``.
+    """
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    where = points.select(by, number(point_xy[0], "px"), number(point_xy[1], "py"), F.col(point_key).alias("_key"))
+    where = where.filter(F.col(by).isNotNull())
+    located = where.filter("px IS NOT NULL AND py IS NOT NULL")
+    seen = located.agg(
+        F.count("*"), F.approx_count_distinct(by), F.approx_count_distinct(F.xxhash64(_bin(F.col("px"), finest), _bin(F.col("py"), finest))),
+    ).first()
+    count, days, bins = (max(1, v) for v in seen)
+    tile = math.sqrt(_PER_TILE * bins * days / count) * finest
+    days_row = where.agg(F.collect_set(by).alias("_days")).withColumn("_k", F.lit(1))  # no longer than the calendar
+    on_days = lambda df: df.withColumn("_k", F.lit(1)).join(F.broadcast(days_row), "_k").withColumn(by, F.explode("_days")).drop("_k", "_days")
+
+    at = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    placed = targets.select("*", number(target_xy[0], "tx"), number(target_xy[1], "ty"))
+    known = placed.filter("tx IS NOT NULL AND ty IS NOT NULL").withColumn("_tx", at("tx", F.lit(tile))).withColumn("_ty", at("ty", F.lit(tile)))
+    low, high = (lambda c: F.min(c).alias(f"{c}0")), (lambda c: F.max(c).alias(f"{c}1"))
+    tiles = known.groupBy("_tx", "_ty").agg(low("tx"), high("tx"), low("ty"), high("ty"), F.ceil(F.count("*") / _BLOCK).alias("_blocks"))
+    half = lambda c: (F.col(f"{c}1") - F.col(f"{c}0")) / 2
+    tiles = tiles.select(
+        "_tx", "_ty", "_blocks", (F.col("tx0") + half("tx")).alias("_x"), (F.col("ty0") + half("ty")).alias("_y"),
+        F.sqrt(half("tx") * half("tx") + half("ty") * half("ty")).alias("_r"),
+    )
+    centres = nearest_join(on_days(tiles), where, ("_x", "_y"), ("px", "py"), "_key", [by], finest).drop("_key")
+    # A little more than the circle, for rounding and for ties.
+    centres = centres.withColumn("_reach", (F.col("distance") + 2 * F.col("_r")) * (1 + 1e-9) + 1e-7)
+    centres = centres.withColumn("_level", F.greatest(F.ceil(F.log2(F.col("_reach") / (2 * tile))), F.lit(0)).cast("int"))
+    size = F.lit(tile) * F.pow(F.lit(2.0), F.col("_level"))
+    covers = lambda c: F.explode(F.sequence(*[F.floor((F.col(c) + k * F.col("_reach")) / size).cast("long") for k in (-1, 1)]))
+    circles = centres.filter("distance IS NOT NULL").withColumn("_bx", covers("_x")).withColumn("_by", covers("_y"))
+    spots = located.groupBy(by, "px", "py").agg(F.min("_key").alias("_key"))
+    spots = spots.join(circles.select(by, "_level").distinct(), by)
+    spots = spots.withColumn("_bx", at("px", size)).withColumn("_by", at("py", size))
+    dx, dy = F.col("px") - F.col("_x"), F.col("py") - F.col("_y")
+    met = circles.join(spots, [by, "_level", "_bx", "_by"]).filter(dx * dx + dy * dy <= F.col("_reach") * F.col("_reach"))
+    empty = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("px", "py", "_key")]
+    met = met.select("_tx", "_ty", "_blocks", by, "px", "py", "_key").unionByName(
+        centres.filter("distance IS NULL").select("_tx", "_ty", "_blocks", by, *empty)
+    )
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    met = met.withColumn("_block", blocks).withColumn("_part", F.pmod(F.xxhash64(by), F.lit(_PARTS)).cast("int")).drop("_blocks")
+    held = known.join(tiles.select("_tx", "_ty", "_blocks"), ["_tx", "_ty"])
+    held = held.withColumn("_block", F.pmod(F.xxhash64(*targets.columns), F.col("_blocks"))).drop("_blocks")
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    group = ["_tx", "_ty", "_block", "_part"]
+    layout = T.StructType([*targets.schema, met.schema[by], met.schema["_key"], T.StructField("distance", T.DoubleType())])
+    layout = T.StructType([T.StructField(f.name, f.dataType) for f in layout])
+    # Both sides come from the tiles; fresh names keep their keys apart.
+    own = [f"{c}_of" for c in group]
+    met = met.select(by, "px", "py", "_key", *[F.col(c).alias(n) for c, n in zip(group, own)])
+    found = held.groupBy(*group).cogroup(met.groupBy(*own)).applyInArrow(_nearest_rows(by, digits), layout)
+    lone = on_days(placed.filter("tx IS NULL OR ty IS NULL").drop("tx", "ty"))
+    lone = lone.withColumn("_key", F.lit(None).cast(layout["_key"].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    return found.unionByName(lone).withColumnRenamed("_key", point_key)
+
+
 def nearest_known_value(
     cells: DataFrame, index: DataFrame, keys: Sequence[str] = ("fdate",), res: float = 0.25
 ) -> DataFrame:

@@ -197,10 +197,8 @@ def nearest_observation(spark, d):
     obs = I.grid_daily(spark, d).select(
         (F.col("row") * 1000 + F.col("col")).alias("oid"), "fdate", "lat", "lon"
     )
-    # Every cell on every date that has observations; the dates are one row, no longer than the calendar.
-    days = obs.agg(F.collect_set("fdate").alias("days")).withColumn("_k", F.lit(1))
-    cells = I.basin(spark, d).select("gid", "lat", "lon", F.lit(1).alias("_k"))
-    states = cells.join(F.broadcast(days), "_k").select("gid", "lat", "lon", F.explode("days").alias("fdate"))
+    # Cells without a date are asked on every date that has observations.
+    states = I.basin(spark, d).select("gid", "lat", "lon")
     return A.nearest_observation(states, obs, 1.0)
 
 
