@@ -17,6 +17,15 @@ def _tokens(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
+def _number(token: Column) -> Column:
+    """The token as a double, NULL if it is none.
+
+    A failing cast costs an exception, so tokens that cannot begin a number are not cast; casts strip control characters
+    and take 'inf' and 'nan' in either case.
+    """
+    return F.when(token.rlike(r"^[\x00-\x20+.0-9IiNn-]"), token.try_cast("double"))
+
+
 def cell_of_path(path: Column) -> tuple[Column, Column]:
     """(lat, lon) from a file name ``prefix_lat_lon``."""
     pattern = r"_(-?\d+(?:\.\d+)?)_(-?\d+(?:\.\d+)?)$"
@@ -72,9 +81,10 @@ def parse_growth(lines: DataFrame, start_year: Column) -> DataFrame:
     from the start year. ``lines`` carries (gid, ensemble, value).
     """
     t = F.col("_t")
-    number = lambda name: F.get(t, GROWTH_COLUMNS[name]).try_cast("double")
-    parsed = lines.withColumn("_t", _tokens(F.col("value")))
-    parsed = parsed.filter(F.get(t, 0).try_cast("double").isNotNull())
+    number = lambda name: _number(F.get(t, GROWTH_COLUMNS[name]))
+    # Exploded, so that filters on the tokens stay above and a line is split once.
+    parsed = lines.select("gid", "ensemble", F.explode(F.array(_tokens(F.col("value")))).alias("_t"))
+    parsed = parsed.filter(_number(F.get(t, 0)).isNotNull())
     return parsed.select(
         "gid",
         "ensemble",
