@@ -139,9 +139,11 @@ def cdf(x: np.ndarray, shape, loc, scale) -> np.ndarray:
     out = np.full(z.shape, np.nan)
     known = np.isfinite(z) & np.isfinite(a)
     out[known & (z <= 0)] = 0.0
-    low = known & (z > 0) & (z < a + 1)
+    large = known & (z > 0) & (a >= LARGE_SHAPE)
+    out[large] = _quadrature(a[large], z[large])
+    low = known & (z > 0) & (z < a + 1) & ~large
     out[low] = _lower_series(a[low], z[low])
-    high = known & (z > 0) & (z >= a + 1)
+    high = known & (z > 0) & (z >= a + 1) & ~large
     out[high] = 1.0 - _upper_fraction(a[high], z[high])
     return out
 
@@ -186,30 +188,66 @@ def _front(a, z):
     return np.exp(a * np.log(z) - z - _each(math.lgamma, values)[index]) if len(a) else a
 
 
+#: From this shape on the integral is summed over fixed nodes, as series and fraction take a number of steps that grows with its root.
+LARGE_SHAPE = 100.0
+_NODES = 32
+
+
+def _quadrature(a, z):
+    """Distribution function for large shapes: Gauss-Legendre nodes from ``z`` outwards, to where the density has vanished."""
+    peak, width = a - 1, np.sqrt(a - 1)
+    above = z > peak
+    end = np.where(
+        above, np.maximum(peak + 11.5 * width, z + 6 * width), np.maximum(0.0, np.minimum(peak - 7.5 * width, z - 5 * width))
+    )
+    total = np.zeros_like(z)
+    for node, weight in zip(*np.polynomial.legendre.leggauss(_NODES)):
+        u = (z + (end - z) * (0.5 + 0.5 * node) - peak) / peak
+        total += 0.5 * weight * np.exp(-peak * (u - np.log1p(u)))
+    # Height of the density at its peak, by Stirling's series.
+    r = 1 / peak
+    height = np.exp(-r * (1 / 12 - r * r * (1 / 360 - r * r / 1260))) / (np.sqrt(2 * np.pi) * width)
+    part = total * np.abs(end - z) * height
+    return np.where(above, 1.0 - part, part)
+
+
+#: Steps between two looks at which elements are settled.
+_STEPS = 8
+
+
 def _lower_series(a, z):
-    """Power series of the regularised lower incomplete gamma function."""
+    """Power series of the regularised lower incomplete gamma function; settled elements are put aside."""
+    out = np.full_like(z, np.nan)
+    at, x, k = np.arange(len(z)), z, a.copy()
     term = 1.0 / a
     total = term.copy()
-    k = a.copy()
-    for _ in range(100000):
+    for step in range(1, 100001):
+        if not len(at):
+            break
         k = k + 1
-        term = term * z / k
+        term = term * x / k
         total = total + term
+        if step % _STEPS:
+            continue
         done = np.abs(term) <= np.abs(total) * 1e-16
-        if done.all():
-            break
-    return np.where(done, total, np.nan) * _front(a, z)
+        out[at[done]] = total[done]
+        at, x, k, term, total = (v[~done] for v in (at, x, k, term, total))
+    return out * _front(a, z)
 
 
 def _upper_fraction(a, z):
-    """Continued fraction of the regularised upper function (modified Lentz)."""
+    """Continued fraction of the regularised upper function (modified Lentz); settled elements are put aside."""
     tiny = 1e-300
+    out = np.full_like(z, np.nan)
+    at, shape = np.arange(len(z)), a
     b = z + 1 - a
     c = np.full_like(z, 1 / tiny)
     d = 1 / np.where(b == 0, tiny, b)
     h = d.copy()
     for i in range(1, 100000):
-        an = -i * (i - a)
+        if not len(at):
+            break
+        an = -i * (i - shape)
         b = b + 2
         d = an * d + b
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -217,7 +255,9 @@ def _upper_fraction(a, z):
         c = np.where(np.abs(c) < tiny, tiny, c)
         delta = d * c
         h = h * delta
+        if i % _STEPS:
+            continue
         done = np.abs(delta - 1) < 1e-15
-        if done.all():
-            break
-    return np.where(done, h, np.nan) * _front(a, z)
+        out[at[done]] = h[done]
+        at, shape, b, c, d, h = (v[~done] for v in (at, shape, b, c, d, h))
+    return out * _front(a, z)

@@ -107,28 +107,25 @@ def _score_cells(t: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["gid", "fdate", "usable", "z", "method"])
 
 
+#: Rows that are fitted together: a fit takes some hundred array steps however few cells it has.
+ROWS_AT_ONCE = 2**17
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells whole, many at once: rows of the last cell of a batch wait for the next one."""
+    """Cells whole, many at once: rows wait for enough others, those of the last cell for the next round."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < ROWS_AT_ONCE:
             continue
-        gid = _codes(batch.column("gid"))
+        table = pa.Table.from_batches(waiting)
+        gid = _codes(table.column("gid").combine_chunks())
         others = np.flatnonzero(gid != gid[-1])
-        cut = int(others[-1]) + 1 if len(others) else 0
-        if waiting and (cut or batch.column("gid")[0] != waiting[-1].column("gid")[0]):
-            first = int(np.argmax(gid != gid[0])) if cut else 0
-            same = batch.column("gid")[0] == waiting[-1].column("gid")[0]
-            head = first if same else 0
-            yield _score_cells(pa.Table.from_batches([*waiting, batch.slice(0, head)]))
-            waiting = []
-            if cut > head:
-                yield _score_cells(pa.Table.from_batches([batch.slice(head, cut - head)]))
-            waiting.append(batch.slice(cut))
-        else:
-            if cut:
-                yield _score_cells(pa.Table.from_batches([batch.slice(0, cut)]))
-            waiting.append(batch.slice(cut))
+        if len(others):
+            cut = int(others[-1]) + 1
+            yield _score_cells(table.slice(0, cut))
+            waiting = table.slice(cut).to_batches()
     if waiting:
         yield _score_cells(pa.Table.from_batches(waiting))
 
