@@ -194,11 +194,13 @@ def perturb(
     precip_error: float = 0.25,
     temp_error: float = 2.0,
     portable: bool = False,
+    original: str | None = None,
 ) -> DataFrame:
     """Members with perturbed weather.
 
     Positive precipitation p becomes N(p, 0.25 p); mean temperature gets N(0, 2) and each
     extreme is mirrored about it from the original other extreme. Wind is unchanged.
+    ``original`` names a further column for the unperturbed precipitation, which saves a join back to it.
     """
     out = members(forcing, count)
     at = [F.col("gid"), F.col("fdate"), F.col("ensemble")]
@@ -214,6 +216,7 @@ def perturb(
         (2.0 * F.col("_mean") - F.col("tmin")).alias("tmax"),
         (2.0 * F.col("_mean") - F.col("tmax")).alias("tmin"),
         "wind",
+        *([F.col("prec").alias(original)] if original else []),
     )
 
 

@@ -253,9 +253,9 @@ def perturbed_forcings(spark, d):
 def perturb_spread(spark, d):
     """Mean of perturbed over original rain per cell, default generator."""
     base = _forcing(spark, d)
-    out = E.perturb(base, 5, SEED)
-    joined = out.join(base.select("gid", "fdate", F.col("prec").alias("p0")), ["gid", "fdate"])
-    return joined.groupBy("gid").agg(
+    # A cell and day is one row, so each member carries its original; rows without a key are in no ratio.
+    out = E.perturb(base, 5, SEED, original="p0").dropna(subset=["gid", "fdate"])
+    return out.groupBy("gid").agg(
         F.avg(F.col("prec") / F.col("p0")).alias("mean_ratio"), F.count("*").alias("n")
     )
 
