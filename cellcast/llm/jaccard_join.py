@@ -5,25 +5,26 @@ Sets are sorted arrays of 64-bit hashes. Equal sets are one class and are compar
 Tiles. A size band fixes how far two linked sets can differ: at threshold p per cent, sets of together S
 shingles differ in at most D = S (100 - p) / (100 + p) of them. Hash space is cut into D + SPARE ranges, the same
 for all sets of a band, so two linked sets hold exactly the same shingles in SPARE ranges or more. A tile is
-(band, range, content): linked sets always share one, and a long passage that many documents quote is
-not enough to share any. A set near a band's lower edge takes part in the band below too. Sets with
-SPARE empty ranges name those as well, as only they can agree on nothing but empty ranges. Tasks send tiles packed, eight
-bytes a tile and set, each set once a task; only tiles with several sets are kept.
-
-Bounds. A parity bitmap of about 16 D bits goes with each class. Bits that differ are shingles that differ, so their count bounds
-the overlap from above; halves of a bitmap folded onto each other are the bitmap of half the width, so sets of
-neighbouring bands compare too. What passes is decided by exact intersection of the sorted arrays.
-
-Pairs. First every member of a tile is paired with the tile's smallest member: as many pairs as rows. Links found so join classes
-to components. Tiles that still hold several components, one of those with the same members, are then compared inside, in rounds: a tile hands out the
-closest pairs that would join its components into trees, fewer than it has members (later ``TREES`` times as many, as what is
-still apart then rarely belongs together), they are decided, and tiles go on until no pair passes the bound. A pair that
-failed is not handed out again. No link between different texts is lost, and no
-group is ever expanded into all its pairs.
+(band, range, content). A set whose partners differ from it in d shingles at most agrees with them in all ranges but d, so it
+names only d + 1 tiles, those that hold most shingles (ties by name): in this order the first tile that two linked sets share is
+named by both. Tiles of one common shingle, which many unlike texts share, so mostly stay unnamed, and a long passage that many
+documents quote is seldom enough to share one. A set near a band's lower edge takes part in the band below too. Tasks send tiles
+packed, eight bytes a tile and set, each set once a task; only tiles with several sets are kept.
+
+Groups. The members of all tiles with the same smallest member are one group: (low, set) is all that is kept of the tiles. Two linked
+sets share a group, so it is enough to join what is linked inside each group, and components put the groups together.
+
+Bounds. Bits in which two parity bitmaps differ are shingles that differ, so their count bounds the overlap from above; halves of a
+bitmap folded onto each other are the bitmap of half the width, so sets of neighbouring bands compare too. A narrow one (some 3 D
+bits) goes with each class to its groups, and only members that may have a partner there stay (``possible``).
+
+Trees. The texts of these travel to their groups, where wide bitmaps (some 16 D bits) and then the exact intersection of the sorted arrays
+decide. Pairs of members that are joined already are not looked at, so near copies cost as much as they are many. Everything
+is settled in one pass; there are no rounds. No link between different texts is lost, and no group is ever expanded into all its pairs.
 
 Hot groups: copies are one class; a class carries its smallest document, so components need no join on their name; the last
-join is salted; blocks bound what one call compares. A parity bitmap travels once to each group of tiles with the same smallest
-member. Sets are not stored or sent: texts of candidate pairs are read again, found by a filter of ``FILTER_BITS`` bits, which
+join is salted. A large group is cut into blocks of BLOCK members or ``BLOCK_SHINGLES`` shingles in expectation. Its smallest member is compared with
+every block, and only members that are apart from it then meet the other blocks. Sets are not stored or sent: texts are read again, found by a filter of ``FILTER_BITS`` bits, which
 is all that is broadcast. A full filter costs time, never a result.
 
 Defined results: null or empty text has no shingles and is linked with nothing; fewer words than the shingle's
@@ -38,9 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.common import sliced, written
@@ -48,11 +48,12 @@ from cellcast.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Ratio of band edges, agreeing ranges guaranteed, fewest bits of a parity bitmap, members of a block.
-BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 4096
+BAND_RATIO, SPARE, BITS, BLOCK = 0.65, 3, 256, 2048
 FILTER_BITS = 1 << 25
 #: Tiles of one bucket (expected) and of one packed row, fewest buckets, classes a task remembers.
 BUCKET_TILES, PACK_TILES, BUCKETS, SEEN = 1 << 21, 1 << 20, 32, 1 << 20
-SALTS, TREES, GROUP_ROWS = 8, 32, 1 << 16
+#: Shingles of a block, salts of the last join.
+BLOCK_SHINGLES, SALTS = 1 << 21, 8
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -94,18 +95,30 @@ class Bands:
             self.edges.append(int(self.edges[-1] / BAND_RATIO) + 1)
         return self.edges[band]
 
-    def ranges(self, band: int) -> int:
+    def differ(self, n: int, partner: int) -> int:
+        """Most shingles in which a set of n differs from a linked one of at most ``partner``."""
+        return (n + min(n * 100 // self.percent, partner)) * (100 - self.percent) // (100 + self.percent)
+
+    def most(self, band: int) -> int:
+        """Most shingles in which linked sets that meet in a band differ."""
         largest = self.edge(band + 1) - 1
-        together = largest + largest * 100 // self.percent
-        return together * (100 - self.percent) // (100 + self.percent) + SPARE
+        return self.differ(largest, largest * 100 // self.percent)
+
+    def ranges(self, band: int) -> int:
+        return self.most(band) + SPARE
+
+    def used(self, n: int, band: int) -> int:
+        """Tiles of a set of n shingles that are named: one more than the ranges in which a linked set may differ."""
+        # In the band below its own it meets only sets of that band.
+        return self.differ(n, self.edge(band + 1) - 1 if n >= self.edge(band + 1) else n * 100 // self.percent) + 1
 
     def width(self, band: int) -> int:
         """Bits of the parity bitmap: a power of two of sixteen times what linked sets may differ in, or more."""
-        return max(BITS, 1 << (16 * (self.ranges(band) - SPARE) - 1).bit_length())
+        return max(BITS, 1 << (16 * self.most(band) - 1).bit_length())
 
     def slim(self, band: int) -> int:
         """Bits of a first, narrow bitmap: at least three times what linked sets may differ in, so that unlike sets exceed it."""
-        return max(BITS, 1 << (3 * (self.ranges(band) - SPARE) - 1).bit_length())
+        return max(BITS, 1 << (3 * self.most(band) - 1).bit_length())
 
     def bands(self, n: int) -> list[int]:
         """Bands in which a set of n shingles looks for partners."""
@@ -129,8 +142,9 @@ class Bands:
             content = sums[at[1:]] - sums[at[:-1]]
             names = mix(content ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40)) + _B))
             names = names & ~np.uint64(63) | np.uint64(band)
-            empty = at[1:] == at[:-1]
-            out.append(names if empty.sum() >= SPARE else names[~empty])
+            # Linked sets agree in all but used - 1 ranges or more: they share one of those that hold most.
+            order = np.lexsort((names, at[:-1] - at[1:]))
+            out.append(names[order[: self.used(len(shingles), band)]])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -153,32 +167,30 @@ def class_hash(shingles: np.ndarray) -> int:
 
 
 def scanned(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n, set, tiles, bits, slim) of every (doc_id, text, mark); ``set`` is null without shingles."""
-    names = ["doc_id", "mark", "n", "set", "tiles", "bits", "slim"]
+    """(doc_id, mark, n, set, tiles, slim) of every (doc_id, text, mark); ``set`` is null without shingles."""
+    names = ["doc_id", "mark", "n", "set", "tiles", "slim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in sliced(batches):
-            sizes, keys, tiles, bits, slim = [], [], [], [], []
+            sizes, keys, tiles, slim = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), shingle)
                 at = bands.bands(len(s))
                 sizes.append(len(s))
                 keys.append(class_hash(s) if len(s) else None)
-                tiles.append(sum(bands.ranges(b) for b in at))
-                wide = parity(s, bands.width(at[0])) if at else None
-                bits.append(wide.tobytes() if at else None)
-                slim.append(folded(wide, bands.slim(at[0]) // 64).tobytes() if at else None)
-            columns = [pa.array(v, pa.int64()) for v in (sizes, keys, tiles)] + [pa.array(v, pa.binary()) for v in (bits, slim)]
+                tiles.append(sum(bands.used(len(s), b) for b in at))
+                slim.append(parity(s, bands.slim(at[0])).tobytes() if at else None)
+            columns = [pa.array(v, pa.int64()) for v in (sizes, keys, tiles)] + [pa.array(slim, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, `set` long, tiles long, bits binary, slim binary")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, `set` long, tiles long, slim binary")
 
 
 def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> DataFrame:
-    """(tile, set, low) of the classes in every tile that holds several; ``low`` is its smallest class.
+    """(low, set) of the classes in every tile that holds several; ``low`` is its smallest class, which has a row too.
 
-    A bucket's tiles are one group: ``BUCKET_TILES`` in expectation, and at eight bytes each the members of its largest tile.
+    Equal rows of different buckets stay. A bucket's tiles are one group: ``BUCKET_TILES`` in expectation, and at eight bytes each the members of its largest tile.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +251,11 @@ def shared_tiles(docs: DataFrame, buckets: int, shingle: int, percent: int) -> D
         counts = np.diff(np.append(starts, len(names)))
         several = np.repeat(counts > 1, counts)
         low = np.repeat(sets[starts], counts)
-        tile_ids = names.astype(np.int64) | (key[0].as_py() << 44)
-        return pa.table({"tile": tile_ids[several], "set": sets[several], "low": low[several]})
+        pairs = np.unique(np.stack([low[several], sets[several]], 1), axis=0)
+        return pa.table({"low": pairs[:, 0], "set": pairs[:, 1]})
 
     rows = docs.select("text").mapInArrow(pack, "bucket long, packed binary, classes binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "tile long, `set` long, low long")
+    return rows.groupBy("bucket").applyInArrow(meet, "low long, `set` long")
 
 
 def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -256,45 +268,98 @@ def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(left) + len(right) - common)
 
 
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity bits leave room for a link.
-
-    Sizes are looked at first, then narrow bitmaps, and wide ones travel only with the pairs that pass these.
+class Bounds:
+    """Parity bitmaps of some sets, to bound from below in how many shingles two of them differ."""
+
+    def __init__(self, n: np.ndarray, bits: list[np.ndarray], percent: int):
+        self.n, self.percent = n, percent
+        self.words = np.array([len(b) for b in bits])
+        # A pair is compared in the width of the narrower bitmap.
+        self.level = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words >= w)
+            place = np.full(len(n), -1)
+            place[at] = np.arange(len(at))
+            self.level[w] = place, np.stack([folded(bits[k], w) for k in at])
+
+    def near(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``y`` that may be linked with ``x``, and the least in which they differ."""
+        room = (self.n[y] + self.n[x]) * (100 - self.percent)
+        inside = np.abs(self.n[y] - self.n[x]) * (100 + self.percent) <= room
+        y, room = y[inside], room[inside]
+        fewest = np.abs(self.n[y] - self.n[x])
+        width = np.minimum(self.words[y], self.words[x])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            place, bits = self.level[w]
+            fewest[at] = np.maximum(fewest[at], np.bitwise_count(bits[place[y[at]]] ^ bits[place[x]]).sum(1, dtype=np.int64))
+        fits = fewest * (100 + self.percent) <= room
+        return y[fits], fewest[fits]
+
+
+def _units(batches: Iterator[pa.RecordBatch], keys: list[str], shingle: int = 0) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows that follow each other with equal keys; a text becomes its shingle set at once."""
+    unit, held = None, []
+    for batch in sliced(batches, 64 if shingle else 512):
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != unit and held:
+                yield unit, held
+                held = []
+            unit = key
+            if shingle:
+                row["text"] = shingle_set(row["text"], shingle)
+            held.append(row)
+    if held:
+        yield unit, held
+
+
+def blocked(members: DataFrame, weight: Column) -> DataFrame:
+    """``members`` with the blocks of their group and their own; a block has BLOCK members or a weight of 1 in expectation."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(weight))).alias("blocks")
+    large = members.groupBy("low").agg(blocks).filter("blocks > 1")
+    own = F.pmod(F.xxhash64("set"), "blocks").alias("own")
+    return members.join(large, "low", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("*", own)
+
+
+def possible(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (low, set) of ``members`` that may be linked with another of their group, by sizes and narrow bitmaps.
+
+    The smallest member of a group stays with the others.
     """
+    known = members.join(classes.select("set", "n", "slim"), "set")
+    dealt = blocked(known, F.lit(0)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = ["low", "i", "j"]
+    rows = dealt.select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "slim")
 
-    @F.arrow_udf("boolean")
-    def possible(an: pa.Array, abits: pa.Array, bn: pa.Array, bbits: pa.Array) -> pa.Array:
-        n, m = an.to_numpy(zero_copy_only=False), bn.to_numpy(zero_copy_only=False)
-        fewest = np.abs(n - m)
-        for i, (x, y) in enumerate(zip(abits, bbits)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            words = min(len(x), len(y))
-            fewest[i] = max(fewest[i], int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))
-        return pa.array(fewest * (100 + percent) <= (n + m) * (100 - percent))
-
-    def met(near: DataFrame, bits: str | None) -> DataFrame:
-        held = ["n", *([bits] if bits else [])]
-        side = lambda x: classes.select(F.col("set").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in held])
-        both = near.join(side("a"), "a").join(side("b"), "b")
-        if bits is None:
-            fits = F.abs(F.col("a_n") - F.col("b_n")) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
-        else:
-            fits = possible("a_n", f"a_{bits}", "b_n", f"b_{bits}")
-        return both.filter(fits).select("a", "b")
-
-    slim = written(met(met(pairs.select("a", "b"), None), "slim"), "near")
-    return met(slim, "bits")
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, text) of the classes in ``wanted`` (set, mark), read from the documents of these marks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (low, i, j), held in _units(batches, unit):
+            bounds = Bounds(np.array([r["n"] for r in held]), [np.frombuffer(r["slim"], np.uint64) for r in held], percent)
+            side, met = np.array([r["own"] for r in held]), np.zeros(len(held), bool)
+            for x in range(len(held) - 1):
+                # Once x is known to have a partner, only those without one are of interest.
+                ask = ~met[x + 1 :] if met[x] else np.ones(len(held) - x - 1, bool)
+                if i != j:
+                    ask &= side[x + 1 :] != side[x]
+                y = np.flatnonzero(ask) + x + 1
+                if len(y) and len(y := bounds.near(x, y)[0]):
+                    met[x] = met[y] = True
+            if met.any():
+                sets = np.append(np.array([r["set"] for r in held])[met], low)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), low)), pa.array(sets)], names=["low", "set"])
+
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "low long, `set` long").distinct()
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the text of the document of each ``mark``."""
     cell = F.pmod("mark", F.lit(FILTER_BITS))
     words = wanted.groupBy(F.shiftright(cell, 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))).alias("bits")
     )
+    found = words.toArrow()  # at most FILTER_BITS / 64 rows
     marks = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
-        marks[r["word"]] = r["bits"]
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     packed = marks.view(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,143 +369,72 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(inside))
 
     near = docs.select("mark", "text").mapInArrow(run, "mark long, text string")
-    return near.join(wanted, "mark").groupBy("set").agg(F.first("text").alias("text"))
-
-
-def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, by their sorted arrays."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", F.col("first.mark").alias("mark")), "set")
-    texts = texts_of(docs, wanted)
-
-    @F.arrow_udf("boolean")
-    def linked(left: pa.Array, b: pa.Array, right: pa.Array) -> pa.Array:
-        out, name, held = [], None, np.empty(0, np.uint64)
-        for x, key, y in zip(left, b.to_pylist(), right):
-            if key != name:
-                name, held = key, shingle_set(y.as_py(), shingle)
-            out.append(_linked(shingle_set(x.as_py(), shingle), held, percent))
-        return pa.array(out, pa.bool_())
-
-    left = near.join(texts.select(F.col("set").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("set").alias("b"), F.col("text").alias("right")), "b")
-    decided = both.select("a", "b", linked.asNondeterministic()("left", "b", "right").alias("ok"))
-    return written(decided.filter("ok").select("a", "b"), "links")
+    return wanted.join(near.dropDuplicates(["mark"]), "mark")
 
 
-UNIT = ["tile", "i", "j"]
-GROUP = ["low", "chunk"]
+UNIT = ["low", "i", "j"]
 
 
-def candidates(rows: DataFrame, percent: int, trees: int) -> DataFrame:
-    """(tile, i, j, a, b): in every unit, pairs that pass the bound and would join its components into trees.
+def trees(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(low, i, a, b): links that join what is linked in every unit into trees; ``b`` is null for a member left apart.
 
-    ``rows`` holds classes (low, chunk, set, component, n, bits; kind 0), units (low, chunk, tile, i, j, one, two; kind 2) and, before
-    them, failed pairs (low, chunk, tile, i, j, set, other; kind 1). A unit is a tile, or two blocks of a large one; ``one`` and
-    ``two`` are packed members. What is known of a class travels once a group of units. Nothing is handed out twice, and ``trees``
-    times fewer pairs than there are members at most.
+    ``rows`` holds (low, i, j, set, text, kind) of a unit. Kind 0 is compared with all, kind 1 with kind 0 only. Members of kind 1 or 2
+    are known to be one component, kind 2 is that of the group's smallest member, which in a block (j = -1) is ``low`` itself.
     """
-    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "kind", *UNIT)
-    width = Bands(percent).width
+    dealt = rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "kind", "set")
 
-    def compare(tile: int, key: np.ndarray, own: np.ndarray | None, known: dict, failed: dict[int, list[int]]) -> list[tuple[int, int]]:
-        component, n, bits = zip(*[known[k] for k in key.tolist()])
-        component, n = np.unique(np.array(component), return_inverse=True)[1], np.array(n)
-        if not component.any():
-            return []
-        words = width(tile & 63) // 64
-        bits = np.stack([folded(b, words) for b in bits])
-        out: list[tuple[int, int]] = []
-        for _ in range(trees):
-            label, before = component.copy(), len(out)
-            for x in range(len(key) - 1):
-                apart = label[x + 1 :] != label[x]
-                if own is not None:
-                    apart &= own[x + 1 :] != own[x]
-                y = np.flatnonzero(apart) + x + 1
-                if not len(y):
-                    continue
-                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-                fewest = np.maximum(differ, np.abs(n[y] - n[x]))
-                fits = fewest * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
-                if int(key[x]) in failed:
-                    fits &= ~np.isin(key[y], failed[int(key[x])])
-                y, fewest = y[fits], fewest[fits]
-                if not len(y):
-                    continue
-                # The closest member of each other component.
-                order = np.argsort(fewest, kind="stable")
-                joined, first = np.unique(label[y[order]], return_index=True)
-                chosen = key[y[order][first]].tolist()
-                out += [(int(key[x]), z) for z in chosen]
-                failed.setdefault(int(key[x]), []).extend(chosen)
-                label[np.isin(label, joined)] = label[x]
-            if len(out) == before:
-                break
+    def compare(unit: tuple, held: list[dict]) -> list[tuple]:
+        low, block, other = unit
+        bands = Bands(percent)
+        names = [r["set"] for r in held]
+        sets = [r["text"] for r in held]
+        kind = np.array([r["kind"] for r in held])
+        bounds = Bounds(np.array([len(s) for s in sets]), [parity(s, bands.width(bands.bands(len(s))[0])) for s in sets], percent)
+        label = np.where(kind == 2, -1, np.arange(len(held)))
+        out = []
+        # The smallest member comes first: near copies mostly are linked with it.
+        order = [names.index(low), *[x for x in range(len(held)) if names[x] != low]] if other < 0 else np.flatnonzero(kind == 0).tolist()
+        done = np.zeros(len(held), bool)
+        for x in order:
+            done[x] = True
+            y, fewest = bounds.near(x, np.flatnonzero((label != label[x]) & ~done))
+            for z in y[np.argsort(fewest, kind="stable")].tolist():
+                if label[z] != label[x] and _linked(sets[x], sets[z], percent):
+                    out.append((low, block, names[x], names[z]))
+                    label[label == label[z]] = label[x]
+        if other < 0:
+            out += [(low, block, names[x], None) for x in np.flatnonzero(label != label[order[0]]).tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        unit: tuple | None = None
-        known: dict[int, tuple] = {}
-        wrong: dict[tuple, dict[int, list[int]]] = {}
-        for batch in sliced(batches):
-            names = [batch.column(c).to_pylist() for c in (*GROUP, "kind", *UNIT)]
-            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            found = []
-            for r, (low, chunk, kind, *unit) in enumerate(zip(*names)):
-                if (low, chunk) != group:
-                    group, known, wrong = (low, chunk), {}, {}
-                unit = tuple(unit)
-                if kind == 0:
-                    bits = np.frombuffer(column("bits")[r].as_py(), np.uint64)
-                    known[column("set")[r].as_py()] = (column("component")[r].as_py(), column("n")[r].as_py(), bits)
-                elif kind == 1:
-                    a, b = column("set")[r].as_py(), column("other")[r].as_py()
-                    pairs = wrong.setdefault(unit, {})
-                    pairs.setdefault(a, []).append(b)
-                    pairs.setdefault(b, []).append(a)
-                else:
-                    sets = [np.frombuffer(column(c)[r].as_py() or b"", np.int64) for c in ("one", "two")]
-                    key = np.concatenate(sets)
-                    own = np.repeat([0, 1], [len(v) for v in sets]) if len(sets[1]) else None
-                    order = np.argsort(key)
-                    found += [(*unit, *p) for p in compare(unit[0], key[order], None if own is None else own[order], known, wrong.get(unit, {}))]
-            if found:
-                table = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=[*UNIT, "a", "b"])
-
-    return dealt.mapInArrow(run, "tile long, i long, j long, a long, b long")
-
-
-def packed_blocks(members: DataFrame) -> DataFrame:
-    """(low, chunk, tile, blocks, own, sets): the members of each block of a tile as one binary."""
-
-    @F.arrow_udf("binary")
-    def packed(lists: pa.Array) -> pa.Array:
-        return pa.array([v.values.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for v in lists], pa.binary())
-
-    # A block holds BLOCK members in expectation.
-    lists = members.groupBy("tile", "own").agg(
-        F.first("low").alias("low"), F.first("chunk").alias("chunk"), F.first("blocks").alias("blocks"), F.collect_list("set").alias("sets")
-    )
-    return lists.select(*GROUP, "tile", "blocks", "own", packed("sets").alias("sets"))
-
-
-def members_of(rest: DataFrame) -> DataFrame:
-    """(low, chunk, set): the distinct classes of every group of packed blocks."""
-    names = [*GROUP, "set"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Repeated classes of one group mostly stand together: most copies end here.
-        for batch in sliced(batches, 4096):
-            held: dict[tuple, set] = {}
-            for low, chunk, sets in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                held.setdefault((low, chunk), set()).update(np.frombuffer(sets, np.int64).tolist())
-            rows = [(low, chunk, s) for (low, chunk), sets in held.items() for s in sets]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-    return rest.select(*GROUP, "sets").mapInArrow(run, "low long, chunk long, `set` long").distinct()
+        for unit, held in _units(batches, UNIT, shingle):
+            if found := compare(unit, held):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["low", "i", "a", "b"])
+
+    return dealt.mapInArrow(run, "low long, i long, a long, b long")
+
+
+def linked(docs: DataFrame, classes: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links enough to join all linked classes of every group of ``members`` (low, set)."""
+    named_ = members.join(classes.select("set", "n", F.col("first.mark").alias("mark")), "set")
+    dealt = written(blocked(named_, F.col("n") / BLOCK_SHINGLES).drop("n"), "blocks")
+    # The smallest member is compared with every block.
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    lows = dealt.filter("set = low AND blocks > 1").withColumn("at", at).filter("at <> own").drop("own").withColumnRenamed("at", "own")
+    first = dealt.unionByName(lows).select("mark", "low", F.col("own").alias("i"), F.lit(-1).cast("long").alias("j"), "set", F.lit(0).alias("kind"))
+    found = written(trees(with_texts(docs, first), shingle, percent), "pairs")
+    links = found.filter("b IS NOT NULL").select("a", "b")
+    large = dealt.filter("blocks > 1")
+    apart = found.filter("b IS NULL").select("low", F.col("a").alias("set")).join(large, ["low", "set"])
+    if apart.isEmpty():
+        return links
+    # What a block leaves apart is compared with all other blocks.
+    asking = apart.withColumn("j", at).filter("j <> own").select("mark", "low", F.col("own").alias("i"), "j", "set", F.lit(0).alias("kind"))
+    alone = apart.select("low", "set", F.lit(1).alias("kind"))
+    asked = large.join(apart.select("low", F.col("own").alias("i")).distinct(), "low").filter("own <> i").join(alone, ["low", "set"], "left")
+    asked = asked.select("mark", "low", "i", F.col("own").alias("j"), "set", F.coalesce("kind", F.lit(2)).alias("kind"))
+    more = written(trees(with_texts(docs, asking.unionByName(asked)), shingle, percent), "pairs")
+    return links.unionByName(more.select("a", "b"))
 
 
 def named(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -461,67 +455,12 @@ def grouped(df: DataFrame, doc: str, text: str, shingle: int, percent: int) -> t
     docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     scan = written(scanned(docs, shingle, percent), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
-    known = scan.filter("set IS NOT NULL").groupBy("set").agg(
-        F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("slim").alias("slim"), first, F.count("*").alias("copies")
-    )
+    known = scan.filter("set IS NOT NULL").groupBy("set").agg(F.max("n").alias("n"), F.max("slim").alias("slim"), first, F.count("*").alias("copies"))
     classes = written(known, "classes")
     total = scan.agg(F.sum("tiles")).first()[0] or 0
-    tiles = written(shared_tiles(docs, max(BUCKETS, total // BUCKET_TILES), shingle, percent), "tiles")
-
-    stars = tiles.filter("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
-    links = verified(docs, classes, written(bounded(stars, classes, percent), "pairs"), shingle, percent)
-    groups = named(links, classes)
-
-    # Tiles that hold several components may still hide links. Pairs with the smallest member are settled.
-    node = F.coalesce("component", F.struct("first.*", "set"))
-    label = lambda: classes.select("set", "first").join(groups, "set", "left").select("set", F.xxhash64(node).alias("component"))
-    others = tiles.filter("set <> low")
-    marked = others.join(label(), "set")
-    # Near copies share many tiles: of tiles with the same members one is enough.
-    alike = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
-    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.max("low").alias("low")]
-    kept = marked.groupBy("tile").agg(*ends, *alike).filter("x < y")
-    kept = kept.groupBy("members", "s1", "s2").agg(F.max(F.struct("tile", "low")).alias("t")).select("t.*", "members")
-    # Tiles with one smallest member mostly have the same others: they are one group, in chunks where it is large.
-    sizes = kept.groupBy("low").agg(F.ceil(F.sum("members") / GROUP_ROWS).alias("chunks"))
-    kept = kept.join(sizes, "low").select("tile", "members", F.pmod(F.xxhash64("tile"), F.col("chunks")).alias("chunk"))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    members = others.join(kept, "tile").select(
-        *GROUP, "tile", "set", blocks.alias("blocks"), F.pmod(F.xxhash64("set"), blocks).alias("own")
-    )
-    rest = written(packed_blocks(members), "rest")
-    inside = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    failed, trees = None, 1
-    while True:
-        # A large tile is a list of pairs of blocks; each block goes to its pairs.
-        lone = rest.filter("blocks = 1").select(*GROUP, "tile", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.col("sets").alias("one"))
-        dealt = rest.filter("blocks > 1").withColumn("_o", inside)
-        parts = dealt.groupBy(*GROUP, "tile", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j")).agg(
-            F.max(F.when(F.col("own") <= F.col("_o"), F.col("sets"))).alias("one"), F.max(F.when(F.col("own") > F.col("_o"), F.col("sets"))).alias("two")
-        )
-        units = lone.unionByName(parts, allowMissingColumns=True).withColumn("kind", F.lit(2))
-        maps = members_of(rest).join(label(), "set").join(classes.select("set", "n", "bits"), "set").withColumn("kind", F.lit(0))
-        rows = units.unionByName(maps, allowMissingColumns=True)
-        if failed is not None:
-            places = rest.select("tile", *GROUP).distinct()
-            wrong = failed.join(places, "tile").select(*GROUP, F.lit(1).alias("kind"), *UNIT, F.col("a").alias("set"), F.col("b").alias("other"))
-            rows = rows.unionByName(wrong, allowMissingColumns=True)
-        else:
-            rows = rows.withColumn("other", F.lit(None).cast("long"))
-        found = written(candidates(rows, percent, trees), "candidates")
-        if found.isEmpty():
-            break
-        right = verified(docs, classes, found.select("a", "b").distinct(), shingle, percent)
-        trees = TREES
-        if not right.isEmpty():
-            links = links.unionByName(right)
-            groups = named(links, classes)
-        wrong = found.join(right, ["a", "b"], "left_anti")
-        failed = written(wrong if failed is None else failed.unionByName(wrong), "failed")
-        # A tile that had no pair to hand out has none later.
-        alive = found.select("tile").distinct()
-        rest = rest.join(alive, "tile", "left_semi")
-        failed = failed.join(alive, "tile", "left_semi")
+    members = written(shared_tiles(docs, max(BUCKETS, total // BUCKET_TILES), shingle, percent), "tiles").distinct()
+    near = written(possible(members, classes, percent), "near")
+    groups = named(linked(docs, classes, near, shingle, percent), classes)
     return scan, classes.select("set", "first", "copies").join(groups, "set", "left")
 
 
