@@ -158,3 +158,32 @@ def test_pairs_grow_with_the_members_of_a_cluster(spark, monkeypatch, edits):
 
     few, many = decided(30), decided(90)
     assert many <= 6 * max(few, 30)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_a_set_names_one_tile_more_than_a_linked_one_may_break(percent):
+    """Not all ranges: the thinnest, which unlike texts share most often, stay unnamed."""
+    rng = np.random.default_rng(percent)
+    bands = J.Bands(percent)
+    for n in (12, 40, 200, 700, 3000):
+        s = np.unique(J.mix(rng.integers(0, 2**62, n).astype(np.uint64)))
+        differ = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+        assert len(bands.tiles(s)) <= len(bands.bands(n)) * (differ + 1)
+
+
+def test_steps_do_not_grow_with_rounds(spark, monkeypatch):
+    """A cluster with most pairs just over and just under the threshold is settled in a fixed number of steps."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(400), 7):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    names, real = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(J, "BLOCK", 16)
+    got = sorted((r["doc_id"], r["component_id"]) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, c) for i, _, c in brute(rows)[0])
+    assert len(names) <= 8
