@@ -105,6 +105,69 @@ def zonal_mean(
     return joined.groupBy("area", *keys).agg(F.avg("value").alias("value"))
 
 
+# Part of a tile by which an edge is followed beyond the tiles it is reckoned to meet; the exact test decides.
+_FOLLOW = 1e-9
+
+
+def tile_box(step: float, top: float, left: float) -> Column:
+    """Box of the tile (tile_y, tile_x); ``top`` and ``left`` are the corner of tile (0, 0)."""
+    x0 = F.lit(left) + F.col("tile_x") * step
+    y1 = F.lit(top) - F.col("tile_y") * step
+    return F.struct(x0.alias("xmin"), (y1 - step).alias("ymin"), (x0 + step).alias("xmax"), y1.alias("ymax"))
+
+
+def _edge_tiles(edges: DataFrame, step: float, top: float, left: float) -> DataFrame:
+    """(area, tile_y, tile_x) of the tiles that an edge (area, x1, y1, x2, y2) meets, their sides included.
+
+    An edge is cut at the rows of tiles, so it is tried on about as many tiles as it is long.
+    """
+    c = F.col
+    u = lambda x: (c(x) - left) / step
+    v = lambda y: (F.lit(top) - c(y)) / step
+    whole = lambda x: F.floor(x).cast("int")
+    placed = edges.withColumns({"_u": u("x1"), "_v": v("y1"), "_du": u("x2") - u("x1"), "_dv": v("y2") - v("y1")})
+    low, high = F.least(c("_v"), c("_v") + c("_dv")), F.greatest(c("_v"), c("_v") + c("_dv"))
+    rows = placed.withColumn("tile_y", F.explode(F.sequence(whole(low - _FOLLOW), whole(high + _FOLLOW))))
+
+    def at(height: Column, level: float) -> Column:
+        """Place across at which the edge reaches a height, or its nearer end; for a level edge the end ``level``."""
+        share = F.least(F.greatest((height - c("_v")) / F.nullif(c("_dv"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return c("_u") + c("_du") * F.when(c("_dv") != 0, share).otherwise(F.lit(level))
+
+    one, two = at(c("tile_y") - _FOLLOW, 0.0), at(c("tile_y") + 1 + _FOLLOW, 1.0)
+    first, last = whole(F.least(one, two) - _FOLLOW), whole(F.greatest(one, two) + _FOLLOW)
+    tried = rows.withColumn("tile_x", F.explode(F.sequence(first, last))).withColumn("_t", tile_box(step, top, left))
+    # Apart along an axis, or with all corners on one side of the edge's line.
+    side = lambda x, y: (c("x2") - c("x1")) * (c(f"_t.{y}") - c("y1")) - (c("y2") - c("y1")) * (c(f"_t.{x}") - c("x1"))
+    sides = [side(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+    meets = (
+        (F.least("x1", "x2") <= c("_t.xmax")) & (F.greatest("x1", "x2") >= c("_t.xmin"))
+        & (F.least("y1", "y2") <= c("_t.ymax")) & (F.greatest("y1", "y2") >= c("_t.ymin"))
+        & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    )
+    return tried.filter(meets).select("area", "tile_y", "tile_x")
+
+
+def tiles_touching(areas: DataFrame, tiles: DataFrame, step: float, top: float, left: float) -> DataFrame:
+    """Pairs (area, tile_y, tile_x) of tiles that share a point with an area, rims included.
+
+    A tile meets an edge of the area, or it lies inside as a whole and so does its middle. ``tiles`` are distinct (tile_y, tile_x).
+    Areas without edges or with coordinates that are not finite touch nothing.
+    """
+    finite = F.forall("edges", lambda e: F.coalesce(
+        F.abs(e["x1"]) + F.abs(e["y1"]) + F.abs(e["x2"]) + F.abs(e["y2"]) < F.lit(math.inf), F.lit(False)
+    ))
+    # An area that is stored twice has each edge twice.
+    edges = areas.filter(finite).select("area", F.explode("edges").alias("_e")).select("area", "_e.*").distinct()
+    shapes = edges.groupBy("area").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    box = tiles.select("tile_y", "tile_x", tile_box(step, top, left).alias("_t"))
+    middles = box.select(
+        "tile_y", "tile_x", ((F.col("_t.xmin") + F.col("_t.xmax")) / 2).alias("lon"), ((F.col("_t.ymin") + F.col("_t.ymax")) / 2).alias("lat")
+    )
+    within = points_in_areas(middles, shapes, step).select("area", "tile_y", "tile_x")
+    return _edge_tiles(edges, step, top, left).unionByName(within).distinct()
+
+
 def whole_tile_mean(
     cells: DataFrame,
     areas: DataFrame,
@@ -113,23 +176,24 @@ def whole_tile_mean(
     left: float,
     size: int = 10,
     keys: Sequence[str] = ("fdate",),
+    boxes: bool = False,
 ) -> DataFrame:
     """Mean over areas of the means of whole tiles touching them (no clip).
 
-    Tile means are taken first: 100 cells become one row before anything is joined.
+    Tile means are taken first: 100 cells become one row before anything is joined. A tile touches an area that it
+    shares a point with; with ``boxes`` it is enough that it meets the area's bounding box.
     """
     tiled = cells.withColumn("tile_y", F.floor(F.col("row") / size).cast("int")).withColumn(
         "tile_x", F.floor(F.col("col") / size).cast("int")
     )
     means = tiled.groupBy("tile_y", "tile_x", *keys).agg(F.avg("value").alias("tile_mean"))
-    step = res * size
-    x0 = F.lit(left - res / 2) + F.col("tile_x") * step
-    y1 = F.lit(top + res / 2) - F.col("tile_y") * step
-    box = F.struct(
-        x0.alias("xmin"), (y1 - step).alias("ymin"), (x0 + step).alias("xmax"), y1.alias("ymax")
-    )
-    frames = tiled.select("tile_y", "tile_x").distinct().withColumn("tile_box", box)
-    touching = boxes_touching(areas, frames, step).select("area", "tile_y", "tile_x")
+    step, upper, outer = res * size, top + res / 2, left - res / 2
+    tiles = tiled.select("tile_y", "tile_x").distinct()
+    if boxes:
+        frames = tiles.withColumn("tile_box", tile_box(step, upper, outer))
+        touching = boxes_touching(areas, frames, step).select("area", "tile_y", "tile_x")
+    else:
+        touching = tiles_touching(areas, tiles, step, upper, outer)
     joined = means.join(touching, ["tile_y", "tile_x"])
     return joined.groupBy("area", *keys).agg(F.avg("tile_mean").alias("value"))
 

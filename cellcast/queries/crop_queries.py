@@ -66,7 +66,9 @@ _WEATHER = """, z AS (SELECT area, fdate, avg(value) AS v FROM grid_daily JOIN a
 _TILES = f""", t AS (SELECT row // 10 AS ty, col // 10 AS tx, fdate, avg(value) AS m FROM grid_daily GROUP BY 1, 2, 3),
     z AS (SELECT area, fdate, avg(m) AS v FROM t JOIN areas ON cx - r <= {LEFT} - 0.125 + (tx + 1) * 2.5
     AND cx + r >= {LEFT} - 0.125 + tx * 2.5 AND cy - r <= {TOP} + 0.125 - ty * 2.5
-    AND cy + r >= {TOP} + 0.125 - (ty + 1) * 2.5 GROUP BY 1, 2)"""
+    AND cy + r >= {TOP} + 0.125 - (ty + 1) * 2.5
+    AND greatest({LEFT} - 0.125 + tx * 2.5 - cx, cx - {LEFT} + 0.125 - (tx + 1) * 2.5, 0)
+    + greatest({TOP} + 0.125 - (ty + 1) * 2.5 - cy, cy - {TOP} - 0.125 + ty * 2.5, 0) <= r GROUP BY 1, 2)"""
 
 
 def _whole_tiles(spark, d):

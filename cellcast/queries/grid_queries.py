@@ -234,8 +234,8 @@ def zonal_mean_clip(spark, d):
     AND cy + r >= {TOP} + 0.125 - (ty + 1) * 2.5 GROUP BY 1, 2""",
 )
 def zonal_mean_tiles(spark, d):
-    """Mean of whole tiles touching a polygon, per day."""
-    return spatial.whole_tile_mean(I.grid_daily(spark, d), I.areas(spark, d), RES, TOP, LEFT)
+    """Mean of whole tiles touching the box of a polygon, per day."""
+    return spatial.whole_tile_mean(I.grid_daily(spark, d), I.areas(spark, d), RES, TOP, LEFT, boxes=True)
 
 
 @query(
