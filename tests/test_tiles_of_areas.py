@@ -11,6 +11,7 @@ from oracle import compare
 
 import __spark_entry__ as entry
 from cellcast.operators import spatial
+from cellcast.plans import flows
 from cellcast.sources.polygons import areas_from_wkt
 
 STEP, TOP, LEFT = 2.5, 5.0, 30.0
@@ -130,3 +131,22 @@ def run(spark, tables, name):
 def test_area_weather(spark, tables):
     got = {(r["area"], int(r["fdate"][-2:])): (r["radiation"], r["rainf"], r["tmax"], r["tmin"]) for r in run(spark, tables, "area_weather")}
     assert got == {at: pytest.approx((2 * v, v / 2, 2 * v, 1.5 * v), abs=2e-6) for at, v in expected().items()}
+
+
+def test_weather_table(spark, tables):
+    got = {(r["area"], int(r["fdate"][-2:]), r["member"]): (r["srad"], r["tmax"], r["tmin"], r["rain"]) for r in run(spark, tables, "weather_table")}
+    want = {(*at, m): pytest.approx((2 * v * 0.0864, 2 * v, 1.5 * v, v / 2), abs=2e-6) for at, v in expected().items() for m in (1, 2, 3)}
+    assert got == want
+
+
+def test_crop_weather_leaves_out_tiles_of_the_box_alone(spark):
+    """The plan of the same name: a diamond beside the corner of a tile a hundred times larger."""
+    cells = [
+        (r, c, date(2001, 1, 1), v, 100.0 if r >= 10 and c >= 10 else 1.0)
+        for r in range(20) for c in range(20) for v in ("rainf", "tmax", "tmin", "net_short", "net_long")
+    ]
+    frame = spark.createDataFrame(cells, "row int, col int, fdate date, var string, value double")
+    areas = areas_from_wkt(spark.createDataFrame([(1, text([(4.0, -8.0), (8.0, -4.0), (12.0, -8.0), (8.0, -12.0)]))], "k long, wkt string"), "k")
+    assert {r["rain"] for r in flows.crop_weather(frame, areas, 1.0, 0.0, 0.0, members=2).collect()} == {25.75}
+    small = areas_from_wkt(spark.createDataFrame([(1, text([(4.0, -8.0), (8.0, -4.0), (10.4, -8.0), (8.0, -10.4)]))], "k long, wkt string"), "k")
+    assert {r["rain"] for r in flows.crop_weather(frame, small, 1.0, 0.0, 0.0, members=2).collect()} == {1.0}
