@@ -150,3 +150,8 @@ def test_crop_weather_leaves_out_tiles_of_the_box_alone(spark):
     assert {r["rain"] for r in flows.crop_weather(frame, areas, 1.0, 0.0, 0.0, members=2).collect()} == {25.75}
     small = areas_from_wkt(spark.createDataFrame([(1, text([(4.0, -8.0), (8.0, -4.0), (10.4, -8.0), (8.0, -10.4)]))], "k long, wkt string"), "k")
     assert {r["rain"] for r in flows.crop_weather(frame, small, 1.0, 0.0, 0.0, members=2).collect()} == {1.0}
+
+
+def test_zonal_wide(spark, tables):
+    got = {int(r["fdate"][-2:]): [r[f"p{k}"] for k in range(1, 26)] for r in run(spark, tables, "zonal_wide")}
+    assert got == {d: pytest.approx([expected()[k, d] for k in range(25)], abs=2e-6) for d in (1, 2)}
